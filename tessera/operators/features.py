@@ -56,6 +56,14 @@ def key_levels(df: DataFrame, spec: PanelSpec) -> list[str]:
     return list(spec.key_levels) if spec.key_levels is not None else levels(df, spec.key)
 
 
+def with_levels(df: DataFrame, spec: PanelSpec) -> PanelSpec:
+    """Fix the key levels from the input panel (before any window work), so
+    later one-hot columns do not re-run the feature plan to find them."""
+    if spec.key_levels is not None or spec.key not in df.columns:
+        return spec
+    return spec.replace(key_levels=tuple(levels(df, spec.key)))
+
+
 # ---------------------------------------------------------------- M3-M5, M1
 
 def calendar_features(df: DataFrame, spec: PanelSpec, holiday: bool = True) -> DataFrame:
@@ -314,6 +322,7 @@ def critical_null_report(df: DataFrame, spec: PanelSpec) -> DataFrame:
 def engineer_full(df: DataFrame, spec: PanelSpec, station: bool = True, leak_safe: bool = False) -> DataFrame:
     """Calendar -> lags (W4) -> rolling (W7) -> interactions -> station
     features -> advanced -> P4."""
+    spec = with_levels(df, spec) if station else spec
     d = calendar_features(df, spec, holiday=True)
     d = window_features(d, spec, full_lags(d, spec), full_rolls(d, spec), leak_safe=leak_safe)
     d = full_interactions(d, spec)
@@ -326,6 +335,7 @@ def engineer_full(df: DataFrame, spec: PanelSpec, station: bool = True, leak_saf
 def engineer_optimized(df: DataFrame, spec: PanelSpec, station: bool = True, leak_safe: bool = False) -> DataFrame:
     """Calendar (no holiday) -> lags (W5) -> rolling (W8) -> interactions
     -> station dummies -> advanced (ratio, temperature change, wind) -> P4."""
+    spec = with_levels(df, spec) if station else spec
     d = calendar_features(df, spec, holiday=False)
     d = window_features(d, spec, safe_lags(d, spec), safe_rolls(d, spec), leak_safe=leak_safe)
     d = safe_interactions(d, spec)

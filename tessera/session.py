@@ -22,7 +22,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+        # Feature tables are wide (60-200 columns) and fill / filter every
+        # column: constraint inference is quadratic-to-exponential there.
+        "spark.sql.constraintPropagation.enabled": "false",
     }
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = "16g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in conf.items():
@@ -46,6 +51,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def wide_tables(spark: SparkSession) -> None:
+    """Runtime setting for plans over wide feature tables (many aliases and
+    null filters), where Catalyst's constraint inference blows up."""
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared checkpoint dir,
     so a lost executor recomputes from the written files, not from scratch."""
