@@ -1,0 +1,10 @@
+"""Streaming.
+
+The studied project has no streaming work: no watermark, event-time window,
+stateful operator or late-data handling ("real-time forecasting" appears only
+as prose).  Nothing is built here on purpose.  All panel operators are plain
+DataFrame transformations; stateless ones (calendar, encodings, ratios,
+clipping, scoring with a fitted ``PipelineModel``) apply unchanged to a
+streaming DataFrame, while row-ordered windows and global quantiles are batch
+operators.
+"""
