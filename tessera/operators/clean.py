@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tessera.config import IQR_EXTREME_MULTIPLIER, IQR_MULTIPLIER, MISSING_DATA_THRESHOLD, PanelSpec
 from tessera.operators.quantiles import quantile_row
 from tessera.operators.sequence import POS, carry_fill, chunked_window, drop_position
+from tessera.session import materialize
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -267,9 +268,11 @@ def temporal_split(df: DataFrame, spec: PanelSpec) -> DataFrame:
 # ---------------------------------------------------------------- C1
 
 def preprocess(df: DataFrame, spec: PanelSpec, method: str = "exact", dedupe_tiebreak: Sequence[str] | None = None,
-               with_index: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
+               with_index: bool = False, cut_lineage: bool = True) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Index -> duplicates -> fills + sparse rows -> physical clip -> IQR cap
-    -> split.  Returns the cleaned panel and the report tables (lazy)."""
+    -> split.  Returns the cleaned panel and the report tables (lazy).
+    The filled, clipped panel is checkpointed before the quantile step, which
+    reads it several times (sort, rank lookup, capping)."""
     d = with_time_index(df, spec) if with_index else df
     keys = [spec.key, spec.time]
     tiebreak = list(dedupe_tiebreak or [c for c in d.columns if c not in keys][:1])
@@ -280,6 +283,8 @@ def preprocess(df: DataFrame, spec: PanelSpec, method: str = "exact", dedupe_tie
     reports["nulls"] = null_reduction(before, d)
     reports["physical"] = clip_counts(d, spec)
     d = clip_physical(d, spec)
+    if cut_lineage:
+        d = materialize(d)
     d, reports["iqr"] = cap_iqr(d, spec, method=method)
     reports["quality"] = quality_summary(d, spec)
     d = temporal_split(d, spec)

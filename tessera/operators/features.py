@@ -236,7 +236,7 @@ def safe_interactions(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 # ---------------------------------------------------------------- M1 + A6
 
-def station_features(df: DataFrame, spec: PanelSpec, means: bool = True) -> DataFrame:
+def station_features(df: DataFrame, spec: PanelSpec, means: bool = True, source: DataFrame | None = None) -> DataFrame:
     """Key dummies ``{key}_{level}`` and (C2) per-level target mean
     ``{level}_mean_{target}`` on that level's rows, NULL elsewhere, plus a
     dense ``station_mean``.  The means are one grouped aggregate (one row per
@@ -245,7 +245,7 @@ def station_features(df: DataFrame, spec: PanelSpec, means: bool = True) -> Data
     d = df.withColumns(one_hot(F.col(spec.key), lv, spec.key))
     if not means or spec.target not in df.columns:
         return d
-    m = df.groupBy(spec.key).agg(F.avg(spec.target).alias("station_mean"))
+    m = (source if source is not None else df).groupBy(spec.key).agg(F.avg(spec.target).alias("station_mean"))
     d = d.join(F.broadcast(m), spec.key, "left")
     return d.withColumns({f"{x}_mean_{spec.target}": F.when(F.col(spec.key) == F.lit(x), F.col("station_mean"))
                           for x in lv})
@@ -253,14 +253,15 @@ def station_features(df: DataFrame, spec: PanelSpec, means: bool = True) -> Data
 
 # ---------------------------------------------------------------- W10, M6, M8, A8
 
-def composite_index(df: DataFrame, spec: PanelSpec) -> DataFrame:
+def composite_index(df: DataFrame, spec: PanelSpec, source: DataFrame | None = None) -> DataFrame:
     """Mean of min-max scaled PM2.5, PM10, NO2, SO2 (those present, at
     least two); NULL if any part is NULL.  Min and max are one global
     aggregate row, broadcast onto the panel."""
     parts = spec.present(df, C.COMPOSITE_POLLUTANTS)
     if len(parts) < 2:
         return df
-    mm = df.agg(*[F.min(c).alias(f"_{c}_min") for c in parts], *[F.max(c).alias(f"_{c}_max") for c in parts])
+    src = source if source is not None else df
+    mm = src.agg(*[F.min(c).alias(f"_{c}_min") for c in parts], *[F.max(c).alias(f"_{c}_max") for c in parts])
     d = df.crossJoin(F.broadcast(mm))
     scaled = [(F.col(c) - F.col(f"_{c}_min")) / (F.col(f"_{c}_max") - F.col(f"_{c}_min") + F.lit(C.MINMAX_EPS))
               for c in parts]
@@ -271,7 +272,7 @@ def composite_index(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return d.drop(*[f"_{c}_min" for c in parts], *[f"_{c}_max" for c in parts])
 
 
-def advanced_features(df: DataFrame, spec: PanelSpec, full: bool = True) -> DataFrame:
+def advanced_features(df: DataFrame, spec: PanelSpec, full: bool = True, source: DataFrame | None = None) -> DataFrame:
     """C2 / C3 advanced block: change rate (C2), PM ratio, temperature change,
     pressure trend (C2), wind direction numeric/sin/cos, composite index (C2)."""
     cols = set(df.columns)
@@ -290,7 +291,7 @@ def advanced_features(df: DataFrame, spec: PanelSpec, full: bool = True) -> Data
         new["wind_direction_numeric"] = compass_degrees(F.col(spec.wind))
         new.update(wind_components(F.col(spec.wind)))
     d = df.withColumns(new) if new else df
-    return composite_index(d, spec) if full else d
+    return composite_index(d, spec, source) if full else d
 
 
 # ---------------------------------------------------------------- P4
@@ -326,9 +327,11 @@ def engineer_full(df: DataFrame, spec: PanelSpec, station: bool = True, leak_saf
     d = calendar_features(df, spec, holiday=True)
     d = window_features(d, spec, full_lags(d, spec), full_rolls(d, spec), leak_safe=leak_safe)
     d = full_interactions(d, spec)
+    # Station means and min/max read raw columns of the same rows: take them
+    # from the input, not from the windowed frame.
     if station and spec.key in d.columns:
-        d = station_features(d, spec, means=True)
-    d = advanced_features(d, spec, full=True)
+        d = station_features(d, spec, means=True, source=df)
+    d = advanced_features(d, spec, full=True, source=df)
     return drop_critical_nulls(d, spec)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import (FORWARD_FILL_LIMIT, IQR_EXTREME_MULTIPLIER, IQR_MULTIPLIER, PHYSICAL_LIMITS)
 from tessera.operators import clean
-from tessera.plans.common import DAILY_SQL, PANEL_SQL, finish, q, r6, sql_cols, sql_round
+from tessera.plans.common import DAILY_SQL, PANEL_EXTRA_SQL, PANEL_SQL, finish, q, r6, sql_cols, sql_round
 from tessera.sources import fixtures as fx
 from tessera.sources.io import overview
 
@@ -301,3 +301,55 @@ def _sql() -> dict[str, str]:
 
 
 SQL = _sql()
+
+
+# ------------------------------------------------------------------ sources round trips
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder."""
+    import uuid
+
+    from tessera.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessera-io/{name}-{uuid.uuid4().hex}"
+
+
+def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + S2: the split panel written as Parquet partitioned by ``split``,
+    read back with a split filter (partition pruning: only ``split=test`` is listed)."""
+    from tessera.sources import io
+    path = _scratch(spark, "panel")
+    io.write_panel(clean.temporal_split(fx.hourly_panel(spark, sf_dir), SPEC).where(F.col("split").isNotNull()), path)
+    return finish(io.read_panel(spark, path, split="test").select(*PANEL_COLS, "split"))
+
+
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + P1: the panel in the raw layout (date parts, ``PM2.5`` header, "NA"
+    nulls) written as CSV, scanned with the declared raw schema, time index rebuilt."""
+    from tessera.sources import io
+    p = fx.hourly_panel(spark, sf_dir, extra=True)
+    t = F.col("datetime")
+    raw = p.select(F.lit(1).alias("No"), F.year(t).alias("year"), F.month(t).alias("month"),
+                   F.dayofmonth(t).alias("day"), F.hour(t).alias("hour"), F.col("PM2_5").alias("PM2.5"),
+                   "PM10", "SO2", "NO2", F.lit(None).cast("double").alias("CO"), F.lit(None).cast("double").alias("O3"),
+                   "TEMP", "PRES", F.lit(None).cast("double").alias("DEWP"), F.lit(None).cast("double").alias("RAIN"),
+                   "wd", "WSPM", "station")
+    path = _scratch(spark, "raw-csv")
+    io.write_csv(raw, path)
+    back = clean.with_time_index(io.read_raw_csv(spark, f"{path}/*.csv"), SPEC)
+    return finish(back.select("station", "datetime", "PM2_5", "PM10", "SO2", "NO2", "TEMP", "PRES", "WSPM", "wd"))
+
+
+def preprocessing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A22 (cleaning): the report lines of C1, built from its report tables."""
+    p = fx.hourly_panel(spark, sf_dir)
+    d, reports = clean.preprocess(p, SPEC, dedupe_tiebreak=["hh"])
+    return clean.preprocessing_report(reports, p, d)
+
+
+PANEL_COLS = ("station", "datetime", "hh", "PM2_5", "PM10", "SO2", "NO2", "TEMP", "wd")
+QUERIES.update({"parquet_roundtrip": parquet_roundtrip, "csv_roundtrip": csv_roundtrip,
+                "preprocessing_report": preprocessing_report})
+SQL["parquet_roundtrip"] = f"SELECT {OUT_F4}, split FROM ({f4_split_sql(PANEL_SQL)}) WHERE split = 'test'"
+SQL["csv_roundtrip"] = f"""
+  SELECT station, datetime, {sql_round(('PM2_5', 'PM10', 'SO2', 'NO2', 'TEMP', 'PRES', 'WSPM'))}, wd
+  FROM ({PANEL_EXTRA_SQL})"""
