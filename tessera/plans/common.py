@@ -22,9 +22,11 @@ def round_half_away(c, digits: int = DIGITS):
 
 
 def stable_round(c, digits: int = DIGITS):
-    """Round first to 10 decimals, then to ``digits``: values that differ only
-    in the last bits (sums taken in another order) print the same."""
-    return round_half_away(round_half_away(c, 10), digits)
+    """Round first to 10 decimals (as DECIMAL(38,10)), then to ``digits``,
+    halves away from zero: values that differ only in the last bits (sums
+    taken in another order) print the same, and the decimal form keeps the
+    expression small on wide tables.  NaN and infinities become NULL."""
+    return F.round(c.try_cast("decimal(38,10)"), digits).cast("double")
 
 
 def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -52,7 +54,7 @@ def q(name: str) -> str:
 
 def r6(expr: str) -> str:
     """SQL twin of :func:`stable_round`."""
-    return f"round(round(({expr})::DOUBLE, 10), {DIGITS})::DOUBLE"
+    return f"round(TRY_CAST(({expr})::DOUBLE AS DECIMAL(38,10)), {DIGITS})::DOUBLE"
 
 
 def sql_round(cols: Sequence[str]) -> str:
