@@ -200,14 +200,19 @@ def cap_iqr(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None = None, m
 
 # ---------------------------------------------------------------- A5, W12
 
+def hours_between(start: Column, end: Column) -> Column:
+    """Hours from ``start`` to ``end`` as a double, on zone-less timestamps
+    (independent of the session time zone)."""
+    return F.timestamp_diff("SECOND", start, end).cast("double") / 3600.0
+
+
 def quality_summary(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """A5: one row with negatives per pollutant, share of null per column above
     10 %, continuity (rows over expected hours) and target range, plus the
     verdict ``validation_passed`` (no negative pollutant)."""
     pol = spec.present(df, spec.pollutants)
     neg = [F.count_if(F.col(c) < 0).cast("long").alias(f"neg_{c}") for c in pol]
-    tmin, tmax = F.min(spec.time), F.max(spec.time)
-    span_h = (F.unix_timestamp(tmax.cast("timestamp")) - F.unix_timestamp(tmin.cast("timestamp"))) / 3600.0 + 1
+    span_h = hours_between(F.min(spec.time), F.max(spec.time)) + 1
     high = F.array_compact(F.array(*[
         F.when(F.avg(F.col(c).isNull().cast("double")) * 100 > 10, F.lit(c)) for c in df.columns]))
     aggs = neg + [
@@ -230,8 +235,7 @@ def quality_summary(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def continuity_by_key(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """A5 per key: rows, expected hours, continuity percent."""
-    span_h = (F.unix_timestamp(F.max(spec.time).cast("timestamp"))
-              - F.unix_timestamp(F.min(spec.time).cast("timestamp"))) / 3600.0 + 1
+    span_h = hours_between(F.min(spec.time), F.max(spec.time)) + 1
     return df.groupBy(spec.key).agg(
         F.count(F.lit(1)).cast("long").alias("rows"), span_h.alias("expected_hours"),
         (F.count(F.lit(1)) * 100.0 / span_h).alias("continuity_pct"))
@@ -246,8 +250,7 @@ def time_gaps(df: DataFrame, spec: PanelSpec, min_gap_hours: int = 1) -> DataFra
         return {"_prev": F.lag(spec.time, 1).over(w)}
 
     d = chunked_window(df.select(spec.key, spec.time), spec, 1, compute)
-    hours = (F.unix_timestamp(F.col(spec.time).cast("timestamp"))
-             - F.unix_timestamp(F.col("_prev").cast("timestamp"))) / 3600
+    hours = hours_between(F.col("_prev"), F.col(spec.time))
     d = d.withColumn("missing_hours", (hours - 1).cast("long"))
     d = d.where(F.col("missing_hours") >= min_gap_hours)
     return d.select(spec.key, (F.col("_prev") + F.expr("INTERVAL 1 HOUR")).alias("gap_start"),

@@ -135,9 +135,11 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: Sequence[str] = ()) -
     rng = df.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.count(col).alias("_n")) \
         if by else df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.count(col).alias("_n"))
     d = df.where(F.col(col).isNotNull())
-    d = d.join(F.broadcast(rng), by) if by else d.crossJoin(F.broadcast(rng))
+    # One row overall: broadcast.  Per group the table grows with the number of
+    # groups, so the join strategy is left to the planner / AQE.
+    d = d.join(rng, by) if by else d.crossJoin(F.broadcast(rng))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    raw = F.floor((F.col(col) - F.col("_lo")) * F.lit(float(bins)) / (F.col("_hi") - F.col("_lo")))
+    raw = F.floor(F.try_divide((F.col(col) - F.col("_lo")) * F.lit(float(bins)), F.col("_hi") - F.col("_lo")))
     d = d.withColumn("bin", F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1)).cast("long"))
     counts = d.groupBy(*by, "bin", "_lo", "_hi", "_n").agg(F.count(F.lit(1)).alias("count"))
     w = width
