@@ -262,7 +262,9 @@ def time_gaps(df: DataFrame, spec: PanelSpec, min_gap_hours: int = 1) -> DataFra
 def temporal_split(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """``split`` column; bounds compare as midnight timestamps, so hours
     after midnight on the train-end and val-end days belong to no split (NULL)."""
-    tr, vs, ve, ts = (F.lit(x).cast("timestamp_ntz") for x in spec.split_bounds)
+    # ISO strings cast straight to TIMESTAMP_NTZ: no session or process time
+    # zone is involved (a Python datetime literal would be zone-aware).
+    tr, vs, ve, ts = (F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz") for x in spec.split_bounds)
     t = F.col(spec.time)
     s = (F.when(t <= tr, "train").when((t >= vs) & (t <= ve), "val").when(t >= ts, "test"))
     return df.withColumn("split", s)

@@ -92,3 +92,16 @@ def test_drop_sparse_rows_threshold(spark):
     rows = [("s", t, None, None, "N") for t in hours(1)] + [("s", t, 1.0, 2.0, "N") for t in hours(1)]
     df = spark.createDataFrame(rows, "station string, datetime timestamp_ntz, PM2_5 double, TEMP double, wd string")
     assert clean.drop_sparse_rows(df, SPEC).count() == 1
+
+
+def test_split_does_not_depend_on_session_time_zone(spark):
+    spec = PanelSpec(train_end="2015-12-31", val_start="2016-01-01", val_end="2016-12-31", test_start="2017-01-01")
+    ts = [dt.datetime(2015, 12, 31, 0), dt.datetime(2016, 1, 1, 0), dt.datetime(2017, 1, 1, 0)]
+    df = spark.createDataFrame([("s", t) for t in ts], "station string, datetime timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [r["split"] for r in clean.temporal_split(df, spec).orderBy("datetime").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == ["train", "val", "test"]
