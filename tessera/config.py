@@ -150,6 +150,7 @@ class PanelSpec:
     fill_limit: int = FORWARD_FILL_LIMIT
     chunk_rows: int = 1 << 18
     position_bucket: str = "day"
+    position_method: str = "bucket"
     seed: int = RANDOM_STATE
 
     def replace(self, **kw) -> "PanelSpec":

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -51,10 +53,11 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (long.repartitionByRange(nparts, "name", "v").sortWithinPartitions("name", "v")
                .withColumn("_mid", F.monotonically_increasing_id()))
-    # Both uses of ``ordered`` below sit in one plan, so the range shuffle is
-    # reused; the sort and the ids are recomputed identically from it.
-    ordered = ordered.select("name", "v", F.shiftright("_mid", 33).alias("_part"),
-                             F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)).alias("_local"))
+    # Range bounds come from sampling the input, and an unordered input may be
+    # sampled differently by two evaluations: write the numbered values once so
+    # the per-partition counts and the ranked rows agree.
+    ordered = materialize(ordered.select("name", "v", F.shiftright("_mid", 33).alias("_part"),
+                                         F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)).alias("_local")))
     # One row per (partition, column): bounded by partitions x columns.
     per_part = ordered.groupBy("_part", "name").agg(F.count(F.lit(1)).alias("_n"),
                                                    F.min("_local").alias("_first"))

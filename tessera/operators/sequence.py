@@ -7,9 +7,11 @@ helpers here keep the exact row semantics but cut every key into chunks of
 ``spec.chunk_rows`` rows:
 
 1. :func:`with_position` numbers the rows of every key 0, 1, 2, ... in time
-   order.  It numbers inside ``(key, time bucket)`` groups and adds a per-key
-   offset computed from bucket counts (a small aggregate), so no task ever
-   holds a whole key.
+   order.  By default it numbers inside ``(key, time bucket)`` groups and adds
+   per-key offsets from bucket counts (a small aggregate), so no task holds a
+   whole key; ``position_method="sort"`` ranks a range-partitioned sort of
+   ``(key, time)`` instead (no group of any grain in one task, at the cost of
+   one checkpoint write).
 2. :func:`chunked_window` gives each chunk a *halo*: copies of the last
    ``halo`` rows of the chunks before it.  Any frame that looks back at most
    ``halo`` rows is then exact inside ``partitionBy(key, chunk)``.  Halo rows
@@ -38,9 +40,14 @@ def time_bucket(spec, col: str | Column | None = None) -> Column:
 
 def with_position(df: DataFrame, spec, order: Sequence[str] | None = None) -> DataFrame:
     """Add ``_pos``: 0-based row number within ``spec.key`` in ``order``
-    (default: the time column).  Reuses an existing ``_pos``."""
+    (default: the time column).  Reuses an existing ``_pos``.
+    ``spec.position_method``: ``"bucket"`` numbers inside (key, time bucket)
+    groups; ``"sort"`` ranks by a range-partitioned sort, so no group of any
+    grain is ever one task."""
     if POS in df.columns:
         return df
+    if getattr(spec, "position_method", "bucket") == "sort":
+        return _position_by_sort(df, spec, list(order or [spec.time]))
     key = spec.key
     order = list(order or [spec.time])
     d = df.withColumn("_tb", time_bucket(spec))
@@ -57,6 +64,34 @@ def with_position(df: DataFrame, spec, order: Sequence[str] | None = None) -> Da
         "_ok", "_otb", "_off", "_rn", "_tb")
 
 
+_LOW_BITS = (1 << 33) - 1
+
+
+def _position_by_sort(df: DataFrame, spec, order: list[str]) -> DataFrame:
+    """Rows range-partitioned and sorted by (key, order); the id of a row
+    inside its sorted partition plus the row counts of the same key in
+    earlier partitions (a table of at most partitions + keys rows) give its
+    position.  ``order`` must make rows of a key unique for stable numbers."""
+    key = spec.key
+    nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    o = (df.repartitionByRange(nparts, key, *order).sortWithinPartitions(key, *order)
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    o = o.withColumns({"_part": F.shiftright("_mid", 33), "_local": F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))})
+    # The range bounds come from sampling the input; two evaluations of an
+    # unordered input may sample differently.  Write the numbered rows once so
+    # the counts and the rows agree.
+    from tessera.session import materialize
+    o = materialize(o)
+    per = o.groupBy("_part", key).agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(F.col("_part").alias("_op"), F.col(key).alias("_ok"), "_first",
+                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    cond = (o["_part"] == offsets["_op"]) & o[key].eqNullSafe(offsets["_ok"])
+    d = o.join(offsets, cond, "inner")
+    return d.withColumn(POS, (F.col("_off") + F.col("_local") - F.col("_first")).cast("long")).drop(
+        "_mid", "_part", "_local", "_op", "_ok", "_first", "_off")
+
+
 def drop_position(df: DataFrame) -> DataFrame:
     return df.drop(POS, CHUNK, HOME)
 

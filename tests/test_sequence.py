@@ -75,3 +75,24 @@ def test_hot_key_spreads_over_chunks(spark):
     spec = PanelSpec(chunk_rows=50, position_bucket="hour")
     chunks = with_position(p, spec).where(F.col("station") == "hot").select((F.col(POS) / 50).cast("int")).distinct()
     assert chunks.count() == 8
+
+
+def test_sort_positions_equal_bucket_positions(spark):
+    p = _panel(spark, 80)
+    a = with_position(p, PanelSpec(position_bucket="hour")).select("station", "datetime", POS)
+    b = with_position(p, PanelSpec(position_method="sort")).select("station", "datetime", POS)
+    assert sorted(a.collect()) == sorted(b.collect())
+    rows = [("hot", t, 1.0, 1.0, None) for t in hours(300)] + [("cold", t, 1.0, 1.0, None) for t in hours(5)]
+    hot = spark.createDataFrame(rows, "station string, datetime timestamp_ntz, PM2_5 double, TEMP double, wd string")
+    got = with_position(hot, PanelSpec(position_method="sort")).where(F.col("station") == "hot")
+    assert sorted(r[0] for r in got.select(POS).collect()) == list(range(300))
+
+
+def test_sort_method_windows_match(spark):
+    p = _panel(spark, 60)
+    lags = [ft.Lag("PM2_5", 3, "l3")]
+    rolls = [ft.Roll("TEMP", 6, "mean", 2, "m6")]
+    a = ft.window_features(p, PanelSpec(chunk_rows=7, position_method="sort"), lags, rolls)
+    b = ft.window_features(p, PanelSpec(), lags, rolls)
+    cols = ["station", "datetime", "l3", "m6"]
+    assert _rows(a, cols) == _rows(b, cols)
