@@ -378,8 +378,9 @@ def _sql() -> dict[str, str]:
     li, ln = safe_window_sql(BASE_EXTRA_SET)
     crit = [C.TARGET] + [f"{C.TARGET}_lag_{k}h" for k in C.CRITICAL_LAGS]
     anyn = " OR ".join(f"{q(c)} IS NULL" for c in crit)
+    null_counts = ", ".join(f"count(*) FILTER (WHERE {q(c)} IS NULL)::BIGINT AS {q('nulls_' + c)}" for c in crit)
     s["critical_nulls"] = (
-        f"SELECT {', '.join(f'count(*) FILTER (WHERE {q(c)} IS NULL)::BIGINT AS {q(chr(110) + chr(117) + chr(108) + chr(108) + chr(115) + chr(95) + c)}' for c in crit)}, "
+        f"SELECT {null_counts}, "
         f"count(*) FILTER (WHERE {anyn})::BIGINT AS rows_removed, count(*)::BIGINT AS rows_before "
         f"FROM (SELECT *, {', '.join(li)} FROM ({PANEL_EXTRA_SQL}))")
     items, names = safe_window_sql(set(BASE))

@@ -226,7 +226,7 @@ def _sql() -> dict[str, str]:
              {r6(f'count(*) FILTER (WHERE {xs}) * 100.0 / count(*)')} AS retention_pct
       FROM ({sp}) WHERE split IS NOT NULL GROUP BY split"""
     meds = ", ".join(f"quantile_cont({q(c)}, 0.5) AS {q('m_' + c)}" for c in X_RAW)
-    filled = ", ".join(f"{r6(f'coalesce({q(c)}, m.{q(chr(109) + chr(95) + c)})')} AS {q(c)}" for c in X_RAW)
+    filled = ", ".join(f"{r6('coalesce(' + q(c) + ', m.' + q('m_' + c) + ')')} AS {q(c)}" for c in X_RAW)
     s["raw_model_features"] = (f"WITH p AS ({PANEL_SQL}), m AS (SELECT {meds} FROM p) "
                                f"SELECT station, datetime, {filled}, {r6('PM2_5')} AS PM2_5 FROM p, m")
     opt, _ = optimized_sql(PANEL_EXTRA_SQL)
@@ -243,9 +243,10 @@ def _sql() -> dict[str, str]:
     s["feature_counts"] = " UNION ALL ".join(parts)
     cats = reports.CATEGORY_PATTERNS
     base_cols = ", ".join(f"'{c}'" for c in BASE_EXTRA)
-    counts = ", ".join(
-        f"count(*) FILTER (WHERE {' OR '.join(f'contains(column_name, {chr(39)}{p}{chr(39)})' for p in pats)})::BIGINT "
-        f"AS {q(cat)}" for cat, pats in cats)
+    def any_of(pats):
+        return " OR ".join("contains(column_name, '" + p + "')" for p in pats)
+
+    counts = ", ".join(f"count(*) FILTER (WHERE {any_of(pats)})::BIGINT AS {q(cat)}" for cat, pats in cats)
     s["feature_report"] = (f"SELECT count(*)::BIGINT AS total, {counts} FROM (DESCRIBE {full}) "
                            f"WHERE column_name NOT IN ({base_cols})")
     s["time_folds"] = f"""
