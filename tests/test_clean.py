@@ -105,3 +105,15 @@ def test_split_does_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == ["train", "val", "test"]
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=2000)
+    df = spark.createDataFrame([(float(a),) for a in x], "x double").repartition(5)
+    got = {r["prob"]: r["value"] for r in quantiles(df, ["x"], [0.25, 0.5, 0.75], method="approx").collect()}
+    srt = np.sort(x)
+    for p in (0.25, 0.5, 0.75):
+        # percentile_approx returns an element within 1/accuracy of the rank.
+        k = int(np.searchsorted(srt, got[p]))
+        assert abs(k - p * (len(x) - 1)) <= 2
