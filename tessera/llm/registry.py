@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, token_counts
+from tessera.llm import bpe, decontaminate, html_text, pii, quality_rules, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_bpe": bpe.op3_bpe,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_warc": warc.op7_warc,
+    "op8_pii": pii.op8_pii,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_html_text": html_text.op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": quality_rules.OP6_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
+}
