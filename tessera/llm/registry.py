@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, html_text, pii, quality_rules, token_counts, warc
+from tessera.llm import bpe, decontaminate, html_text, line_dedup, pii, quality_rules, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_warc": warc.op7_warc,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
