@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, html_text, jaccard_join, line_dedup, pii, quality_rules, token_counts, warc
+from tessera.llm import bpe, decontaminate, html_text, jaccard_join, line_dedup, pii, quality_rules, suffix_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_warc": warc.op7_warc,
     "op8_pii": pii.op8_pii,
