@@ -62,18 +62,26 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def window_minima(h: np.ndarray, width: int) -> np.ndarray:
-    """The smallest of each ``width`` consecutive values: of the suffix minimum
-    of one block of that width and the prefix minimum of the next."""
+def sliding(best: np.ufunc, h: np.ndarray, width: int) -> np.ndarray:
+    """The best (np.minimum or np.maximum) of each ``width`` consecutive
+    values: of what a block of that width ends with and the next begins with."""
     n = len(h)
-    g = np.concatenate([h, np.full(-n % width, np.iinfo(np.uint64).max, dtype=np.uint64)]).reshape(-1, width)
-    up = np.minimum.accumulate(g, axis=1).ravel()
-    down = np.minimum.accumulate(g[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(down[:n - width + 1], up[width - 1:n])
+    g = np.concatenate([h, np.full(-n % width, h[-1], dtype=h.dtype)]).reshape(-1, width)
+    up = best.accumulate(g, axis=1).ravel()
+    down = best.accumulate(g[:, ::-1], axis=1)[:, ::-1].ravel()
+    return best(down[:n - width + 1], up[width - 1:n])
+
+
+def often_smallest(h: np.ndarray, m: np.ndarray, width: int) -> np.ndarray:
+    """The hashes that are the smallest of a window at two places or more."""
+    edge = np.zeros(width - 1, dtype=np.uint64)
+    values = np.sort(h[sliding(np.maximum, np.concatenate([edge, m, edge]), width) == h])
+    return values[1:][values[1:] == values[:-1]]
 
 
 def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, hash) of the runs of all texts."""
+    """(text, first window, windows, hash, whether a repeat could lie within the run
+    or near it: the hash stands at two places) of the runs of all texts."""
     out = []
     data = b"".join(texts)
     size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
@@ -81,7 +89,10 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     buf = np.frombuffer(data, dtype=np.uint8)
     for a in range(0, len(data) - length + 1, BLOCK):
         part = buf[a:a + BLOCK + length - 1]
-        m = window_minima(gram_hashes(part), length - GRAM + 1)
+        width = length - GRAM + 1
+        h = gram_hashes(part)
+        m = sliding(np.minimum, h, width)
+        often = often_smallest(h, m, width)
         at = a + np.arange(len(m))
         text = np.searchsorted(end, at, side="right")
         ok = at + length <= end[text]
@@ -96,35 +107,33 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         k = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = head[which] + k * LONGEST_RUN
         n = np.minimum(n[which] - k * LONGEST_RUN, LONGEST_RUN)
-        out.append((text[first], at[first] - (end - size)[text[first]], n, m[first]))
+        out.append((text[first], at[first] - (end - size)[text[first]], n, m[first], np.isin(m[first], often)))
     if not out:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def run_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(h long, rid long, at long, n int): the runs of each document."""
+    """(h, rid, at, n, often): the runs of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rid, at = b.column(0).to_numpy(zero_copy_only=False), 0
             for texts in byte_batches(b.column(1).to_pylist(), BLOCK):
-                text, first, n, h = runs([t.encode() for t in texts], length)
+                text, first, n, h, often = runs([t.encode() for t in texts], length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(rid[at:at + len(texts)][text]), pa.array(first), pa.array(n.astype(np.int32))],
-                    names=["h", "rid", "at", "n"])
+                    [pa.array(h.view(np.int64)), pa.array(rid[at:at + len(texts)][text]), pa.array(first),
+                     pa.array(n.astype(np.int32)), pa.array(often.astype(bool))], names=["h", "rid", "at", "n", "often"])
                 at += len(texts)
 
-    return docs.select("rid", "t").mapInArrow(run, "h long, rid long, at long, n int")
+    return docs.select("rid", "t").mapInArrow(run, "h long, rid long, at long, n int, often boolean")
 
 
 def shared_runs(rows: DataFrame, length: int) -> DataFrame:
     """(rid, runs array<struct<at, n, h, hot>>): the runs whose hash may hold
     repeats. (A ``rid`` is a hash of the document; should two documents share
     it, each is offered the other's runs, which are only looked at.)"""
-    # A run of over length - GRAM + 1 windows has its smallest hash twice.
-    wide = length - GRAM + 1
-    classes = rows.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where(
-        (F.col("c") > 1) | (F.col("w") > wide)).select(
+    classes = rows.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.max("often").alias("often")).where(
+        (F.col("c") > 1) | F.col("often")).select(
         "h", (F.col("w") + F.col("c") * (length - 1) > HOT).alias("hot"))
     return rows.join(classes, "h").groupBy("rid").agg(F.collect_set(F.struct("at", "n", "h", "hot")).alias("runs"))
 
