@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.names import fresh
 from tessera.session import materialize
 
 WINDOW = 10
@@ -98,23 +99,31 @@ def remove(docs: DataFrame, benchmark: DataFrame, how: str = "documents", id_col
     """``docs`` without its hits, same columns. how="documents": rows with a
     hit go. how="spans": the hit words and what stands between two hit words
     go, the other characters of the text stay."""
+    i, k, hit = fresh(docs, "_id", "_k", "_hit")
     s = scan(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(
-        F.col(id_col).alias("_id"), F.col("text_key").alias("_k"), F.col("hit_at").alias("_hit")).dropDuplicates(["_id", "_k"])
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_k"))
+        F.col(id_col).alias(i), F.col("text_key").alias(k), F.col("hit_at").alias(hit)).dropDuplicates([i, k])
+    on = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(k))
     if how == "documents":
         return docs.join(s, on, "left_anti")
     if how != "spans":
         raise ValueError("how must be 'documents' or 'spans'")
     # The text as gap, word, gap, word, ..., gap; a gap goes between two hit words.
-    # (Patterns also match A-Z here: lengths are what counts, the text keeps its case.)
+    # (The pattern also takes A-Z: the text keeps its case.) ``hit`` is sorted, so
+    # per word a look into an array of flags does.
     own = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    w, g = F.regexp_extract_all(text_col, F.lit(own), F.lit(0)), F.split(text_col, own, -1)
-    is_hit = F.map_from_arrays("_hit", F.transform("_hit", lambda _: F.lit(True)))
-    parts = F.transform(g, lambda gap, i: F.concat(
-        F.when((i > 0) & is_hit[i - 1] & is_hit[i], F.lit("")).otherwise(gap),
-        F.when((i >= F.size(g) - 1) | is_hit[i], F.lit("")).otherwise(F.get(w, i))))
-    cut = F.when(F.col("_hit").isNull(), F.col(text_col)).otherwise(F.concat_ws("", parts))
-    return docs.join(s, on, "left").withColumn(text_col, cut).select(*docs.columns)
+    j = docs.join(s, on, "left")
+    w, g, flag = fresh(j, "_w", "_g", "_flag")
+    j = j.withColumns({w: F.regexp_extract_all(text_col, F.lit(own), F.lit(0)), g: F.split(text_col, own, -1)})
+    # Flags from the hit places: as many false as words lie between two hits.
+    gap = lambda x, n: F.get(hit, n) - F.when(n == 0, F.lit(-1)).otherwise(F.get(hit, n - 1)) - 1
+    j = j.withColumn(flag, F.flatten(F.transform(hit, lambda x, n: F.concat(
+        F.array_repeat(F.lit(False), gap(x, n)), F.array(F.lit(True))))))
+    is_hit = lambda n: F.coalesce(F.get(flag, n), F.lit(False))
+    parts = F.transform(g, lambda x, n: F.concat(
+        F.when(is_hit(n - 1) & is_hit(n), F.lit("")).otherwise(x),
+        F.when(is_hit(n), F.lit("")).otherwise(F.coalesce(F.get(w, n), F.lit("")))))
+    cut = F.when(F.col(hit).isNull(), F.col(text_col)).otherwise(F.concat_ws("", parts))
+    return j.withColumn(text_col, cut).select(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

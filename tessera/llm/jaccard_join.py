@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.names import fresh
 from tessera.llm.pieces import byte_batches
 from tessera.llm.shingles import mix, shingle_sets
 from tessera.session import materialize
@@ -301,8 +302,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     the lowest id stays (of several rows with that id, those of the lowest text
     hash)."""
     s = similar_documents(docs, id_col, text_col, **options)
-    first = s.groupBy("class_id").agg(F.min(F.struct(F.col(id_col).alias("id"), "k")).alias("f")).select("f.id", "f.k")
-    return docs.join(first, docs[id_col].eqNullSafe(first["id"]) & (F.xxhash64(docs[text_col]) == first["k"]), "left_semi")
+    i, k = fresh(docs, "_id", "_k")
+    first = s.groupBy("class_id").agg(F.min(F.struct(F.col(id_col).alias("id"), "k")).alias("f")).select(
+        F.col("f.id").alias(i), F.col("f.k").alias(k))
+    return docs.join(first, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(k)), "left_semi")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

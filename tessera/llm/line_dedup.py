@@ -26,7 +26,8 @@ Defined results: a null text has no lines and stays null; an empty text has one
 empty line; lines are what stands between \\n; rows with one id and one text
 are one document (each such row gets the same result), rows with one id and
 different texts are different documents; an empty table gives an empty result.
-Only the id and text take part; other columns are carried.
+Only the id and text take part; other columns are carried (a column named
+like one of the three counts gives way to it).
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.names import fresh
 from tessera.session import materialize
 
 MIN_LINES = 4
@@ -150,18 +152,19 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN
     columns n_lines, n_removed, n_runs (maximal removed runs; long).
     ``drop_empty``: rows that lost lines and have no word left go."""
     masks = line_masks(docs, min_lines, min_chars, id_col, text_col)
-    out = docs.withColumn("_k", F.xxhash64(text_col)).join(
-        masks.select(F.col("id").alias("_id"), F.col("k").alias("_mk"), F.col("gone").alias("_gone")),
-        F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_mk")), "left")
+    i, k, gone = fresh(docs, "_id", "_k", "_gone")
+    out = docs.join(masks.select(F.col("id").alias(i), F.col("k").alias(k), F.col("gone").alias(gone)),
+                    F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(k)), "left")
     lines = F.split(text_col, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.get("_gone", i)), "\n")
-    n_gone = F.size(F.filter("_gone", lambda x: x))
-    n_runs = F.size(F.filter("_gone", lambda x, i: x & ~F.coalesce(F.get("_gone", i - 1), F.lit(False))))
-    out = out.select(
-        *(F.coalesce(F.when(F.col("_gone").isNotNull(), kept), F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(n_gone).cast("long").alias("n_removed"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(n_runs).cast("long").alias("n_runs"))
+    kept = F.array_join(F.filter(lines, lambda x, n: ~F.get(gone, n)), "\n")
+    n_gone = F.size(F.filter(gone, lambda x: x))
+    n_runs = F.size(F.filter(gone, lambda x, n: x & ~F.coalesce(F.get(gone, n - 1), F.lit(False))))
+    counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
+              "n_removed": F.when(F.col(gone).isNull(), 0).otherwise(n_gone).cast("long"),
+              "n_runs": F.when(F.col(gone).isNull(), 0).otherwise(n_runs).cast("long")}
+    text = F.coalesce(F.when(F.col(gone).isNotNull(), kept), F.col(text_col)).alias(text_col)
+    out = out.select(*(text if c == text_col else F.col(c) for c in docs.columns if c.lower() not in counts),
+                     *(c.alias(n) for n, c in counts.items()))
     if drop_empty:
         out = out.where((F.col("n_removed") == 0) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
     return out

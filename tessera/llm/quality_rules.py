@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.names import fresh
 from tessera.llm.pieces import byte_batches
 from tessera.session import materialize
 
@@ -169,14 +170,13 @@ def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that ``judge`` keeps, all their columns. Rows with
     the same id and text share a verdict per host, so the join is on id; of ids
     used for several texts, a row stays if its own measures pass."""
-    verdict = judge(docs.withColumn("_key", F.struct(F.col(id_col).alias("a"), F.xxhash64(text_col).alias("b"),
-                                                     F.col(host_col).alias("c"))),
-                    "_key", text_col, host_col, **options)
-    keys = verdict.where("kept").select(F.col("_key.a").alias("_a"), F.col("_key.b").alias("_b"),
-                                        F.col("_key.c").alias("_c")).distinct()
-    d = docs.alias("d")
-    return d.join(keys, F.col(f"d.{id_col}").eqNullSafe(F.col("_a")) & (F.xxhash64(f"d.{text_col}") == F.col("_b"))
-                  & F.col(f"d.{host_col}").eqNullSafe(F.col("_c")), "left_semi")
+    d = docs.select(F.struct(F.col(id_col).alias("a"), F.xxhash64(text_col).alias("b"), F.col(host_col).alias("c")).alias("key"),
+                    F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    a, b, c = fresh(docs, "_a", "_b", "_c")
+    keys = judge(d, "key", "text", "host", **options).where("kept").select(
+        F.col("key.a").alias(a), F.col("key.b").alias(b), F.col("key.c").alias(c)).distinct()
+    return docs.join(keys, F.col(id_col).eqNullSafe(F.col(a)) & (F.xxhash64(text_col) == F.col(b))
+                     & F.col(host_col).eqNullSafe(F.col(c)), "left_semi")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
