@@ -151,6 +151,7 @@ class PanelSpec:
     chunk_rows: int = 1 << 18
     position_bucket: str = "day"
     position_method: str = "bucket"
+    tiebreak: tuple = ()
     seed: int = RANDOM_STATE
 
     def replace(self, **kw) -> "PanelSpec":

@@ -91,7 +91,10 @@ class Fitted:
         spark = _spark()
         last = self.model.stages[-1]
         if self.kind == "linear":
-            vals = [abs(float(v)) for v in last.coefficients.toArray()]
+            # Per population standard deviation (Spark's scaler uses the sample's).
+            n = self.params.get("n_rows", 0)
+            scale = math.sqrt((n - 1) / n) if n > 1 else 1.0
+            vals = [abs(float(v)) * scale for v in last.coefficients.toArray()]
         else:
             vals = [float(v) for v in last.featureImportances.toArray()]
         df = spark.createDataFrame(list(zip(self.features, vals)), "feature string, importance double")
@@ -120,7 +123,10 @@ def _spark():
 
 def fit(kind: str, train: DataFrame, features: Sequence[str], label: str, params: dict | None = None) -> Fitted:
     pipe = linear_pipeline(features, label) if kind == "linear" else gbt_pipeline(features, label, params)
-    return Fitted(pipe.fit(train), list(features), label, kind, dict(params or {}))
+    model, kept = pipe.fit(train), dict(params or {})
+    if kind == "linear":
+        kept["n_rows"] = int(model.stages[-1].summary.numInstances)
+    return Fitted(model, list(features), label, kind, kept)
 
 
 # ---------------------------------------------------------------- data preparation
@@ -131,10 +137,13 @@ def model_frame(df: DataFrame, features: Sequence[str], label: str, keys: Sequen
     ``fill='per_split'``), then complete cases (P5)."""
     feats = list(features)
     keys = [k for k in keys if k in df.columns]
-    wide_tables(df.sparkSession)
     # Stage boundary: the medians, the fill and every fit pass read the
     # written columns instead of re-running the feature plan.
-    d = materialize(df.select(*keys, *feats, label))
+    with wide_tables(df.sparkSession):
+        return _model_frame(materialize(df.select(*keys, *feats, label)), feats, label, fill)
+
+
+def _model_frame(d: DataFrame, feats: list[str], label: str, fill: str) -> DataFrame:
     numeric = [c for c in feats if c in st.numeric_names(d)]
     bools = [c for c in feats if c not in numeric]
     if bools:
@@ -159,7 +168,7 @@ def cross_validate(kind: str, df: DataFrame, spec: PanelSpec, features: Sequence
     on that step (the fold bounds are an ``n_splits``-row table)."""
     steps = time_steps(df, spec)
     bounds = fold_bounds(steps, n_splits).orderBy("fold").collect()
-    tagged = df.join(steps, spec.time)
+    tagged = materialize(df.join(steps, spec.time))  # read by three jobs a fold
     rows = []
     for b in bounds:
         tr = tagged.where(F.col("step") < b["test_start"]).drop("step")

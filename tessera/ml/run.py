@@ -32,10 +32,11 @@ def scored_rows(m: Fitted, df: DataFrame, name: str, spec: PanelSpec) -> DataFra
 
 def train_and_compare(panel: DataFrame, spec: PanelSpec, gbt_params: dict | None = None,
                       fill: str = "train", out_dir: str | None = None, isolate_splits: bool = False,
-                      cut_lineage: bool = True) -> RunResult:
+                      cut_lineage: bool = True, leak_safe: bool = False) -> RunResult:
     """Run the whole study on a raw panel.  Features are engineered on the
     whole cleaned panel and then split, so lags at a split start see real
-    history (``isolate_splits=True`` engineers each split alone instead)."""
+    history (``isolate_splits=True`` engineers each split alone instead).
+    ``leak_safe``: no feature of a row uses the row's own target."""
     cleaned, _ = clean.preprocess(panel, spec)
     if cut_lineage:
         cleaned = materialize(cleaned)
@@ -47,11 +48,11 @@ def train_and_compare(panel: DataFrame, spec: PanelSpec, gbt_params: dict | None
 
     src = cleaned.drop("split")
     if isolate_splits:
-        parts = [ft.engineer_optimized(clean.temporal_split(src, spec).where(F.col("split") == s).drop("split"), spec)
+        parts = [ft.engineer_optimized(clean.temporal_split(src, spec).where(F.col("split") == s).drop("split"), spec, leak_safe=leak_safe)
                  for s in ("train", "val", "test")]
         eng = clean.temporal_split(st.union_frames(parts), spec)
     else:
-        eng = clean.temporal_split(ft.engineer_optimized(src, spec), spec)
+        eng = clean.temporal_split(ft.engineer_optimized(src, spec, leak_safe=leak_safe), spec)
     if cut_lineage:
         eng = materialize(eng)
     frames = [eng.where(F.col("split") == s) for s in ("train", "val", "test")]

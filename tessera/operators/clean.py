@@ -33,14 +33,14 @@ def with_time_index(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
 # ---------------------------------------------------------------- A2
 
 def remove_duplicates(df: DataFrame, keys: Sequence[str], tiebreak: Sequence[str]) -> DataFrame:
-    """A2: keep the first row per ``keys`` by ``tiebreak`` order.
+    """A2: keep the first row per ``keys`` by ``tiebreak`` order, NULLs last.
 
     Written as an aggregate (``min`` of a struct led by the tiebreak), so every
     task pre-aggregates before the shuffle and a key holding a third of all
     rows costs one small partial row per task rather than one huge group."""
     keys, tiebreak = list(keys), list(tiebreak)
     rest = [c for c in df.columns if c not in keys and c not in tiebreak]
-    packed = F.struct(*[F.col(c) for c in tiebreak + rest])
+    packed = F.struct(*(x for c in tiebreak for x in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))), *rest)
     firsts = df.groupBy(*keys).agg(F.min(packed).alias("_first"))
     return firsts.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in tiebreak + rest]).select(*df.columns)
 
@@ -175,7 +175,6 @@ def cap_iqr(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None = None, m
         return df, df.sparkSession.createDataFrame([], "column string, iqr_outliers long")
     bounds = iqr_bounds(df, cols, method)
     # A one-row table: broadcasting it is bounded by the number of columns.
-    # A one-row table: broadcasting it is bounded by the number of columns.
     d = df.crossJoin(F.broadcast(bounds))
     counts, capped = [], {}
     for c in cols:
@@ -187,10 +186,12 @@ def cap_iqr(df: DataFrame, spec: PanelSpec, cols: Sequence[str] | None = None, m
         # A value beyond 3 IQR is also beyond 1.5 IQR, so capping it implies the
         # column has an outlier: no separate "any outlier" pass is needed.
         keep = (iqr == 0) if skip_zero_iqr else F.lit(False)
+        # Bounds of whole numbers are fractions: such columns become doubles.
         typ = df.schema[c].dataType
+        typ = typ if isinstance(typ, (T.FloatType, T.DoubleType, T.DecimalType)) else T.DoubleType()
         capped[c] = (F.when(~keep & (F.col(c) < xlo), xlo.cast(typ))
                      .when(~keep & (F.col(c) > xhi), xhi.cast(typ))
-                     .otherwise(F.col(c)))
+                     .otherwise(F.col(c).cast(typ)))
     stats = d.agg(*counts)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("iqr_outliers")) for c in cols])
     report = stats.select(F.inline(pairs))
@@ -259,17 +260,27 @@ def time_gaps(df: DataFrame, spec: PanelSpec, min_gap_hours: int = 1) -> DataFra
 
 # ---------------------------------------------------------------- P2
 
-def temporal_split(df: DataFrame, spec: PanelSpec) -> DataFrame:
+def temporal_split(df: DataFrame, spec: PanelSpec, whole_days: bool = False) -> DataFrame:
     """``split`` column; bounds compare as midnight timestamps, so hours
-    after midnight on the train-end and val-end days belong to no split (NULL)."""
+    after midnight on the train-end and val-end days belong to no split (NULL).
+    ``whole_days`` takes these days whole (``unsplit_rows`` counts what is lost)."""
     # ISO strings cast straight to TIMESTAMP_NTZ: no session or process time
     # zone is involved (a Python datetime literal would be zone-aware).
     tr, vs, ve, ts = (F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz") for x in spec.split_bounds)
     t = F.col(spec.time)
-    s = (F.when(t <= tr, "train").when((t >= vs) & (t <= ve), "val").when(t >= ts, "test"))
+    if whole_days:
+        day = F.expr("INTERVAL 1 DAY")
+        s = F.when(t < tr + day, "train").when((t >= vs) & (t < ve + day), "val").when(t >= ts, "test")
+    else:
+        s = F.when(t <= tr, "train").when((t >= vs) & (t <= ve), "val").when(t >= ts, "test")
     return df.withColumn("split", s)
 
 
+def unsplit_rows(df: DataFrame) -> DataFrame:
+    """One row: rows that belong to no split."""
+    return df.agg(F.count_if(F.col("split").isNull()).cast("long").alias("unsplit_rows"))
+
+
 # ---------------------------------------------------------------- C1
 
 def preprocess(df: DataFrame, spec: PanelSpec, method: str = "exact", dedupe_tiebreak: Sequence[str] | None = None,
@@ -280,7 +291,10 @@ def preprocess(df: DataFrame, spec: PanelSpec, method: str = "exact", dedupe_tie
     reads it several times (sort, rank lookup, capping)."""
     d = with_time_index(df, spec) if with_index else df
     keys = [spec.key, spec.time]
-    tiebreak = list(dedupe_tiebreak or [c for c in d.columns if c not in keys][:1])
+    if spec.key not in d.columns:  # one unnamed series
+        out, reports = preprocess(d.withColumn(spec.key, F.lit("all")), spec, method, dedupe_tiebreak, False, cut_lineage)
+        return out.drop(spec.key), reports
+    tiebreak = list(dedupe_tiebreak or [c for c in d.columns if c not in keys])
     reports = {"duplicates": duplicate_count(d, keys)}
     d = remove_duplicates(d, keys, tiebreak)
     before = d
@@ -293,12 +307,12 @@ def preprocess(df: DataFrame, spec: PanelSpec, method: str = "exact", dedupe_tie
     d, reports["iqr"] = cap_iqr(d, spec, method=method)
     reports["quality"] = quality_summary(d, spec)
     d = temporal_split(d, spec)
+    reports["unsplit"] = unsplit_rows(d)
     return d, reports
 
 
 def preprocessing_report(reports: dict[str, DataFrame], rows_in: DataFrame, rows_out: DataFrame) -> DataFrame:
     """A22 (cleaning): ``(seq, line)`` report built from the report tables."""
-    spark = rows_in.sparkSession
     n_in = rows_in.agg(F.count(F.lit(1)).alias("n_in"))
     n_out = rows_out.agg(F.count(F.lit(1)).alias("n_out"))
     dup = reports["duplicates"].select("duplicates_removed")
@@ -316,5 +330,4 @@ def preprocessing_report(reports: dict[str, DataFrame], rows_in: DataFrame, rows
         F.format_string("Validation passed: %s", F.col("validation_passed").cast("string")),
         F.format_string("Rows out: %d", "n_out"),
     )
-    del spark
     return one.select(F.posexplode(lines).alias("seq", "line"))

@@ -103,7 +103,7 @@ def window_features(df: DataFrame, spec: PanelSpec, lags: Sequence[Lag] = (), ro
                     leak_safe: bool = False) -> DataFrame:
     """Lags and rolling statistics per key by row order, in one window pass.
     ``leak_safe`` moves every rolling frame to the n rows *before* the row, so
-    no feature contains the same-row value."""
+    no window contains the same-row value."""
     lags, rolls = list(lags), list(rolls)
     if not lags and not rolls:
         return df
@@ -203,14 +203,14 @@ def basic_rolls(df: DataFrame, spec: PanelSpec) -> list[Roll]:
 
 # ---------------------------------------------------------------- M7
 
-def full_interactions(df: DataFrame, spec: PanelSpec) -> DataFrame:
+def full_interactions(df: DataFrame, spec: PanelSpec, leak_safe: bool = False) -> DataFrame:
     cols = set(df.columns)
     new = {}
     if {"TEMP", "DEWP"} <= cols:
         new["temp_dewp_interaction"] = F.col("TEMP") * F.col("DEWP")
     if "WSPM" in cols:
         for c in spec.present(df, spec.pollutants):
-            new[f"{c}_wind_interaction"] = F.col(c) * F.col("WSPM")
+            new[f"{c}_wind_interaction"] = known(df, spec, c, leak_safe) * F.col("WSPM")
     if {"PRES", "TEMP"} <= cols:
         new["pres_temp_interaction"] = F.col("PRES") * F.col("TEMP")
     lag1 = f"{spec.target}_lag_1h"
@@ -222,13 +222,19 @@ def full_interactions(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def safe_interactions(df: DataFrame, spec: PanelSpec) -> DataFrame:
+def known(df: DataFrame, spec: PanelSpec, col: str, leak_safe: bool) -> Column:
+    """A value that a forecast of the row may use: with ``leak_safe`` the
+    target's is the previous row's."""
+    return F.col(f"{col}_lag_1h") if leak_safe and col == spec.target else F.col(col)
+
+
+def safe_interactions(df: DataFrame, spec: PanelSpec, leak_safe: bool = False) -> DataFrame:
     cols = set(df.columns)
     new = {}
     if {"TEMP", "DEWP"} <= cols:
         new["temp_dewp_interaction"] = F.col("TEMP") * F.col("DEWP")
     if "WSPM" in cols and spec.target in cols:
-        new[f"{spec.target}_wind_interaction"] = F.col(spec.target) * F.col("WSPM")
+        new[f"{spec.target}_wind_interaction"] = known(df, spec, spec.target, leak_safe) * F.col("WSPM")
     if {"PRES", "TEMP"} <= cols:
         new["pres_temp_interaction"] = F.col("PRES") * F.col("TEMP")
     return df.withColumns(new) if new else df
@@ -240,24 +246,24 @@ def station_features(df: DataFrame, spec: PanelSpec, means: bool = True, source:
     """Key dummies ``{key}_{level}`` and (C2) per-level target mean
     ``{level}_mean_{target}`` on that level's rows, NULL elsewhere, plus a
     dense ``station_mean``.  The means are one grouped aggregate (one row per
-    level) joined back by broadcast; the level count is bounded."""
+    level) joined back; the planner broadcasts it if it is small."""
     lv = key_levels(df, spec)
     d = df.withColumns(one_hot(F.col(spec.key), lv, spec.key))
     if not means or spec.target not in df.columns:
         return d
     m = (source if source is not None else df).groupBy(spec.key).agg(F.avg(spec.target).alias("station_mean"))
-    d = d.join(F.broadcast(m), spec.key, "left")
+    d = d.join(m, spec.key, "left")
     return d.withColumns({f"{x}_mean_{spec.target}": F.when(F.col(spec.key) == F.lit(x), F.col("station_mean"))
                           for x in lv})
 
 
 # ---------------------------------------------------------------- W10, M6, M8, A8
 
-def composite_index(df: DataFrame, spec: PanelSpec, source: DataFrame | None = None) -> DataFrame:
+def composite_index(df: DataFrame, spec: PanelSpec, source: DataFrame | None = None, leak_safe: bool = False) -> DataFrame:
     """Mean of min-max scaled PM2.5, PM10, NO2, SO2 (those present, at
     least two); NULL if any part is NULL.  Min and max are one global
-    aggregate row, broadcast onto the panel."""
-    parts = spec.present(df, C.COMPOSITE_POLLUTANTS)
+    aggregate row, broadcast onto the panel. ``leak_safe`` leaves the target out."""
+    parts = [c for c in spec.present(df, C.COMPOSITE_POLLUTANTS) if not (leak_safe and c == spec.target)]
     if len(parts) < 2:
         return df
     src = source if source is not None else df
@@ -272,16 +278,20 @@ def composite_index(df: DataFrame, spec: PanelSpec, source: DataFrame | None = N
     return d.drop(*[f"_{c}_min" for c in parts], *[f"_{c}_max" for c in parts])
 
 
-def advanced_features(df: DataFrame, spec: PanelSpec, full: bool = True, source: DataFrame | None = None) -> DataFrame:
+def advanced_features(df: DataFrame, spec: PanelSpec, full: bool = True, source: DataFrame | None = None,
+                      leak_safe: bool = False) -> DataFrame:
     """C2 / C3 advanced block: change rate (C2), PM ratio, temperature change,
-    pressure trend (C2), wind direction numeric/sin/cos, composite index (C2)."""
+    pressure trend (C2), wind direction numeric/sin/cos, composite index (C2).
+    ``leak_safe``: the change rate is the previous row's, the ratio takes the
+    target from there, the composite leaves it out."""
     cols = set(df.columns)
     t, lag1 = spec.target, f"{spec.target}_lag_1h"
     new = {}
     if full and lag1 in cols:
-        new[f"{t}_change_rate"] = safe_ratio(F.col(t) - F.col(lag1), F.col(lag1), C.RATIO_EPS)
+        now, was = (F.col(lag1), F.col(f"{t}_lag_2h")) if leak_safe else (F.col(t), F.col(lag1))
+        new[f"{t}_change_rate"] = safe_ratio(now - was, was, C.RATIO_EPS)
     if {"PM2_5", "PM10"} <= cols:
-        new["pm25_pm10_ratio"] = safe_ratio(F.col("PM2_5"), F.col("PM10"), C.RATIO_EPS)
+        new["pm25_pm10_ratio"] = safe_ratio(known(df, spec, "PM2_5", leak_safe), known(df, spec, "PM10", leak_safe), C.RATIO_EPS)
     if "TEMP_lag_1h" in cols:
         new["temp_change_rate"] = F.col("TEMP") - F.col("TEMP_lag_1h")
     if full and "PRES_lag_6h" in cols:
@@ -291,7 +301,7 @@ def advanced_features(df: DataFrame, spec: PanelSpec, full: bool = True, source:
         new["wind_direction_numeric"] = compass_degrees(F.col(spec.wind))
         new.update(wind_components(F.col(spec.wind)))
     d = df.withColumns(new) if new else df
-    return composite_index(d, spec, source) if full else d
+    return composite_index(d, spec, source, leak_safe) if full else d
 
 
 # ---------------------------------------------------------------- P4
@@ -326,12 +336,13 @@ def engineer_full(df: DataFrame, spec: PanelSpec, station: bool = True, leak_saf
     spec = with_levels(df, spec) if station else spec
     d = calendar_features(df, spec, holiday=True)
     d = window_features(d, spec, full_lags(d, spec), full_rolls(d, spec), leak_safe=leak_safe)
-    d = full_interactions(d, spec)
+    d = full_interactions(d, spec, leak_safe)
     # Station means and min/max read raw columns of the same rows: take them
     # from the input, not from the windowed frame.
     if station and spec.key in d.columns:
-        d = station_features(d, spec, means=True, source=df)
-    d = advanced_features(d, spec, full=True, source=df)
+        # A level's mean holds the row's own target: not with leak_safe.
+        d = station_features(d, spec, means=not leak_safe, source=df)
+    d = advanced_features(d, spec, full=True, source=df, leak_safe=leak_safe)
     return drop_critical_nulls(d, spec)
 
 
@@ -341,10 +352,10 @@ def engineer_optimized(df: DataFrame, spec: PanelSpec, station: bool = True, lea
     spec = with_levels(df, spec) if station else spec
     d = calendar_features(df, spec, holiday=False)
     d = window_features(d, spec, safe_lags(d, spec), safe_rolls(d, spec), leak_safe=leak_safe)
-    d = safe_interactions(d, spec)
+    d = safe_interactions(d, spec, leak_safe)
     if station and spec.key in d.columns:
         d = station_features(d, spec, means=False)
-    d = advanced_features(d, spec, full=False)
+    d = advanced_features(d, spec, full=False, leak_safe=leak_safe)
     return drop_critical_nulls(d, spec)
 
 

@@ -3,9 +3,11 @@
 ``exact`` reproduces linear interpolation between order statistics
 (``percentile`` / DuckDB ``quantile_cont`` / pandas ``quantile``) without
 sending a column's values to one task: values of all columns are unpivoted
-to ``(name, v)``, range-partitioned and sorted by ``(name, v)``; per-partition
-counts (one row per partition and column, a bounded table) give each row its
-global rank, and only the ranks the requested probabilities need are kept.
+to ``(name, v)`` and counted per distinct value (summed within tasks first, so a
+value that fills most of a column is one row a task). The distinct values are
+range-partitioned and sorted; their running counts, per partition and then over the
+partitions' totals (one row per partition and column), give each value its ranks,
+and only the values that hold a needed rank are kept.
 
 ``approx`` uses ``percentile_approx`` (one pass, bounded memory per task)
 with a relative rank error of ``1 / accuracy``.
@@ -21,9 +23,6 @@ from pyspark.sql import functions as F
 from tessera.session import materialize
 
 
-_LOW_BITS = (1 << 33) - 1
-
-
 def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])
     return df.select(F.inline(pairs)).where(F.col("v").isNotNull() & ~F.isnan("v"))
@@ -36,8 +35,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
     cols = list(cols)
     probs = [float(p) for p in probs]
     spark = df.sparkSession
-    names = spark.createDataFrame([(c,) for c in cols], "name string")
-    grid = names.crossJoin(spark.createDataFrame([(p,) for p in probs], "prob double"))
+    grid = spark.createDataFrame([(c, p) for c in cols for p in probs], "name string, prob double")
     if method == "approx":
         long = _long_values(df, cols)
         got = long.groupBy("name").agg(
@@ -49,22 +47,15 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
 
-    long = _long_values(df, cols)
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (long.repartitionByRange(nparts, "name", "v").sortWithinPartitions("name", "v")
-               .withColumn("_mid", F.monotonically_increasing_id()))
+    values = _long_values(df, cols).groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
     # Range bounds come from sampling the input, and an unordered input may be
-    # sampled differently by two evaluations: write the numbered values once so
-    # the per-partition counts and the ranked rows agree.
-    ordered = materialize(ordered.select("name", "v", F.shiftright("_mid", 33).alias("_part"),
-                                         F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)).alias("_local")))
+    # sampled differently by two evaluations: the distinct values are written once.
+    ordered = materialize(values.repartitionByRange("name", "v").withColumn("_part", F.spark_partition_id()))
     # One row per (partition, column): bounded by partitions x columns.
-    per_part = ordered.groupBy("_part", "name").agg(F.count(F.lit(1)).alias("_n"),
-                                                   F.min("_local").alias("_first"))
+    per_part = ordered.groupBy("_part", "name").agg(F.sum("c").alias("_n"))
     wpart = Window.partitionBy("name").orderBy("_part")
     offsets = per_part.select(
-        "_part", "name", "_first",
-        F.coalesce(F.sum("_n").over(wpart.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+        "_part", "name", F.coalesce(F.sum("_n").over(wpart.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     totals = per_part.groupBy("name").agg(F.sum("_n").alias("n"))
     targets = grid.join(totals, "name", "left").select(
         "name", "prob", "n",
@@ -74,10 +65,12 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
                              (F.col("_h") - F.floor("_h")).alias("frac"))
     need = (targets.select("name", F.explode(F.array("lo", "hi")).alias("rank"))
             .where(F.col("rank").isNotNull()).distinct())
-    ranked = ordered.join(F.broadcast(offsets), ["_part", "name"]).select(
-        "name", "v", (F.col("_off") + F.col("_local") - F.col("_first")).alias("rank"))
+    upto = Window.partitionBy("_part", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ordered.withColumn("_upto", F.sum("c").over(upto)).join(offsets, ["_part", "name"]).select(
+        "name", "v", (F.col("_off") + F.col("_upto") - F.col("c")).alias("_from"), (F.col("_off") + F.col("_upto")).alias("_to"))
     # ``need`` has at most 2 x columns x probabilities rows.
-    picked = ranked.join(F.broadcast(need), ["name", "rank"]).select("name", "rank", "v")
+    picked = ranked.join(F.broadcast(need), "name").where(
+        (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to"))).select("name", "rank", "v")
     lo = picked.select("name", F.col("rank").alias("lo"), F.col("v").alias("vlo"))
     hi = picked.select("name", F.col("rank").alias("hi"), F.col("v").alias("vhi"))
     out = (targets.join(lo, ["name", "lo"], "left").join(hi, ["name", "hi"], "left")

@@ -38,30 +38,31 @@ def time_bucket(spec, col: str | Column | None = None) -> Column:
     return F.date_trunc(spec.position_bucket, c)
 
 
+def row_order(df: DataFrame, spec) -> list[str]:
+    """The time column, then the tiebreak columns that are there."""
+    return [spec.time, *spec.present(df, spec.tiebreak)]
+
+
 def with_position(df: DataFrame, spec, order: Sequence[str] | None = None) -> DataFrame:
     """Add ``_pos``: 0-based row number within ``spec.key`` in ``order``
-    (default: the time column).  Reuses an existing ``_pos``.
+    (default: the time column, then ``spec.tiebreak``).  Reuses an existing ``_pos``.
     ``spec.position_method``: ``"bucket"`` numbers inside (key, time bucket)
     groups; ``"sort"`` ranks by a range-partitioned sort, so no group of any
     grain is ever one task."""
     if POS in df.columns:
         return df
     if getattr(spec, "position_method", "bucket") == "sort":
-        return _position_by_sort(df, spec, list(order or [spec.time]))
-    key = spec.key
-    order = list(order or [spec.time])
-    d = df.withColumn("_tb", time_bucket(spec))
-    counts = d.groupBy(key, "_tb").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col(key).alias("_ok"), F.col("_tb").alias("_otb"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    rn = F.row_number().over(Window.partitionBy(key, "_tb").orderBy(*order))
-    d = d.withColumn("_rn", rn)
-    cond = d[key].eqNullSafe(offsets["_ok"]) & d["_tb"].eqNullSafe(offsets["_otb"])
-    d = d.join(offsets, cond, "inner")
-    return d.withColumn(POS, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop(
-        "_ok", "_otb", "_off", "_rn", "_tb")
+        return _position_by_sort(df, spec, list(order or row_order(df, spec)))
+    # A struct is never NULL itself and compares its NULL fields as equal, so the
+    # numbering and the join share one plain key: rows are shuffled once.
+    group = F.struct(F.col(spec.key).alias("k"), time_bucket(spec).alias("b"))
+    d = df.withColumn("_kb", group)
+    counts = d.groupBy("_kb").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_kb.k").orderBy("_kb.b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_kb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rn = F.row_number().over(Window.partitionBy("_kb").orderBy(*(order or row_order(df, spec))))
+    d = d.withColumn("_rn", rn).join(offsets, "_kb")
+    return d.withColumn(POS, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_kb", "_off", "_rn")
 
 
 _LOW_BITS = (1 << 33) - 1
@@ -73,8 +74,7 @@ def _position_by_sort(df: DataFrame, spec, order: list[str]) -> DataFrame:
     earlier partitions (a table of at most partitions + keys rows) give its
     position.  ``order`` must make rows of a key unique for stable numbers."""
     key = spec.key
-    nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    o = (df.repartitionByRange(nparts, key, *order).sortWithinPartitions(key, *order)
+    o = (df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
          .withColumn("_mid", F.monotonically_increasing_id()))
     o = o.withColumns({"_part": F.shiftright("_mid", 33), "_local": F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))})
     # The range bounds come from sampling the input; two evaluations of an
@@ -82,14 +82,13 @@ def _position_by_sort(df: DataFrame, spec, order: list[str]) -> DataFrame:
     # the counts and the rows agree.
     from tessera.session import materialize
     o = materialize(o)
-    per = o.groupBy("_part", key).agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(F.col("_part").alias("_op"), F.col(key).alias("_ok"), "_first",
-                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    cond = (o["_part"] == offsets["_op"]) & o[key].eqNullSafe(offsets["_ok"])
-    d = o.join(offsets, cond, "inner")
+    o = o.withColumn("_kp", F.struct(F.col("_part").alias("p"), F.col(key).alias("k")))
+    per = o.groupBy("_kp").agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
+    before = Window.partitionBy("_kp.k").orderBy("_kp.p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("_kp", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    d = o.join(offsets, "_kp")
     return d.withColumn(POS, (F.col("_off") + F.col("_local") - F.col("_first")).cast("long")).drop(
-        "_mid", "_part", "_local", "_op", "_ok", "_first", "_off")
+        "_mid", "_part", "_local", "_kp", "_first", "_off")
 
 
 def drop_position(df: DataFrame) -> DataFrame:
@@ -126,24 +125,23 @@ def carry_fill(df: DataFrame, spec, cols: Sequence[str]) -> DataFrame:
     d = with_position(df, spec)
     size = int(spec.chunk_rows)
     key = spec.key
-    d = d.withColumn(CHUNK, F.expr(f"{POS} div {size}"))
+    d = d.withColumn(CHUNK, F.struct(F.col(key).alias("k"), F.expr(f"{POS} div {size}").alias("c")))
     aggs = []
     for c in cols:
         pair = F.struct(F.col(POS).alias("p"), F.col(c).alias("v"))
         aggs.append(F.max(F.when(F.col(c).isNotNull(), pair)).alias(f"{c}__last"))
         aggs.append(F.min(F.when(F.col(c).isNotNull(), pair)).alias(f"{c}__first"))
-    summary = d.groupBy(key, CHUNK).agg(*aggs)
-    ws = Window.partitionBy(key).orderBy(CHUNK)
+    summary = d.groupBy(CHUNK).agg(*aggs)
+    ws = Window.partitionBy(f"{CHUNK}.k").orderBy(f"{CHUNK}.c")
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
     after = ws.rowsBetween(1, Window.unboundedFollowing)
-    carries = [F.col(key).alias("_ck"), F.col(CHUNK).alias("_cc")]
+    carries = [F.col(CHUNK)]
     for c in cols:
         carries.append(F.last(f"{c}__last", ignorenulls=True).over(before).alias(f"{c}__cin"))
         carries.append(F.first(f"{c}__first", ignorenulls=True).over(after).alias(f"{c}__cout"))
     carry = summary.select(*carries)
-    cond = d[key].eqNullSafe(carry["_ck"]) & (d[CHUNK] == carry["_cc"])
-    d = d.join(carry, cond, "inner").drop("_ck", "_cc")
-    w = Window.partitionBy(key, CHUNK).orderBy(POS)
+    d = d.join(carry, CHUNK)
+    w = Window.partitionBy(CHUNK).orderBy(POS)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     onward = w.rowsBetween(0, Window.unboundedFollowing)
     new = {}

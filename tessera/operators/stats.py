@@ -6,8 +6,7 @@ from __future__ import annotations
 import statistics
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +14,7 @@ from tessera import config as C
 from tessera.config import PanelSpec
 from tessera.operators.quantiles import quantile_row, quantiles
 from tessera.operators.sequence import POS, drop_position, with_position
+from tessera.session import materialize
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -75,8 +75,13 @@ def mode_fill(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
     if not cols:
         return df
     src = fit if fit is not None else df
-    modes = src.agg(*[F.mode(c, deterministic=True).alias(f"_mode_{c}") for c in cols])
-    d = df.crossJoin(F.broadcast(modes))
+    # Counted by value (summed within tasks first), then the best per column:
+    # the smallest (-count, value). No buffer holds a column's values.
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in cols])
+    counts = src.select(F.inline(pairs)).where(F.col("v").isNotNull()).groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("b"))
+    modes = best.agg(*[F.max(F.when(F.col("name") == c, F.col("b.v"))).alias(f"_mode_{c}") for c in cols])
+    d = df.crossJoin(F.broadcast(modes))   # one row
     d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"_mode_{c}"), F.lit(default)) for c in cols})
     return d.drop(*[f"_mode_{c}" for c in cols])
 
@@ -117,7 +122,6 @@ def select_features(df: DataFrame, spec: PanelSpec, max_features: int = C.MAX_SE
 
 
 def _rank_window():
-    from pyspark.sql import Window
     return Window.orderBy(F.col("priority").asc_nulls_last(), F.col("abs_corr").desc_nulls_last(), F.col("feature"))
 
 
@@ -134,14 +138,15 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: Sequence[str] = ()) -
     by = list(by)
     rng = df.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.count(col).alias("_n")) \
         if by else df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.count(col).alias("_n"))
-    d = df.where(F.col(col).isNotNull())
+    # Counted by value first: what meets a group's range is its distinct values.
+    d = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
     # One row overall: broadcast.  Per group the table grows with the number of
     # groups, so the join strategy is left to the planner / AQE.
     d = d.join(rng, by) if by else d.crossJoin(F.broadcast(rng))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     raw = F.floor(F.try_divide((F.col(col) - F.col("_lo")) * F.lit(float(bins)), F.col("_hi") - F.col("_lo")))
     d = d.withColumn("bin", F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1)).cast("long"))
-    counts = d.groupBy(*by, "bin", "_lo", "_hi", "_n").agg(F.count(F.lit(1)).alias("count"))
+    counts = d.groupBy(*by, "bin", "_lo", "_hi", "_n").agg(F.sum("_c").alias("count"))
     w = width
     return counts.select(
         *by, "bin", (F.col("_lo") + F.col("bin") * w).alias("bin_lo"), (F.col("_lo") + (F.col("bin") + 1) * w).alias("bin_hi"),
@@ -219,16 +224,27 @@ def raw_model_columns(df: DataFrame) -> list[str]:
         cols += list(C.RAW_MODEL_TIME_COLUMNS)
     got = [c for c in cols if c in df.columns]
     if not got:
-        raise ValueError("No valid features found for modeling")
+        raise ValueError("none of the raw model columns is in the frame")
     return got
 
 
 # ---------------------------------------------------------------- M2
 
 def label_encode(df: DataFrame, col: str, fit: DataFrame | None = None, out: str | None = None) -> DataFrame:
-    """M2: string -> code in alphabetical order of the ``fit`` frame's values;
-    unseen values get the next code (``handleInvalid='keep'``)."""
-    idx = StringIndexer(inputCol=col, outputCol=out or f"{col}_index", stringOrderType="alphabetAsc",
-                        handleInvalid="keep")
-    model = idx.fit(fit if fit is not None else df)
-    return model.transform(df)
+    """M2: string -> code (double) in alphabetical order of the ``fit`` frame's
+    values; unseen values and NULL get the next code. The distinct values are
+    range-partitioned, numbered by partition offsets and joined: no label
+    passes through the driver."""
+    name = out or f"{col}_index"
+    labels = (fit if fit is not None else df).select(F.col(col).alias("_label")).where(F.col("_label").isNotNull()).distinct()
+    labels = materialize(labels.repartitionByRange("_label").sortWithinPartitions("_label")
+                         .withColumn("_part", F.spark_partition_id()))
+    sizes = labels.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_label"))
+    codes = labels.withColumn("_r", rank).join(sizes.select("_part", "_off"), "_part").select(
+        "_label", (F.col("_off") + F.col("_r") - 1).cast("double").alias(name))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("double").alias("_next"))  # one row
+    d = df.join(codes, F.col(col) == F.col("_label"), "left").crossJoin(F.broadcast(total))
+    return d.withColumn(name, F.coalesce(F.col(name), F.col("_next"))).drop("_label", "_next")

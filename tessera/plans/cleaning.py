@@ -75,7 +75,7 @@ def physical_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def iqr_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: global Q1/Q3 per numeric column (exact), cap beyond 3 IQR."""
     capped, _ = clean.cap_iqr(fx.hourly_panel(spark, sf_dir), SPEC)
-    return finish(capped)
+    return finish(capped.withColumn("hh", F.col("hh").cast("long")))
 
 
 def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ def panel_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaned_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicates -> fills + sparse rows -> physical clip -> IQR cap -> split."""
     d, _ = clean.preprocess(fx.hourly_panel(spark, sf_dir), SPEC, dedupe_tiebreak=["hh"])
-    return finish(d)
+    return finish(d.withColumn("hh", F.col("hh").cast("long")))
 
 
 QUERIES = {

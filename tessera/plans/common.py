@@ -14,13 +14,6 @@ from tessera.config import COMPASS_POINTS
 DIGITS = 6
 
 
-def round_half_away(c, digits: int = DIGITS):
-    """Round to ``digits`` decimals, halves away from zero (the rounding the
-    SQL oracle applies), so both sides print the same value."""
-    m = float(10 ** digits)
-    return F.signum(c) * F.floor(F.abs(c) * F.lit(m) + F.lit(0.5)).cast("double") / F.lit(m)
-
-
 def stable_round(c, digits: int = DIGITS):
     """Round first to 10 decimals (as DECIMAL(38,10)), then to ``digits``,
     halves away from zero: values that differ only in the last bits (sums

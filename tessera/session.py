@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +21,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Checkpoint files go once nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
         # Feature tables are wide (60-200 columns) and fill / filter every
         # column: constraint inference is quadratic-to-exponential there.
@@ -39,22 +41,31 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) create a scratch directory for it."""
+    """Use the cluster's ``spark.checkpoint.dir``; only a local master, whose
+    executors share the driver's disk, gets a scratch directory when it is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def wide_tables(spark: SparkSession) -> None:
-    """Runtime setting for plans over wide feature tables (many aliases and
-    null filters), where Catalyst's constraint inference blows up."""
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+@contextlib.contextmanager
+def wide_tables(spark: SparkSession):
+    """While plans over wide feature tables (many aliases and null filters) run:
+    no constraint inference, which blows up there. The caller's setting returns."""
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -62,7 +73,3 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     so a lost executor recomputes from the written files, not from scratch."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
-
-
-def persist(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

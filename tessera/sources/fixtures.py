@@ -61,6 +61,21 @@ def hourly_panel(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataF
     return g.select(*cols)
 
 
+def row_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per ``lineitem`` row, seven keys, many rows per day: ``hh`` (unique)
+    orders rows of one time. Nulls on fixed patterns, as in the hourly panel."""
+    li = table(spark, sf_dir, "lineitem")
+    hh = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return li.select(
+        F.concat(F.lit("k"), (F.col("l_suppkey") % 7).cast("string")).alias("station"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias("datetime"), hh.alias("hh"),
+        F.when((hh % 50).between(10, 17), F.lit(None)).otherwise(F.col("l_extendedprice").cast("double")).alias("PM2_5"),
+        F.col("l_quantity").cast("double").alias("PM10"), F.col("l_discount").cast("double").alias("SO2"),
+        F.col("l_tax").cast("double").alias("NO2"),
+        F.when(F.col("l_orderkey") % 3 > 0, F.lit(None)).otherwise(F.col("l_quantity").cast("double") / 7).alias("TEMP"),
+        compass_label(F.col("l_partkey") % 16).alias("wd"))
+
+
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderpriority, o_orderdate) panel from ``orders``."""
     o = table(spark, sf_dir, "orders")

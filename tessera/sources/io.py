@@ -30,11 +30,32 @@ RAW_SCHEMA = T.StructType([
 
 
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """CSV scan with a declared schema (no inference); ``path`` may be a
-    glob over one file per station and year.  ``PM2.5`` becomes ``PM2_5``."""
-    df = (spark.read.schema(schema).option("header", True).option("nullValue", "NA")
-          .option("mode", "PERMISSIVE").csv(path))
-    return df.withColumnRenamed("PM2.5", "PM2_5")
+    """CSV scan with declared types; ``path`` may be a glob over one file
+    per station and year. Columns bind by header name (columns that a file set
+    lacks are NULL, others are dropped), so all files of one call must share a
+    header; a file whose header differs from the first one's fails the read.
+    A value that isn't of its declared type is NULL and counts in
+    ``malformed`` (see :func:`malformed_rows`). ``PM2.5`` becomes ``PM2_5``."""
+    raw = spark.read.option("header", True).option("nullValue", "NA").option("enforceSchema", False)
+    names = raw.csv(path).columns  # the header only: no types are inferred
+    text = raw.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
+    cols, bad = [], F.lit(0)
+    for f in schema.fields:
+        name = f.name.replace(".", "_")
+        if f.name not in names:
+            cols.append(F.lit(None).cast(f.dataType).alias(name))
+            continue
+        c = F.trim(F.col(f"`{f.name}`"))
+        typed = c.try_cast(f.dataType)
+        cols.append(typed.alias(name))
+        bad = bad + (c.isNotNull() & typed.isNull()).cast("int")
+    return text.select(*cols, bad.alias("malformed"))
+
+
+def malformed_rows(df: DataFrame) -> DataFrame:
+    """One row: rows with a malformed value, and such values in all."""
+    return df.agg(F.count_if(F.col("malformed") > 0).cast("long").alias("rows"),
+                  F.coalesce(F.sum("malformed"), F.lit(0)).cast("long").alias("cells"))
 
 
 def read_panel(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -44,10 +65,6 @@ def read_panel(spark: SparkSession, path: str, split: str | None = None) -> Data
     return df.where(F.col("split") == split) if split else df
 
 
-def read_panel_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
-
-
 def write_panel(df: DataFrame, path: str, by_split: bool = True) -> None:
     """S3: Parquet sink, partitioned by ``split`` so each split is its own
     directory (partition pruning on read)."""
@@ -99,10 +116,12 @@ def _field_or_null(sub: DataFrame, colname: str, field: str, typ: str):
 def assets_check(spark: SparkSession, expected: DataFrame, root: str) -> DataFrame:
     """Expected relative paths ``(path)`` anti-joined with the files
     present under ``root``; returns ``(path, present)`` for every expected file."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-             .select(F.regexp_replace("path", r"^file:", "").alias("full"), "length"))
-    prefix = root.rstrip("/") + "/"
-    files = files.select(F.expr(f"substring(full, {len(prefix) + 1})").alias("path"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("full"))
+    # The root as its file system writes it, however it was given.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    prefix = fs.makeQualified(hadoop).toString().rstrip("/") + "/"
+    files = files.where(F.startswith("full", F.lit(prefix))).select(F.substring("full", len(prefix) + 1, 1 << 20).alias("path"))
     missing = expected.join(files, "path", "left_anti").select("path", F.lit(False).alias("present"))
     found = expected.join(files, "path", "left_semi").select("path", F.lit(True).alias("present"))
     return found.unionByName(missing)
