@@ -41,6 +41,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noembed noframes iframe xmp".split())
 INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s "
                     "samp small span strike strong sub sup time tt u var wbr").split())
+#: Within a paragraph, like inline elements: neither a block's start nor its end.
+WITHIN = INLINE | frozenset(("script style noscript template iframe object embed svg math canvas audio video button select "
+                             "option optgroup input textarea img picture source track map area").split())
 NO_TEXT = frozenset(("head script style noscript template iframe object embed svg math canvas audio video select option "
                      "textarea button form nav footer aside dialog menu title noembed noframes input fieldset").split())
 #: Blocks whose start ends an open element of the same set.
@@ -124,7 +127,7 @@ def read_page(html: str, drop_parts: bool = True) -> Page:
         if tag == "br":
             page.nodes.append((stack[-1], block, " "))
             continue
-        if tag not in INLINE:
+        if tag not in WITHIN:
             block += 1
         if m[1]:
             # An end tag closes its element unless a container lies between.
@@ -138,14 +141,14 @@ def read_page(html: str, drop_parts: bool = True) -> Page:
             continue
         if tag in VOID:
             continue
-        if tag not in INLINE:
+        if tag not in WITHIN:
             ends = CLOSED_BY_SAME.get(tag, ()) or ("p", "h1", "h2", "h3", "h4", "h5", "h6") if tag in CLOSED_BY_SAME else ("p",)
             for k in range(len(stack) - 1, 0, -1):
                 t = page.tag[stack[k]]
                 if t in ends:
                     pop_to(k)
                     break
-                if t not in INLINE and t not in ("p", "td", "th"):
+                if t not in WITHIN and t not in ("p", "td", "th"):
                     break
         up = stack[-1]
         page.tag.append(tag)
@@ -153,7 +156,7 @@ def read_page(html: str, drop_parts: bool = True) -> Page:
         page.path.append(paths.setdefault((page.path[up], tag), len(paths) + 1))
         drop = no_article_text(tag, m[3], in_article > 0) if drop_parts else tag in ("head", "script", "style", "noscript", "template")
         page.dropped.append(page.dropped[up] or drop)
-        if m[3].endswith("/") and tag not in INLINE and tag not in SCOPE and tag != "p":
+        if m[3].endswith("/") and tag not in WITHIN and tag not in SCOPE and tag != "p":
             continue  # <x/>: no content
         if tag in RAW:
             close = re.compile(f"</{re.escape(tag)}", re.IGNORECASE).search(html, pos)
