@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from tessera.llm.names import fresh
 from tessera.llm.pieces import byte_batches
 from tessera.llm.shingles import mix, shingle_sets
-from tessera.session import materialize
+from tessera.llm.steps import settle
 
 BATCH_BYTES = 8 << 20
 SMALL = 128
@@ -105,32 +105,27 @@ def bucket_number(*path: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*path), 1)
 
 
-def buckets(sets: DataFrame, runs: int, levels: int, small: int) -> tuple[DataFrame, DataFrame]:
-    """(bucket, sid) of the small leaf buckets and of those still large after
-    the last level; buckets of one set are gone."""
-    members = sets.select("sid", "paths", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).select(
-        "sid", "run", F.slice("paths", F.col("run") * levels + 1, levels).alias("paths"))
-    members = members.select("sid", "run", "paths", F.explode(F.get("paths", F.lit(0))).alias("t")).select(
-        bucket_number(F.col("run"), F.col("t")).alias("bucket"), "sid", "paths")
-    leaves, large = [], None
+def buckets(sets: DataFrame, runs: int, levels: int, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """(bucket, sid) of the small leaf buckets, and of those still large after
+    the last level (None if there are none); buckets of one set are gone."""
+    first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.transform(
+        F.get("paths", r * levels), lambda t: F.struct(r.alias("run"), bucket_number(r, t).alias("bucket"))))
+    members = sets.select("sid", F.explode(F.flatten(first)).alias("b")).select("b.bucket", "b.run", "sid")
+    leaves = None
     for level in range(levels):
-        # One shuffle of the members serves the counts (summed within tasks
-        # first) and, for large buckets, the split.
+        # Counted with partial sums; only members of buckets of two or more go on.
         sizes = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-        few = members.select("bucket", "sid").join(sizes.where(F.col("m") <= small).select("bucket"), "bucket")
-        leaves.append(few)
-        large = members.join(sizes.where(F.col("m") > small).select("bucket"), "bucket")
+        shared = settle(members.join(sizes, "bucket"))
+        few = shared.where(F.col("m") <= small).select("bucket", "sid")
+        leaves = few if leaves is None else leaves.unionByName(few)
+        large = shared.where(F.col("m") > small).select("bucket", "run", "sid")
+        if not large.limit(1).count():
+            return leaves, None
         if level < levels - 1:
-            split = large.select("bucket", "sid", "paths", F.explode(F.get("paths", F.lit(level + 1))).alias("t"))
-            members = materialize(split.select(
-                bucket_number(F.col("bucket"), F.col("t")).alias("bucket"), "sid", "paths"))
-            if members.limit(1).count() == 0:
-                large = members
-                break
-    out = leaves[0]
-    for x in leaves[1:]:
-        out = out.unionByName(x)
-    return out, large.select("bucket", "sid")
+            tokens = F.get("paths", F.col("run") * levels + level + 1)
+            members = settle(large.join(sets.select("sid", "paths"), "sid").select("bucket", "run", "sid", F.explode(tokens).alias("t")).select(
+                bucket_number(F.col("bucket"), F.col("t")).alias("bucket"), "run", "sid"))
+    return leaves, large.select("bucket", "sid")
 
 
 def distinct_buckets(members: DataFrame) -> DataFrame:
@@ -144,16 +139,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, root) of every vertex of ``edges``: root is the smallest vertex of
     its connected component. Each round takes the smallest label among a vertex
     and its neighbours, then the label of that label."""
-    e = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b")))
+    e = settle(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b")))
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both)
-    label = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root")))
+    both = settle(both)
+    label = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root")))
     while True:
         near = both.join(label, both["b"] == label["v"]).groupBy("a").agg(F.min("root").alias("m"))
         step = label.join(near, label["v"] == near["a"], "left").select(
             "v", F.col("root").alias("was"), F.coalesce(F.least("root", "m"), F.col("root")).alias("root"))
         up = label.select(F.col("v").alias("p"), F.col("root").alias("pr"))
-        new = materialize(step.join(up, step["root"] == up["p"], "left").select(
+        new = settle(step.join(up, step["root"] == up["p"], "left").select(
             "v", "was", F.coalesce(F.least("root", "pr"), F.col("root")).alias("root")))
         label = new.select("v", "root")
         if new.where("was <> root").limit(1).count() == 0:
@@ -204,36 +199,49 @@ def compare(side: np.ndarray, own: list, tokens: list, number: int, mult: np.nda
     return (mine * mult[None, :]).sum(axis=1), group
 
 
-def links(docs: DataFrame, reps: DataFrame, members: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, members: DataFrame, size: int, similarity: float) -> DataFrame:
     """(sid, links, root): for each set in a bucket, the weighted number of its
-    links owned there, and the smallest set of its group there. ``reps``: (sid,
-    id, k, n, mult) with one document for each set."""
+    links owned there, and the smallest set of its group there. ``docs``: (id,
+    k, t); ``reps``: (sid, id, k, n, mult) with one document for each set."""
     num, den = Fraction(similarity).limit_denominator(1000).as_integer_ratio()
-    own = members.groupBy("sid").agg(F.sort_array(F.collect_list("bucket")).alias("own"))
-    # The sets themselves, made again from one text each, only where compared.
-    texts = docs.join(own.join(reps, "sid"), (docs["id"].eqNullSafe(reps["id"])) & (docs["k"] == reps["k"])).select(
-        "sid", "mult", "own", docs["t"]).dropDuplicates(["sid"])
+    # Large buckets go in blocks: a set meets every block of its bucket once.
+    blocks = members.join(reps.select("sid", "n"), "sid").groupBy("bucket").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    own = members.join(blocks, "bucket").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("bucket", "blocks"))).alias("own"))
+    # The sets are made again, from one text each and only where compared.
+    wanted = settle(own.join(reps, "sid").select(F.col("id").alias("_id"), F.col("k").alias("_k"), "sid", "mult", "own"))
+    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["_id"]) & (docs["k"] == wanted["_k"])).select("sid", "mult", "own", "t")
+
+    def rows_of_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "g1", "g2", "g", "sid", "mult", "own", "tokens"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        held, size_held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
             for run in byte_batches(b.column(3).to_pylist(), BATCH_BYTES):
                 t, start = shingle_sets(run, size)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(c).slice(at, len(run)) for c in range(3)]
-                    + [pa.array([t[start[k]:start[k + 1]].tobytes() for k in range(len(run))], pa.binary())],
-                    names=["sid", "mult", "own", "tokens"])
+                for k in range(len(run)):
+                    sid, mult, own = (b.column(c)[at + k].as_py() for c in range(3))
+                    body, of = t[start[k]:start[k + 1]].tobytes(), [x["bucket"] for x in own]
+                    for x in own:
+                        g = int.from_bytes(sid[:8], "little") % x["blocks"]
+                        for o in range(x["blocks"]):
+                            held.append((x["bucket"], min(g, o), max(g, o), g, sid, mult, of, body))
+                            size_held += len(body) + 8 * len(of)
+                            if size_held > BATCH_BYTES:
+                                yield flush()
+                                held, size_held = [], 0
                 at += len(run)
+        if held:
+            yield flush()
 
-    sets = texts.mapInArrow(tokens, "sid binary, mult long, own array<bigint>, tokens binary")
-    # Large buckets go in blocks: a set meets every block of its bucket once.
-    blocks = members.join(reps.select("sid", "n"), "sid").groupBy("bucket").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    units = members.join(blocks, "bucket").withColumn("g", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks")).cast("int"))
-    units = units.select("bucket", "sid", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
-        "bucket", F.least("g", "o").alias("g1"), F.greatest("g", "o").alias("g2"), "g", "sid")
-    rows = units.join(sets, "sid").select("bucket", "g1", "g2", "g", "sid", "mult", "own", "tokens")
-    rows = rows.repartition("bucket", "g1", "g2").sortWithinPartitions("bucket", "g1", "g2")
+    # Rows of one id and text are copies: any one of them will do.
+    rows = texts.mapInArrow(rows_of_units, "bucket long, g1 int, g2 int, g int, sid binary, mult long, own array<bigint>, tokens binary")
+    rows = rows.repartition("bucket", "g1", "g2").sortWithinPartitions("bucket", "g1", "g2", "sid")
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(unit, held) -> pa.RecordBatch:
@@ -254,7 +262,8 @@ def links(docs: DataFrame, reps: DataFrame, members: DataFrame, text_col: str, s
                     if len(held) > 1:
                         yield one(unit, held)
                     unit, held = (bucket, g1, g2), []
-                held.append(r)
+                if not held or held[-1][1] != r[1]:
+                    held.append(r)
         if len(held) > 1:
             yield one(unit, held)
 
@@ -269,27 +278,29 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     connect with this one (its own if there are none), ``n_links`` the number
     of other documents of at least the similarity."""
     runs = runs_needed(target_recall, similarity, tokens_per_level, levels)
-    rows = materialize(describe(docs, id_col, text_col, size, runs, levels, tokens_per_level))
-    sets = materialize(rows.where("sid IS NOT NULL").groupBy("sid").agg(
+    rows = settle(describe(docs, id_col, text_col, size, runs, levels, tokens_per_level))
+    sets = settle(rows.where("sid IS NOT NULL").groupBy("sid").agg(
         F.first("paths").alias("paths"), F.first("n").alias("n"), F.count("*").alias("mult"),
         F.min(F.struct("id", "k")).alias("rep")))
-    reps = sets.select("sid", "rep.id", "rep.k", "n", "mult")
+    # From here on only the large buckets' sets need the chosen tokens.
+    rows = settle(rows.select("id", "k", "sid"))
     few, large = buckets(sets, runs, levels, small)
-    large = materialize(large)
-    if large.limit(1).count():
+    if large is not None:
         # Large buckets that share sets become one, numbered below zero.
         low = large.groupBy("bucket").agg(F.min("sid").alias("b"))
         root = components(large.join(low, "bucket").select(F.col("sid").alias("a"), "b"))
         dense = root.select((-F.lit(1) - bucket_number(F.col("root"))).alias("bucket"), F.col("v").alias("sid"))
         few = few.unionByName(dense)
-    members = materialize(distinct_buckets(few.distinct()))
+    members = settle(distinct_buckets(few.distinct()))
+    reps = settle(sets.select("sid", "rep.id", "rep.k", "n", "mult"))
+    del sets, few, large
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    found = materialize(links(d, reps, members, "t", size, similarity))
+    found = settle(links(d, reps, members, size, similarity))
     group = components(found.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b")))
     count = found.groupBy("sid").agg(F.sum("links").alias("links"))
-    full = sets.select("sid", "rep.id", "mult").join(count, "sid", "left").join(
+    full = reps.select("sid", "id", "mult").join(count, "sid", "left").join(
         group.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    full = materialize(full)
+    full = settle(full)
     lowest = full.groupBy("root").agg(F.min("id").alias("class_id"))
     full = full.join(lowest, "root").select("sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     out = rows.select("id", "k", "sid").join(full, "sid", "left")
