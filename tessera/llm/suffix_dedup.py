@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.pieces import byte_batches
 from tessera.llm.shingles import mix
+from tessera.llm.steps import settle
 from tessera.llm.suffix_sort import repeated_windows
-from tessera.session import materialize
 
 LENGTH = 200
 GRAM = 32
@@ -244,11 +244,11 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     d = keyed(docs, id_col, text_col).where(F.octet_length("t") >= length)
-    found = materialize(shared_runs(run_rows(d, length), length))
-    cut = materialize(cut_out(d, found, length))
+    found = settle(shared_runs(run_rows(d, length), length))
+    cut = settle(cut_out(d, found, length))
     masks = sorted_masks(cut.where("body IS NOT NULL").select("h", "ctx", "body", "c"), length).unionByName(
         counted_masks(cut.where("win IS NOT NULL").select("win", "ctx", "off", "c")))
-    masks = materialize(masks)
+    masks = settle(masks)
     places = cut.where("at IS NOT NULL").select("id", "k", "at", "ctx").join(masks, "ctx")
     spans = F.transform(F.sequence(F.lit(0), F.size("again") - 2, F.lit(2)), lambda i: F.struct(
         (F.col("at") + F.get("again", i)).alias("start"), (F.col("at") + F.get("again", i + 1) + length).alias("end")))
@@ -274,7 +274,7 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, n_bytes, removed array<array<long>> maximal byte ranges, kept
     binary) for each row of ``docs``."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    spans = materialize(duplicate_spans(docs, id_col, text_col, length))
+    spans = settle(duplicate_spans(docs, id_col, text_col, length))
     d = keyed(docs, id_col, text_col)
     s = spans.select(F.col("id").alias("sid"), F.col("k").alias("sk"), "spans")
     j = d.join(s, d["id"].eqNullSafe(s["sid"]) & (d["k"] == s["sk"]), "left").select("id", "t", "spans")
