@@ -66,7 +66,7 @@ def plain_hits(text, items):
 
 @pytest.fixture(scope="module")
 def contaminated(spark, documents):
-    passage = "The quick BROWN fox-jumps over 3 lazy dogs, été naïve again and again and over the hill"
+    passage = "The quick BROWN fox-jumps over 3 lazy dogs, again and again and over the hill, été naïve"
     items = [(1, passage), (2, "tiny item"), (10, passage + " more"), (3, None), (4, "?!"), (5, "tiny item")]
     extra = [(700, f"Before. {passage.upper()}! After all."), (701, "a Tiny ITEM here, tiny item"), (702, passage[:40]), (703, "tiny\nitem")]
     docs = documents.unionByName(spark.createDataFrame([(*x, "en", "s", 1, None, None, None, None, None) for x in extra], documents.schema))
@@ -88,9 +88,9 @@ def test_decontamination_removes(contaminated):
     whole = decontaminate.remove(docs, bench)
     assert whole.columns == docs.columns and whole.count() == docs.count() - len(hit)
     spans = {r.doc_id: r.text for r in decontaminate.remove(docs, bench, how="spans").collect()}
-    # PASSAGE.upper() has É, which stays upper-case, so its windows with été miss.
+    # upper() makes É, which stays upper-case: the windows with été miss.
     assert spans[701] == "a  here, " and spans[703] == "" and spans[702] == items[0][1][:40]
-    assert "BROWN" not in spans[700] and spans[700].startswith("Before. ") and spans[700].endswith("After all.")
+    assert "BROWN" not in spans[700] and spans[700] == "Before. , ÉTÉ NAÏVE! After all."
     assert decontaminate.scan(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.scan(docs.limit(0), bench).count() == 0
 
