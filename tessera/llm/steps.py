@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import materialize
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder. The shuffle files and
-    checkpoints of earlier steps go as soon as nothing refers to them: Spark's
-    cleaner learns that from the driver's garbage collectors, so both run here,
-    where a step has ended and the driver holds little."""
-    out = materialize(df)
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files and checkpoints of earlier steps go: Spark's cleaner
+    drops what nothing refers to, and learns of that from the driver's garbage
+    collectors, which run here, between two steps, while the driver holds little."""
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    spark.sparkContext._jvm.System.gc()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, after earlier steps'
+    files were released."""
+    release(df.sparkSession)
+    return materialize(df)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.pieces import byte_batches
 from tessera.llm.shingles import mix
-from tessera.llm.steps import settle
+from tessera.llm.steps import release, settle
 from tessera.llm.suffix_sort import repeated_windows
 
 LENGTH = 200
@@ -275,6 +275,7 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     binary) for each row of ``docs``."""
     id_type = docs.schema[id_col].dataType.simpleString()
     spans = settle(duplicate_spans(docs, id_col, text_col, length))
+    release(docs.sparkSession)
     d = keyed(docs, id_col, text_col)
     s = spans.select(F.col("id").alias("sid"), F.col("k").alias("sk"), "spans")
     j = d.join(s, d["id"].eqNullSafe(s["sid"]) & (d["k"] == s["sk"]), "left").select("id", "t", "spans")
