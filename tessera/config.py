@@ -115,6 +115,7 @@ SEARCH_SPACE = {
 }
 RANDOM_STATE = 42
 CV_SPLITS = 5
+SEARCH_TRIALS = 50
 TOP_FEATURES = 15
 
 # --------------------------------------------------------------------------

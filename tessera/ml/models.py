@@ -68,6 +68,7 @@ class Fitted:
     label: str
     kind: str
     params: dict = field(default_factory=dict)
+    metrics: dict = field(default_factory=dict)
 
     def _require(self):
         if self.model is None:
@@ -105,7 +106,8 @@ class Fitted:
         self._require()
         self.model.write().overwrite().save(f"{path}/model")
         meta = {"features": self.features, "label": self.label, "kind": self.kind,
-                "params": {k: (v if isinstance(v, (int, float, str, bool)) else str(v)) for k, v in self.params.items()}}
+                "params": {k: (v if isinstance(v, (int, float, str, bool)) else str(v)) for k, v in self.params.items()},
+                "metrics": self.metrics}
         _spark().createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
             f"{path}/metadata")
 
@@ -113,7 +115,7 @@ class Fitted:
     def load(path: str) -> "Fitted":
         meta = json.loads(_spark().read.text(f"{path}/metadata").first()[0])
         return Fitted(PipelineModel.load(f"{path}/model"), meta["features"], meta["label"], meta["kind"],
-                      meta.get("params", {}))
+                      meta.get("params", {}), meta.get("metrics", {}))
 
 
 def _spark():
@@ -211,7 +213,7 @@ def draw_params(n_trials: int, seed: int = C.RANDOM_STATE, space: dict | None =
     return out
 
 
-def random_search(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, n_trials: int,
+def random_search(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, n_trials: int = C.SEARCH_TRIALS,
                   seed: int = C.RANDOM_STATE, space: dict | None = None, base: dict | None = None) -> DataFrame:
     """L3: fit one boosted-tree model per drawn parameter set on ``train``,
     score RMSE on ``val``; returns the trials with ``best`` marking the lowest."""
@@ -229,6 +231,27 @@ def random_search(train: DataFrame, val: DataFrame, features: Sequence[str], lab
     return trials.crossJoin(best).withColumn("best", F.col("val_rmse") == F.col("_b")).drop("_b")
 
 
+def tuned_fit(train: DataFrame, val: DataFrame, spec: PanelSpec, features: Sequence[str], label: str,
+              n_trials: int = C.SEARCH_TRIALS, space: dict | None = None, n_splits: int = C.CV_SPLITS,
+              out: str | None = None) -> tuple[Fitted, DataFrame]:
+    """L2 + L3 + W11 + S6/S8: search, fit with the best parameters, score train and
+    val, cross-validate on train. The one-row result ``(train_rmse, val_rmse,
+    cv_rmse_mean, cv_rmse_std, params)`` is kept with the model; ``out`` saves both."""
+    trials = random_search(train, val, features, label, n_trials, space=space)
+    best = json.loads(trials.where("best").orderBy("trial").first()["params"])
+    model = fit("gbt", train, features, label, best)
+    rmse = lambda df, name: model.predict(df).agg(F.sqrt(F.avg((F.col(label) - F.col("p")) ** 2)).alias(name))
+    cv = cv_summary(cross_validate("gbt", train, spec, features, label, n_splits, best))
+    res = rmse(train, "train_rmse").crossJoin(rmse(val, "val_rmse")).crossJoin(cv)  # one row each
+    row = res.first().asDict()
+    model.metrics = {k: float(v) for k, v in row.items()}
+    if out:
+        model.save(out)
+    result = train.sparkSession.createDataFrame([(*model.metrics.values(), json.dumps(best, sort_keys=True))],
+                                                ", ".join(f"{k} double" for k in model.metrics) + ", params string")
+    return model, result
+
+
 # ---------------------------------------------------------------- L7: attribution
 
 def linear_contributions(m: Fitted, df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -185,8 +185,8 @@ def systematic_sample(df: DataFrame, spec: PanelSpec, every: int = 100) -> DataF
 
 def hash_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = C.RANDOM_STATE) -> DataFrame:
     """``n`` rows without replacement, chosen by a seeded hash of the key
-    columns: repeatable whatever the partitioning."""
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    columns: repeatable whatever the partitioning, and in any SQL engine."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
 
 
@@ -202,14 +202,17 @@ def complete_cases(df: DataFrame, features: Sequence[str], target: str) -> DataF
     return df.dropna(subset=list(features) + [target])
 
 
-def complete_case_report(df: DataFrame, features: Sequence[str], target: str, name: str = "data") -> DataFrame:
-    """NULL cells in X, in y, total rows, rows kept and retention percent."""
+def complete_case_report(df: DataFrame, features: Sequence[str], target: str, name: str = "data",
+                         by: str | None = None) -> DataFrame:
+    """NULL cells in X, in y, total rows, rows kept and retention percent,
+    for the frame as ``name`` or for each value of ``by``, in one scan."""
     feats = list(features)
     x_nulls = sum((F.col(c).isNull().cast("long") for c in feats), F.lit(0).cast("long"))
     anynull = F.lit(False)
     for c in feats + [target]:
         anynull = anynull | F.col(c).isNull()
-    return df.agg(F.lit(name).alias("dataset"), F.sum(x_nulls).cast("long").alias("nulls_x"),
+    label = F.lit(name) if by is None else F.col(by)
+    return df.groupBy(label.alias("dataset")).agg(F.sum(x_nulls).cast("long").alias("nulls_x"),
                   F.count_if(F.col(target).isNull()).cast("long").alias("nulls_y"),
                   F.count(F.lit(1)).cast("long").alias("rows"),
                   F.count_if(~anynull).cast("long").alias("rows_kept"),

@@ -98,6 +98,14 @@ def hyper_search(spark, sf_dir):
     return finish(ml.random_search(_train(df), val, feats, SPEC.target, n_trials=3, space=SEARCH_BUDGET))
 
 
+def tuned_training(spark, sf_dir):
+    """L2 + L3 + W11: search (2 trials of 10-30 trees), refit with the best
+    parameters, train and val RMSE, mean and deviation of the fold RMSEs."""
+    df, feats = _raw_frame(spark, sf_dir)
+    val = df.where(F.col("split") == "val")
+    return finish(ml.tuned_fit(_train(df), val, SPEC, feats, SPEC.target, n_trials=2, space=SEARCH_BUDGET, n_splits=3)[1])
+
+
 def linear_attribution(spark, sf_dir):
     """L7 (linear): exact per-row contributions on 1000 hash-sampled test
     rows, summarised as mean |contribution| per feature."""
@@ -129,6 +137,7 @@ QUERIES = {
     "feature_importance": feature_importance,
     "cv_scores": cv_scores,
     "hyper_search": hyper_search,
+    "tuned_training": tuned_training,
     "linear_attribution": linear_attribution,
     "permutation_importance": permutation_importance,
     "train_and_compare": train_and_compare,

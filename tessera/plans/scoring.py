@@ -19,15 +19,16 @@ BASELINE, CANDIDATE = "mean24", "persistence"
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F3 scored table ``(station, datetime, split, model, y, p)``."""
+    """F3 scored table ``(station, datetime, split, model, y, p)``: both models
+    over the same rows, those that both can forecast."""
     p = clean.temporal_split(fx.hourly_panel(spark, sf_dir), SPEC)
     p = ft.window_features(p, SPEC, [ft.Lag(SPEC.target, 1, "_p1")],
                            [ft.Roll(SPEC.target, 24, "mean", 1, "_p24")], leak_safe=True)
-    base = p.where(F.col(SPEC.target).isNotNull() & F.col("split").isNotNull())
-    one = base.where(F.col("_p1").isNotNull()).select(
+    base = p.dropna(subset=[SPEC.target, "split", "_p1", "_p24"])
+    one = base.select(
         "station", "datetime", "split", F.lit(CANDIDATE).alias("model"), F.col(SPEC.target).alias("y"),
         F.col("_p1").alias("p"))
-    two = base.where(F.col("_p24").isNotNull()).select(
+    two = base.select(
         "station", "datetime", "split", F.lit(BASELINE).alias("model"), F.col(SPEC.target).alias("y"),
         F.col("_p24").alias("p"))
     return one.unionByName(two)
@@ -131,7 +132,7 @@ WITH_SCORED = f"""
       SELECT *, lag(PM2_5, 1) OVER (PARTITION BY station ORDER BY datetime) AS p1,
              avg(PM2_5) OVER (PARTITION BY station ORDER BY datetime ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS p24
       FROM ({f4_split_sql(PANEL_SQL)}))
-    WHERE PM2_5 IS NOT NULL AND split IS NOT NULL),
+    WHERE PM2_5 IS NOT NULL AND split IS NOT NULL AND p1 IS NOT NULL AND p24 IS NOT NULL),
   scored AS ({SCORED_SQL})
 """
 

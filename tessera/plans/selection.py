@@ -92,9 +92,7 @@ def complete_cases(spark, sf_dir):
 def complete_case_report(spark, sf_dir):
     """NULL cells in X and y, rows kept and retention per split."""
     p = _split_panel(spark, sf_dir).where(F.col("split").isNotNull())
-    parts = [st.complete_case_report(p.where(F.col("split") == s), X_RAW, SPEC.target, s)
-             for s in ("train", "val", "test")]
-    return finish(st.union_frames(parts))
+    return finish(st.complete_case_report(p, X_RAW, SPEC.target, by="split"))
 
 
 def raw_model_features(spark, sf_dir):
@@ -215,6 +213,9 @@ def _sql() -> dict[str, str]:
                              f"ORDER BY abs_corr DESC NULLS LAST, feature LIMIT {C.TOP_FEATURES}")
     s["systematic_sample"] = (f"SELECT {OUT_F4} FROM (SELECT *, row_number() OVER (PARTITION BY station "
                               f"ORDER BY datetime) - 1 AS rn FROM ({PANEL_SQL})) WHERE rn % 100 = 0")
+    s["hash_sample"] = (f"{scoring.WITH_SCORED} SELECT station, datetime, split, model, {r6('y')} AS y, {r6('p')} AS p FROM scored "
+                        f"ORDER BY md5(concat_ws('|', '{C.RANDOM_STATE}', model, station, datetime::VARCHAR)), model, station, datetime "
+                        f"LIMIT 500")
     s["first_rows"] = (f"{scoring.WITH_SCORED} SELECT station, datetime, split, model, {r6('y')} AS y, {r6('p')} AS p "
                        f"FROM scored WHERE split = 'test' ORDER BY datetime, station, model LIMIT 100")
     xs = " AND ".join(f"{q(c)} IS NOT NULL" for c in X_RAW + ("PM2_5",))

@@ -104,6 +104,17 @@ def test_sinks_round_trip(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/report").collect()] == ["a", "b"]
 
 
+def test_tuned_model_keeps_its_metrics(spark, tmp_path):
+    from tessera.ml import models as ml
+    rows = [("a", t, float(i % 7), float(i % 7) * 2 + (i % 3)) for i, t in enumerate(hours(60))]
+    df = spark.createDataFrame(rows, "station string, datetime timestamp_ntz, x double, y double")
+    space = {"maxDepth": ("int", 2, 3), "maxIter": ("int", 2, 3)}
+    m, res = ml.tuned_fit(df, df, PanelSpec(), ["x"], "y", n_trials=2, space=space, n_splits=2, out=f"{tmp_path}/m")
+    row, back = res.first(), ml.Fitted.load(f"{tmp_path}/m")
+    assert back.metrics == m.metrics and back.metrics["val_rmse"] == row.val_rmse and row.cv_rmse_std >= 0
+    assert back.params["maxDepth"] in (2, 3) and {"train_rmse", "val_rmse", "cv_rmse_mean", "cv_rmse_std"} <= set(res.columns)
+
+
 def test_constraint_setting_returns(spark):
     from tessera.session import wide_tables
     name = "spark.sql.constraintPropagation.enabled"
