@@ -1,14 +1,15 @@
 """N-gram Jaccard self-join by chosen paths (operator 4).
 
 Documents become sets of hashed five-word shingles; equal sets are one class.
-In each of several runs, sets are split recursively: at every level of a run
-each set chooses the tokens whose hash (of run, level and token) is below
+In each of several runs, sets are split recursively: in every bucket of a run
+each set chooses the tokens whose hash (of bucket and token) is below
 ``tokens_per_level`` / |set|, and goes to one child bucket per chosen token.
 Two sets of similarity s share a chosen token with probability at least
-1 - exp(-s * tokens_per_level) a level, while dissimilar sets lose each other.
-Buckets of at most ``small`` sets are compared by brute force; larger ones are
-split again, up to ``levels`` times. The runs are as many as the target recall
-needs for pairs at the threshold that stay together on all levels.
+1 - exp(-s * tokens_per_level) a bucket, while dissimilar sets lose each other.
+The hash is salted with the bucket, so a pair's buckets choose independently
+of each other. Buckets of at most ``small`` sets are compared by brute force;
+larger ones are split again, up to ``levels`` times. The runs are as many as the
+target recall needs for pairs at the threshold that stay together on all levels.
 
 What is still large after the last level are sets alike in most tokens. Such
 buckets that share sets are joined to one, and compared in blocks of about
@@ -54,23 +55,45 @@ BLOCK_TOKENS = 1 << 20
 
 def runs_needed(target_recall: float, similarity: float, tokens_per_level: float, levels: int) -> int:
     """Runs after which a pair at the threshold has met with the given
-    probability, if it has to stay together on every level."""
+    probability, if it has to stay together on every level. A pair's common
+    buckets choose independently, so one run is a branching process."""
     meet = 1.0
     for _ in range(levels):
         meet = 1 - math.exp(-similarity * tokens_per_level * meet)
     return math.ceil(math.log(1 - target_recall) / math.log(1 - meet))
 
 
-def seeds(runs: int, levels: int) -> np.ndarray:
-    return mix(np.arange(1, runs * levels + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).reshape(runs, levels)
+def seeds(runs: int) -> np.ndarray:
+    return mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int, levels: int, per_level: float) -> DataFrame:
-    """(id, k, sid binary, n, paths array<array<long>>): each row's set (sid is
-    a 128-bit digest of the sorted tokens, null for an empty set) and the
-    tokens it chooses, run by run and level by level."""
+def limits(n: np.ndarray, per_level: float) -> np.ndarray:
+    """Hashes up to this number are chosen by a set of n tokens."""
+    limit = np.minimum(per_level / np.maximum(n, 1), 1.0) * 2.0**64
+    return np.where(limit >= 2.0**64, 2.0**64 - 2048, limit).astype(np.uint64) | np.where(n <= per_level, ~np.uint64(0), np.uint64(0))
+
+
+def numbers(hashes: np.ndarray) -> np.ndarray:
+    """The non-negative numbers of the buckets of chosen hashes."""
+    return (mix(hashes + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).view(np.int64)
+
+
+def children(tokens: np.ndarray, of: np.ndarray, per_level: float) -> np.ndarray:
+    """The child buckets that a set goes to from the buckets ``of``."""
+    salt = mix(of.astype(np.uint64) + np.uint64(0xD1B54A32D192ED03))
+    limit, width, out = limits(np.array([len(tokens)]), per_level), max(1, (1 << 18) // len(tokens)), []
+    for a in range(0, len(salt), width):
+        h = mix(tokens[None, :] ^ salt[a:a + width, None])
+        out.append(numbers(h[h <= limit]))
+    return np.concatenate(out)
+
+
+def describe(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int, per_level: float) -> DataFrame:
+    """(id, k, sid binary, n, first array<long>): each row's set (sid is a
+    128-bit digest of the sorted tokens, null for an empty set) and its buckets
+    of the first level, those of all runs."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    of_run = seeds(runs, levels).ravel()
+    of_run = seeds(runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,25 +102,26 @@ def describe(docs: DataFrame, id_col: str, text_col: str, size: int, runs: int,
                 tokens, start = shingle_sets(texts, size)
                 n = np.diff(start)
                 owner = np.repeat(np.arange(len(texts)), n)
-                limit = np.minimum(per_level / np.maximum(n, 1), 1.0) * 2.0**64
-                limit = np.where(limit >= 2.0**64, 2.0**64 - 2048, limit).astype(np.uint64)[owner]
-                every = (n <= per_level)[owner]
-                chosen, cuts = [], []
+                limit = limits(n, per_level)[owner]
+                who, first = [], []
                 for s in of_run:
-                    x = np.flatnonzero((mix(tokens ^ s) < limit) | every)
-                    chosen.append(tokens[x].view(np.int64))
-                    cuts.append(np.searchsorted(owner[x], np.arange(len(texts) + 1)))
-                paths = [[c[w[k]:w[k + 1]] for c, w in zip(chosen, cuts)] if n[k] else [] for k in range(len(texts))]
+                    h = mix(tokens ^ s)
+                    x = np.flatnonzero(h <= limit)
+                    who.append(owner[x])
+                    first.append(numbers(h[x]))
+                who, first = np.concatenate(who), np.concatenate(first)
+                order = np.argsort(who, kind="stable")
+                cuts = np.searchsorted(who[order], np.arange(len(texts) + 1)).astype(np.int32)
                 sid = [hashlib.blake2b(tokens[start[k]:start[k + 1]].tobytes(), digest_size=16).digest() if n[k] else None
                        for k in range(len(texts))]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(sid, pa.binary()),
-                     pa.array(n, pa.int64()), pa.array(paths, pa.list_(pa.list_(pa.int64())))],
-                    names=["id", "k", "sid", "n", "paths"])
+                     pa.array(n, pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(first[order], pa.int64()))],
+                    names=["id", "k", "sid", "n", "first"])
                 at += len(texts)
 
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), text_col).mapInArrow(
-        run, f"id {id_type}, k long, sid binary, n long, paths array<array<bigint>>")
+        run, f"id {id_type}, k long, sid binary, n long, first array<bigint>")
 
 
 def bucket_number(*path: Column) -> Column:
@@ -105,12 +129,33 @@ def bucket_number(*path: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*path), 1)
 
 
-def buckets(sets: DataFrame, runs: int, levels: int, small: int) -> tuple[DataFrame, DataFrame | None]:
+def split(docs: DataFrame, sets: DataFrame, large: DataFrame, size: int, per_level: float) -> DataFrame:
+    """(bucket, sid): the child buckets of ``large``. The sets are made again,
+    from one text each. ``docs``: (id, k, t)."""
+    of = large.groupBy("sid").agg(F.collect_list("bucket").alias("of"))
+    wanted = settle(of.join(sets.select("sid", "rep"), "sid").select(F.col("rep.id").alias("_id"), F.col("rep.k").alias("_k"), "sid", "of"))
+    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["_id"]) & (docs["k"] == wanted["_k"])).select("sid", "of", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for part in byte_batches(b.column(2).to_pylist(), BATCH_BYTES):
+                t, start = shingle_sets(part, size)
+                below = [children(t[start[k]:start[k + 1]], np.array(b.column(1)[at + k].as_py(), dtype=np.int64), per_level)
+                         for k in range(len(part))]
+                which = np.repeat(np.arange(at, at + len(part)), [len(x) for x in below])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(below), pa.int64()), b.column(0).take(pa.array(which))], names=["bucket", "sid"])
+                at += len(part)
+
+    # Rows of one id and text are copies with the same children.
+    return texts.mapInArrow(run, "bucket long, sid binary").distinct()
+
+
+def buckets(docs: DataFrame, sets: DataFrame, levels: int, small: int, size: int, per_level: float) -> tuple[DataFrame, DataFrame | None]:
     """(bucket, sid) of the small leaf buckets, and of those still large after
     the last level (None if there are none); buckets of one set are gone."""
-    first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.transform(
-        F.get("paths", r * levels), lambda t: F.struct(r.alias("run"), bucket_number(r, t).alias("bucket"))))
-    members = sets.select("sid", F.explode(F.flatten(first)).alias("b")).select("b.bucket", "b.run", "sid")
+    members = sets.select("sid", F.explode("first").alias("bucket"))
     leaves = None
     for level in range(levels):
         # Counted with partial sums; only members of buckets of two or more go on.
@@ -118,14 +163,12 @@ def buckets(sets: DataFrame, runs: int, levels: int, small: int) -> tuple[DataFr
         shared = settle(members.join(sizes, "bucket"))
         few = shared.where(F.col("m") <= small).select("bucket", "sid")
         leaves = few if leaves is None else leaves.unionByName(few)
-        large = shared.where(F.col("m") > small).select("bucket", "run", "sid")
+        large = shared.where(F.col("m") > small).select("bucket", "sid")
         if not large.limit(1).count():
             return leaves, None
         if level < levels - 1:
-            tokens = F.get("paths", F.col("run") * levels + level + 1)
-            members = settle(large.join(sets.select("sid", "paths"), "sid").select("bucket", "run", "sid", F.explode(tokens).alias("t")).select(
-                bucket_number(F.col("bucket"), F.col("t")).alias("bucket"), "run", "sid"))
-    return leaves, large.select("bucket", "sid")
+            members = settle(split(docs, sets, large, size, per_level))
+    return leaves, large
 
 
 def distinct_buckets(members: DataFrame) -> DataFrame:
@@ -278,13 +321,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     connect with this one (its own if there are none), ``n_links`` the number
     of other documents of at least the similarity."""
     runs = runs_needed(target_recall, similarity, tokens_per_level, levels)
-    rows = settle(describe(docs, id_col, text_col, size, runs, levels, tokens_per_level))
+    rows = settle(describe(docs, id_col, text_col, size, runs, tokens_per_level))
     sets = settle(rows.where("sid IS NOT NULL").groupBy("sid").agg(
-        F.first("paths").alias("paths"), F.first("n").alias("n"), F.count("*").alias("mult"),
+        F.first("first").alias("first"), F.first("n").alias("n"), F.count("*").alias("mult"),
         F.min(F.struct("id", "k")).alias("rep")))
-    # From here on only the large buckets' sets need the chosen tokens.
+    # From here on only the sets need their buckets.
     rows = settle(rows.select("id", "k", "sid"))
-    few, large = buckets(sets, runs, levels, small)
+    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    few, large = buckets(d, sets, levels, small, size, tokens_per_level)
     if large is not None:
         # Large buckets that share sets become one, numbered below zero.
         low = large.groupBy("bucket").agg(F.min("sid").alias("b"))
@@ -294,7 +338,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     members = settle(distinct_buckets(few.distinct()))
     reps = settle(sets.select("sid", "rep.id", "rep.k", "n", "mult"))
     del sets, few, large
-    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     found = settle(links(d, reps, members, size, similarity))
     group = components(found.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b")))
     count = found.groupBy("sid").agg(F.sum("links").alias("links"))

@@ -122,3 +122,35 @@ def test_keep_one(spark, documents):
 
 def test_runs_needed():
     assert jaccard_join.runs_needed(0.9999, 0.8, 2.0, 3) == 8 and jaccard_join.runs_needed(0.9, 0.8, 2.0, 1) == 2
+
+
+def test_recall_where_every_level_splits():
+    """Pairs at the threshold that meet in no small bucket before the last
+    level: one run keeps them together as often as runs_needed takes for granted."""
+    rng, meet, pairs, n = np.random.default_rng(1), 1.0, 4000, 90
+    for _ in range(3):
+        meet = 1 - np.exp(-1.6 * meet)
+    together = 0
+    for _ in range(pairs):
+        t = rng.integers(0, 2**64 - 1, n + 10, dtype=np.uint64)
+        a, b = t[:n], t[10:]  # 80 of 100 tokens
+        of = jaccard_join.seeds(1).view(np.int64) >> 1
+        for _ in range(3):
+            of = np.intersect1d(jaccard_join.children(a, of, 2.0), jaccard_join.children(b, of, 2.0)) if len(of) else of
+        together += len(of) > 0
+    assert together / pairs > meet - 0.01
+    assert (1 - together / pairs) ** jaccard_join.runs_needed(0.9999, 0.8, 2.0, 3) < 1.2e-4
+
+
+def test_group_that_splits_on_all_levels(spark):
+    """A passage of 60 words in 140 texts, each with a partner of similarity 0.8 or
+    a little more: a bucket of the passage holds over 128 sets, and splits."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    passage, rows = [word() for _ in range(60)], []
+    for i in range(140):
+        own = [word() for _ in range(40)]
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + own[:30] + [word() for _ in range(10)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.similar_documents(docs, small=8).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted((i, i - i % 2, 1) for i, _ in rows)
