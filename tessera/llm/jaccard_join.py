@@ -198,10 +198,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label
 
 
-def compare(side: np.ndarray, own: list, tokens: list, number: int, mult: np.ndarray, num: int, den: int):
-    """Links of the sets of one unit. side: block of each set (0 or 1; only
-    pairs across are compared if both occur); own: bucket numbers of each set,
-    below ``number`` another bucket counts the pair. Returns (links, group)."""
+def compare(side: np.ndarray, across: bool, own: list, tokens: list, number: int, mult: np.ndarray, num: int, den: int):
+    """Links of the sets of one unit. side: block of each set (0 or 1); across:
+    only pairs of both sides count (a unit of two blocks, one of which may be
+    empty); own: bucket numbers of each set, below ``number`` another bucket
+    counts the pair. Returns (links, group)."""
     m = len(tokens)
     size = np.array([len(t) for t in tokens], dtype=np.int64)
 
@@ -227,7 +228,7 @@ def compare(side: np.ndarray, own: list, tokens: list, number: int, mult: np.nda
 
     link = common(tokens) * (num + den) >= num * (size[:, None] + size[None, :])
     np.fill_diagonal(link, False)
-    if side.any() and not side.all():
+    if across:
         link &= side[:, None] != side[None, :]
     group = np.arange(m)
     while True:
@@ -288,7 +289,8 @@ def links(docs: DataFrame, reps: DataFrame, members: DataFrame, size: int, simil
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(unit, held) -> pa.RecordBatch:
-            n, group = compare(np.array([r[0] != unit[1] for r in held]), [np.array(r[3], dtype=np.int64) for r in held],
+            side = np.array([r[0] != unit[1] for r in held])
+            n, group = compare(side, unit[1] != unit[2], [np.array(r[3], dtype=np.int64) for r in held],
                                [np.frombuffer(r[4], dtype=np.uint64) for r in held], unit[0],
                                np.array([r[2] for r in held], dtype=np.int64), num, den)
             low = {}
@@ -298,16 +300,20 @@ def links(docs: DataFrame, reps: DataFrame, members: DataFrame, size: int, simil
                 [pa.array([r[1] for r in held], pa.binary()), pa.array(n, pa.int64()),
                  pa.array([low[g] for g in group.tolist()], pa.binary())], names=["sid", "links", "root"])
 
+        def pairs(unit, held) -> bool:
+            """If the unit has any: two blocks need sets on both sides."""
+            return len(held) > 1 and (unit[1] == unit[2] or len({r[0] for r in held}) > 1)
+
         unit, held = None, []
         for b in batches:
             for bucket, g1, g2, *r in zip(*(c.to_pylist() for c in b.columns)):
                 if (bucket, g1, g2) != unit:
-                    if len(held) > 1:
+                    if pairs(unit, held):
                         yield one(unit, held)
                     unit, held = (bucket, g1, g2), []
                 if not held or held[-1][1] != r[1]:
                     held.append(r)
-        if len(held) > 1:
+        if pairs(unit, held):
             yield one(unit, held)
 
     return rows.mapInArrow(brute, "sid binary, links long, root binary")

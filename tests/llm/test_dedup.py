@@ -154,3 +154,17 @@ def test_group_that_splits_on_all_levels(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard_join.similar_documents(docs, small=8).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted((i, i - i % 2, 1) for i, _ in rows)
+
+
+def test_links_of_few_long_sets(spark, monkeypatch):
+    """More blocks than sets: a pair of one block counts once, not again beside
+    each empty block."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 100)
+    rng, rows = random.Random(4), []
+    for g in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for i in range(3):
+            rows.append((3 * g + i, " ".join(base[:290] + [f"v{rng.randrange(10**6)}" for _ in range(i)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.similar_documents(docs).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted((i, i - i % 3, 2) for i, _ in rows)
