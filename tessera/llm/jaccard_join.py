@@ -319,18 +319,16 @@ def links(docs: DataFrame, reps: DataFrame, members: DataFrame, size: int, simil
     return rows.mapInArrow(brute, "sid binary, links long, root binary")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
-                      similarity: float = 0.8, target_recall: float = 0.9999, tokens_per_level: float = 2.0,
-                      levels: int = 3, small: int = SMALL) -> DataFrame:
-    """One row for each row of ``docs``: (id, k, class_id, n_links). ``k`` is
-    the text's hash, ``class_id`` the lowest id among the documents that links
-    connect with this one (its own if there are none), ``n_links`` the number
-    of other documents of at least the similarity."""
+def linked(docs: DataFrame, id_col: str, text_col: str, size: int = 5, similarity: float = 0.8,
+           target_recall: float = 0.9999, tokens_per_level: float = 2.0, levels: int = 3, small: int = SMALL) -> DataFrame:
+    """One row for each row of ``docs``: (id, k, root, class_id, n_links).
+    ``root`` is the component that links connect, null without a set;
+    ``class_id`` its lowest id, null if no document of it has one."""
     runs = runs_needed(target_recall, similarity, tokens_per_level, levels)
     rows = settle(describe(docs, id_col, text_col, size, runs, tokens_per_level))
     sets = settle(rows.where("sid IS NOT NULL").groupBy("sid").agg(
         F.first("first").alias("first"), F.first("n").alias("n"), F.count("*").alias("mult"),
-        F.min(F.struct("id", "k")).alias("rep")))
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k")).alias("rep")))
     # From here on only the sets need their buckets.
     rows = settle(rows.select("id", "k", "sid"))
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -351,21 +349,40 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         group.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     full = settle(full)
     lowest = full.groupBy("root").agg(F.min("id").alias("class_id"))
-    full = full.join(lowest, "root").select("sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-    out = rows.select("id", "k", "sid").join(full, "sid", "left")
-    return out.select(F.col("id").alias(id_col), "k", F.coalesce("class_id", "id").alias("class_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    full = full.join(lowest, "root").select("sid", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    return rows.join(full, "sid", "left").select("id", "k", "root", "class_id", "n_links")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row for each row of ``docs``: (id, k, class_id, n_links). ``k`` is
+    the text's hash, ``class_id`` the lowest id among the documents that links
+    connect with this one (its own if there are none), ``n_links`` the number
+    of other documents of at least the similarity. Options as in ``linked``."""
+    return linked(docs, id_col, text_col, **options).select(
+        F.col("id").alias(id_col), "k", F.coalesce("class_id", "id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class the document of
-    the lowest id stays (of several rows with that id, those of the lowest text
-    hash)."""
-    s = similar_documents(docs, id_col, text_col, **options)
+    """The rows of ``docs`` without near copies: of each component exactly one
+    row stays, that of the lowest id (null ids last; of several texts with that
+    id, the lowest text hash; of several rows with that text, any). Rows without
+    a word are linked to nothing and all stay. An id says nothing about the
+    component: unrelated texts that share one stay side by side."""
+    s = linked(docs, id_col, text_col, **options)
     i, k = fresh(docs, "_id", "_k")
-    first = s.groupBy("class_id").agg(F.min(F.struct(F.col(id_col).alias("id"), "k")).alias("f")).select(
-        F.col("f.id").alias(i), F.col("f.k").alias(k))
-    return docs.join(first, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(k)), "left_semi")
+    # Equal id and text are in one component; they are counted with partial sums.
+    texts = s.where("root IS NOT NULL").groupBy("root", "id", "k").agg(F.count("*").alias("m"))
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k", "m")).alias("f")).select(
+        "f.id", "f.k", (F.col("f.m") > 1).alias("copies"))
+    wordless = s.where("root IS NULL").select("id", "k", F.lit(False).alias("copies")).distinct()
+    keys = settle(first.unionByName(wordless).select(F.col("id").alias(i), F.col("k").alias(k), "copies"))
+    on = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(k))
+    out = docs.join(keys.where("NOT copies").drop("copies"), on, "left_semi")
+    copies = keys.where("copies").drop("copies")
+    if copies.limit(1).count():
+        out = out.unionByName(docs.join(copies, on, "left_semi").dropDuplicates([id_col, text_col]))
+    return out
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

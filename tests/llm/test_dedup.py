@@ -168,3 +168,19 @@ def test_links_of_few_long_sets(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard_join.similar_documents(docs).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted((i, i - i % 3, 2) for i, _ in rows)
+
+
+def test_keep_one_keeps_one_of_each_component(spark):
+    """Ids used for unrelated texts, null ids and repeated rows."""
+    rng = random.Random(6)
+    a, b, c, d, e, f = ([f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(6))
+    text = lambda w, *more: " ".join([*w, *more])
+    rows = [(1, text(a)), (1, text(b)), (2, text(b, "x")), (None, text(c)), (None, text(d)), (None, text(d, "x")),
+            (None, text(e)), (9, text(e)), (8, text(e)), (7, text(f)), (7, text(f)), (7, text(f)), (None, None), (None, ""), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = jaccard_join.keep_one(docs).collect()
+    words = collections.Counter((r.doc_id, r.text.split(" ")[0]) for r in kept if r.text)
+    assert words == collections.Counter({(1, a[0]): 1, (1, b[0]): 1, (None, c[0]): 1, (None, d[0]): 1, (8, e[0]): 1, (7, f[0]): 1})
+    assert sorted(r.n for r in kept if not r.text) == [12, 13, 14, 15]
+    got = {r.doc_id: r.class_id for r in jaccard_join.similar_documents(docs.where("n IN (6, 7, 8)")).collect()}
+    assert got == {None: 8, 9: 8, 8: 8}

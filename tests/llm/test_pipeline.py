@@ -1,5 +1,6 @@
 """The corpus pipeline stage by stage on its own input."""
 
+import collections
 import hashlib
 
 import public_tokenizers as P
@@ -7,6 +8,7 @@ import tiktoken
 
 import corpus_pipeline
 from tessera.llm import quality_rules
+from tessera.llm.shingles import WORD
 from .test_dedup import plain_line_dedup
 from .test_rules import plain_hits
 from .test_tokens import RANKS
@@ -48,6 +50,38 @@ def test_stages(spark, documents, tmp_path):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, seen[4][1]))
 
 
+def test_near_duplicates_of_all_rows(spark, documents):
+    """The stage on the whole fixture (null ids, an id of two texts, repeated
+    rows): one row of each component, all rows without a word."""
+    docs = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    rows = docs.collect()
+    tokens = []
+    for r in rows:
+        w = WORD.findall((r.text or "").lower())
+        tokens.append(frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    group = list(range(len(rows)))
+    for i, a in enumerate(tokens):
+        for j, b in enumerate(tokens[:i]):
+            if a and 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = collections.Counter()
+    for g in set(group):
+        same = [rows[i].doc_id for i in range(len(rows)) if group[i] == g]
+        want[min((i is None, i or 0) for i in same)] += 1
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert collections.Counter((r.doc_id is None, r.doc_id or 0) for r in got) == want
+    assert {r.text for r in got if r.doc_id == 7} == {"other text of id seven"} and sum(r.doc_id is None for r in got) == 2
+
+
+def test_all_rows_go_through(spark, documents, tmp_path):
+    """The pipeline on the unfiltered fixture."""
+    documents.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "no such words here at all, none of them")], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    ids = collections.Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert ids[6] == 1 and max(n for i, n in ids.items() if i is not None) == 1 and not set(ids) & set(range(8, 18))
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
