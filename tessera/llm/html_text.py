@@ -8,9 +8,12 @@ score (text ratio times one plus punctuation ratio), and paths at or above a
 share of the scores' spread are content. The content region is the lowest
 element around the content nodes, widened to an enclosing article or main
 element or to the next block container, so short paragraphs and headings of the
-article stay. Elements that are no article text by their tag or their class, id
-or role (menus, page headers, footers, side bars, notices, adverts, forms,
-comments, scripts, styles, hidden parts) never count and are never kept.
+article stay. Elements that are no article text by their tag (menus, page
+headers, footers, scripts, styles) or hidden never count and are never kept.
+Forms, and parts named in class, id or role as side bars, notices, adverts or
+comments, go too, unless they wrap the page's text: more than nine tenths of the
+content nodes' text, or more than half of it and a main or h1 element. Names that
+only speak of such a part (has-sidebar, no-sidebar, overflow-hidden) don't count.
 
 Defined results: null, empty or markup-only html gives an empty text; unclosed
 comments and scripts end with the page; unclosed or stray tags are repaired
@@ -45,7 +48,7 @@ INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font
 WITHIN = INLINE | frozenset(("script style noscript template iframe object embed svg math canvas audio video button select "
                              "option optgroup input textarea img picture source track map area").split())
 NO_TEXT = frozenset(("head script style noscript template iframe object embed svg math canvas audio video select option "
-                     "textarea button form nav footer aside dialog menu title noembed noframes input fieldset").split())
+                     "textarea button nav footer aside dialog menu title noembed noframes input fieldset").split())
 #: Blocks whose start ends an open element of the same set.
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("article aside blockquote body dl div main ol section table td th tr ul form html".split())
@@ -53,19 +56,25 @@ SCOPE = frozenset("article aside blockquote body dl div main ol section table td
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|"
     r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|topbar|toolbar|masthead|site-?header|page-?header|"
-    r"footer|site-?footer|sidebar|aside|complementary|contentinfo|widget|related|recommended|share|sharing|social|"
+    r"footer|site-?footer|sidebar|aside|complementary|contentinfo|related|recommended|share|sharing|social|"
     r"cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|"
-    r"comment|comments|comment-?list|respond|replies|discussion|disqus|pagination|pager|skip-?link|legal|copyright|"
-    r"disclaimer|form|hidden)(?:$|[\s_-])", re.IGNORECASE)
+    r"comment|comments|comment-?list|respond|replies|discussion|disqus|pagination|pager|skip-?link|copyright|"
+    r"disclaimer|form)(?:$|[\s_-])|(?:^|\s)(?:widget|legal|hidden)(?:$|\s)", re.IGNORECASE)
+#: Names that speak of a part elsewhere.
+MODIFIER = re.compile(r"(?:^|(?<=\s))(?:has|no|not|with|without|hide|overflow)[_-]\S+", re.IGNORECASE)
+#: Of the content nodes' text, more than this wraps the page's text: with a main or h1 element, without.
+WRAPS_HEAD, WRAPS = 0.5, 0.9
 
 
 @dataclass
 class Page:
-    """Elements and text nodes. Element 0 is the page; ``path`` numbers the
+    """Elements and text nodes. Element 0 is the page; ``suspect`` elements are
+    dropped by ``drop_suspects`` unless they wrap the page's text; ``path`` numbers the
     root-to-leaf tag paths. A node is (element, block, text before decoding)."""
     tag: list = field(default_factory=lambda: [""])
     parent: list = field(default_factory=lambda: [0])
     dropped: list = field(default_factory=lambda: [False])
+    suspect: list = field(default_factory=lambda: [False])
     path: list = field(default_factory=lambda: [0])
     nodes: list = field(default_factory=list)
 
@@ -74,16 +83,17 @@ def attributes(s: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(s)}
 
 
-def no_article_text(tag: str, attrs: str, in_article: bool) -> bool:
+def no_article_text(tag: str, a: dict[str, str], in_article: bool) -> bool:
     if tag in NO_TEXT or tag == "header" and not in_article:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    a = attributes(attrs)
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(
-            r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.IGNORECASE):
-        return True
-    return any(k in a and BOILERPLATE.search(a[k]) for k in ("class", "id", "role"))
+    return tag not in ("html", "body", "article", "main") and (
+        "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(
+            r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.IGNORECASE) is not None)
+
+
+def named_boilerplate(tag: str, a: dict[str, str]) -> bool:
+    return tag == "form" or tag not in ("html", "body", "article", "main") and any(
+        k in a and BOILERPLATE.search(MODIFIER.sub("", a[k])) for k in ("class", "id", "role"))
 
 
 def read_page(html: str, drop_parts: bool = True) -> Page:
@@ -154,8 +164,10 @@ def read_page(html: str, drop_parts: bool = True) -> Page:
         page.tag.append(tag)
         page.parent.append(up)
         page.path.append(paths.setdefault((page.path[up], tag), len(paths) + 1))
-        drop = no_article_text(tag, m[3], in_article > 0) if drop_parts else tag in ("head", "script", "style", "noscript", "template")
+        a = attributes(m[3]) if drop_parts and m[3] else {}
+        drop = no_article_text(tag, a, in_article > 0) if drop_parts else tag in ("head", "script", "style", "noscript", "template")
         page.dropped.append(page.dropped[up] or drop)
+        page.suspect.append(drop_parts and not drop and named_boilerplate(tag, a))
         if m[3].endswith("/") and tag not in WITHIN and tag not in SCOPE and tag != "p":
             continue  # <x/>: no content
         if tag in RAW:
@@ -194,6 +206,22 @@ def content_nodes(page: Page, share: float = 0.5) -> list[int]:
     return [k for k, c in zip(at, chosen) if c]
 
 
+def drop_suspects(page: Page) -> None:
+    """Drop the suspect elements that don't wrap the page's text."""
+    if not any(page.suspect):
+        return
+    text, heads = [0] * len(page.tag), [t in ("main", "h1") and not d for t, d in zip(page.tag, page.dropped)]
+    for k in content_nodes(page):
+        e, _, t = page.nodes[k]
+        text[e] += len(t.strip())
+    for e in range(len(text) - 1, 0, -1):  # parents come first
+        text[page.parent[e]] += text[e]
+        heads[page.parent[e]] = heads[page.parent[e]] or heads[e]
+    for e in range(1, len(text)):
+        wraps = text[e] > text[0] * (WRAPS_HEAD if heads[e] else WRAPS)
+        page.dropped[e] = page.dropped[e] or page.dropped[page.parent[e]] or page.suspect[e] and not wraps
+
+
 def content_region(page: Page, nodes: list[int]) -> int:
     """The element whose text is the article."""
     below = [0] * len(page.tag)  # content nodes under each element
@@ -238,6 +266,7 @@ def blocks(page: Page, region: int = 0) -> list[str]:
 
 def main_text(html: str | None) -> str:
     page = read_page(html or "")
+    drop_suspects(page)
     nodes = content_nodes(page)
     return "\n\n".join(blocks(page, content_region(page, nodes))) if nodes else ""
 

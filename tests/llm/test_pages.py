@@ -36,6 +36,27 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("name", [
+    "container has-sidebar", "site right-sidebar", "no-sidebar", "overflow-hidden", "elementor-widget elementor-widget-text-editor",
+    "legal-article", "with-comments", "hidden lg:block", "sidebar"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_wrappers_stay(name, tag):
+    parts = f"<div class='sidebar'>{LONG}</div><p>{LONG}</p><p>{LONG}</p><div id='comments'><p>{LONG}</p></div>"
+    for body in (f"<div><{tag} class='{name}'><h1>Head</h1>{parts}</{tag}></div>",
+                 f"<article><{tag} class='{name}'><h1>Head</h1>{parts}</{tag}></article><div class='ad'>{LONG}</div>"):
+        assert html_text.main_text(page(body)) == f"Head\n\n{LONG}\n\n{LONG}"
+    parts = f"<div class='{name}'><p>{LONG}</p></div>" * 3
+    if name not in ("site right-sidebar", "hidden lg:block", "sidebar"):  # parts, not wrappers
+        assert html_text.main_text(page(f"<main>{parts}</main>")) == "\n\n".join([LONG] * 3)
+
+
+def test_page_wide_form():
+    body = f"<form id=aspnetForm><nav>{LONG}</nav><h1>Head</h1><p>{LONG}</p><form class=search>Find it, here.</form><p>{LONG}</p></form>"
+    assert html_text.main_text(page(body)).startswith(f"Head\n\n{LONG}")
+    few, many = f"<p>{LONG}</p>", f"<div id=comments>{f'<p>{LONG}</p>' * 5}</div>"  # more comments than article
+    assert html_text.main_text(page(f"<div><h1>Head</h1>{few}</div>{many}")) == f"Head\n\n{LONG}"
+
+
 def test_hostile_pages_are_linear():
     for h in ("<a" * 50000, "<!--" * 50000, "<p><b>" * 30000, "<div>" * 30000 + "x" + "</p>" * 30000, "<" * 50000, '<a b="' * 20000,
               "<article>" * 3000 + "<p>a, b.</p>" * 3000, "<script>" * 20000, "&" * 50000):
