@@ -2,9 +2,9 @@
 
 Every run of ``window`` consecutive words of a benchmark item is a window (an
 item of fewer words is one window). The distinct windows form a hash set. Each
-document's words are hashed window by window inside its row, the hashes are
-looked up in the set, and every hit is verified word by word in the same
-pipelined pass, so only true hits are ever shuffled.
+text is cut into words once and each word hashed once; a window's hash is that of
+its words' hashes. These are looked up in the set, and every hit is verified
+word by word in the same pipelined pass, so only true hits are ever shuffled.
 
 The window set is counted first: up to ``broadcast_windows`` windows it is
 broadcast, beyond that the hashes meet it by a shuffled join.
@@ -14,7 +14,7 @@ Words: A-Z lower-cased, then runs of characters other than ASCII ones outside
 
 Defined results: a null or empty text has no words, no hits and is not
 contaminated; a null or wordless item has no window; items may share windows
-and ids; documents are rows: equal rows give equal results, and rows with one
+and ids; windows of an item whose id is null hit, but add no id; documents are rows: equal rows give equal results, and rows with one
 id and different texts are told apart by their text's hash; an empty benchmark
 leaves every document clean. Only the id and text columns take part, other
 columns cannot clash.
@@ -46,30 +46,43 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
     w = w.select("item_id", "w", F.least(F.size("w"), F.lit(window)).alias("size"))
     w = w.select("item_id", "size", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("w") - F.col("size") + 1), lambda i: F.slice("w", i, F.col("size")))).alias("win"))
-    return w.distinct().withColumn("h", F.xxhash64("win"))
+    return w.distinct().withColumn("hs", F.transform("win", lambda x: F.xxhash64(x))).withColumn("h", F.coalesce(
+        *(F.when(F.col("size") == n, F.xxhash64(*(F.get("hs", F.lit(i)) for i in range(n)))) for n in range(1, window + 1)))).drop("hs")
+
+
+def places(docs: DataFrame, sizes: list[int], key: list[str], text_col: str) -> DataFrame:
+    """(key columns, n_words, w, at, size, h): for every word the hash of the
+    window that begins there, one row a size; and one row a document at place -1,
+    without a hash. Each text is cut into words once, each word hashed once."""
+    d = docs.select(*key, words(F.col(text_col)).alias("w")).select(
+        *key, "w", F.size("w").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("hs"))
+    d = d.select(*key, "w", "n_words", "hs", F.explode(F.sequence(F.lit(-1), F.col("n_words") - 1)).alias("at"))
+    whole = lambda n: (F.col("at") >= 0) & (F.col("at") + n <= F.col("n_words"))
+    h = lambda n: F.when(whole(n), F.xxhash64(*(F.get("hs", F.col("at") + i) for i in range(n))))
+    if len(sizes) == 1:
+        return d.select(*key, "n_words", "w", "at", F.lit(sizes[0]).alias("size"), h(sizes[0]).alias("h"))
+    each = F.array(*(F.struct(F.lit(n).alias("size"), h(n).alias("h")) for n in sizes))
+    one = F.array(F.struct(F.lit(0).alias("size"), F.lit(None).cast("long").alias("h")))
+    return d.select(*key, "n_words", "w", "at", F.inline(F.when(F.col("at") < 0, one).otherwise(each)))
 
 
 def hits(docs: DataFrame, windows: DataFrame, key: list[str], text_col: str = "text",
          broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(key columns, at int, size int, item_id): every occurrence of a window
-    in a document; ``at`` counts words from 0. ``windows`` must be stored."""
+    """(key columns, n_words, at, size, items): every occurrence of a window in
+    a document with the ids of its items; ``at`` counts words from 0. One row a
+    document stands at place -1. ``windows`` must be stored."""
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most ``window`` rows
-    if not sizes:
-        return docs.select(*key).limit(0).withColumns(
-            {"at": F.lit(0), "size": F.lit(0), "item_id": F.lit("")})
-    sets = windows.groupBy("h", "size", "win").agg(F.collect_set("item_id").alias("items"))
+    sets = windows.groupBy(F.col("h").alias("_h"), F.col("size").alias("_size"), "win").agg(F.collect_set("item_id").alias("items"))
+    x = places(docs, sizes or [1], key, text_col)
+    same = (F.col("h") == F.col("_h")) & (F.col("size") == F.col("_size"))
+    # Filtered after the join: as a join key, the words would be cut out at every place.
+    true = (F.col("at") < 0) | (F.col("items").isNotNull() & (F.slice("w", F.col("at") + 1, F.col("size")) == F.col("win")))
+    out = [*key, "n_words", "at", "size", "items"]
     if windows.count() <= broadcast_windows:
-        sets = F.broadcast(sets)
-    d = docs.select(*key, words(F.col(text_col)).alias("w"))
-    found = None
-    for n in sizes:
-        x = d.where(F.size("w") >= n).select(*key, "w", F.posexplode(F.transform(
-            F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))).alias("at", "h"))
-        s = sets.where(F.col("size") == n).select(F.col("h").alias("_h"), "win", "size", "items")
-        x = x.join(s, (F.col("h") == F.col("_h")) & (F.slice("w", F.col("at") + 1, n) == F.col("win")))
-        x = x.select(*key, "at", "size", F.explode("items").alias("item_id"))
-        found = x if found is None else found.unionByName(x)
-    return found
+        return x.join(F.broadcast(sets), same, "left").where(true).select(*out)
+    # Rows without a hash have no part in a shuffled join.
+    none = F.lit(None).cast("array<string>").alias("items")
+    return x.where("at >= 0").join(sets, same).where(true).select(*out).unionByName(x.where("at < 0").select(*key, "n_words", "at", "size", none))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
@@ -78,14 +91,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     sorted, hit_at array<int> of hit word positions, contaminated)."""
     windows = materialize(benchmark_windows(benchmark, window, item_col, item_text_col))
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text"))
-    found = materialize(hits(d, windows, ["id", "k"], "text", broadcast_windows).distinct())
+    rows = materialize(hits(d, windows, ["id", "k"], "text", broadcast_windows))
+    found = rows.where("at >= 0")
     at = found.select("id", "k", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("p")).distinct().groupBy(
         "id", "k").agg(F.count("*").alias("n_hit"), F.sort_array(F.collect_list("p")).alias("hit_at"))
-    items = found.groupBy("id", "k").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    # A window of items without an id hits all the same.
+    items = found.select("id", "k", F.explode_outer("items").alias("item_id")).groupBy("id", "k").agg(
+        F.sort_array(F.collect_set("item_id")).alias("items"))
     hit = at.join(items, (at["id"].eqNullSafe(items["id"])) & (at["k"] == items["k"])).select(
         at["id"].alias("_id"), at["k"].alias("_k"), "n_hit", "hit_at", "items")
-    n = d.select("id", "k", F.regexp_count(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(WORD))
-                 .cast("long").alias("n_words"))
+    n = rows.where("at < 0").select("id", "k", F.col("n_words").cast("long").alias("n_words"))
     out = n.join(hit, n["id"].eqNullSafe(hit["_id"]) & (n["k"] == hit["_k"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -141,7 +156,7 @@ win AS (SELECT DISTINCT item_id, size, w[i:i + size - 1] AS win FROM bw),
 dw AS (SELECT r, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM win) WHERE len(w) >= size),
 hit AS (SELECT DISTINCT r, i, size, item_id FROM (SELECT r, size, i, w[i:i + size - 1] AS win FROM dw) JOIN win USING (size, win)),
 pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hit) GROUP BY r),
-it AS (SELECT r, list_sort(list(DISTINCT item_id)) AS items FROM hit GROUP BY r)
+it AS (SELECT r, coalesce(list_sort(list(DISTINCT item_id) FILTER (item_id IS NOT NULL)), []) AS items FROM hit GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)

@@ -28,6 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
-    "op11_relative_lz": relative_lz.op11_relative_lz,
     "op12_source_divergence": source_audit.OP12_SQL,
 }

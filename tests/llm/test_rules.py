@@ -110,3 +110,30 @@ def test_queries_equal_sql(spark, contaminated, tmp_path, name):
     assert sorted(rel.columns) == cols
     order = [rel.columns.index(c) for c in cols]
     assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(tuple(r[i] for i in order) for r in rel.fetchall())
+
+
+@pytest.mark.parametrize("broadcast", [1000, 0])
+def test_items_of_all_lengths_and_without_id(spark, documents, broadcast):
+    """Items of one to ten words, some without an id: a hit needs no id."""
+    w = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    items = [(n, " ".join(w[:n])) for n in range(2, 12)] + [(None, "omega"), (None, None), (None, "alpha beta gamma"), (3, "Omega omega")]
+    texts = [" ".join(w[:n]) + " end" for n in range(13)] + ["omega", "x omega OMEGA", "no", None, "alpha " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.scan(docs, bench, broadcast_windows=broadcast)
+    want = []
+    for i, t in list(enumerate(texts)) * 2:
+        n, hit, found = plain_hits(t, items)
+        want.append((i, n, hit, [x for x in found if x != "None"]))
+    assert sorted((r.doc_id, r.n_words, r.hit_at, r.items) for r in got.collect()) == sorted(want)
+    assert any(hit and not found for _, _, hit, found in want)
+    assert all(r.contaminated == (r.n_hit > 0) for r in got.collect())
+
+
+def test_texts_are_cut_into_words_once(spark, documents, monkeypatch):
+    """One tokenising pass, whatever the number of item lengths."""
+    bench = spark.createDataFrame([(n, " ".join("abcdefghij"[:n])) for n in range(1, 11)], "item_id long, text string")
+    windows = decontaminate.materialize(decontaminate.benchmark_windows(bench))
+    d = documents.selectExpr("doc_id AS id", "xxhash64(text) AS k", "text")
+    plan = decontaminate.hits(d, windows, ["id", "k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("InMemoryRelation") == 1
