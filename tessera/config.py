@@ -117,6 +117,8 @@ RANDOM_STATE = 42
 CV_SPLITS = 5
 SEARCH_TRIALS = 50
 TOP_FEATURES = 15
+EARLY_STOPPING_ROUNDS = 50
+EARLY_STOPPING_MIN_DELTA = 0.001
 
 # --------------------------------------------------------------------------
 
@@ -132,7 +134,8 @@ class PanelSpec:
     """Column roles and parameters of one panel.
 
     ``chunk_rows`` and ``halo`` control how row-ordered windows are spread
-    over tasks (see :mod:`tessera.operators.sequence`); ``position_bucket``
+    over tasks (see :mod:`tessera.operators.sequence`), ``chunk_hours`` does it
+    for windows and grids by time; ``position_bucket``
     is the time grain used to number rows without one task per key.
     """
 
@@ -150,6 +153,7 @@ class PanelSpec:
     key_levels: tuple | None = None
     fill_limit: int = FORWARD_FILL_LIMIT
     chunk_rows: int = 1 << 18
+    chunk_hours: int = 1 << 13
     position_bucket: str = "day"
     position_method: str = "bucket"
     tiebreak: tuple = ()

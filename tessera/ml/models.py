@@ -1,9 +1,12 @@
 """Model operators as Spark ML jobs.
 
-* Linear baseline: ``VectorAssembler -> StandardScaler(mean, std) ->
+* Linear baseline: ``VectorAssembler -> PopulationScaler ->
   LinearRegression(regParam=0)``; the normal-equation solver aggregates
   XᵀX per partition, so the fit is one pass over the rows whatever their count.
-* Boosted trees: ``GBTRegressor`` (per-level histogram aggregation on executors).
+* Boosted trees: ``GBTRegressor`` (per-level histogram aggregation on executors),
+  stopped by the validation rows inside the fit, or cut to its best first trees.
+* Fits that don't depend on each other (trials, folds) run together from a bounded
+  pool, so the cluster is busy while one of them waits for its driver.
 * Everything that scores (metrics, cross-validation, search, attribution) is
   ``transform`` + one aggregate; only coefficients, trees and metric rows
   reach the driver.
@@ -14,33 +17,49 @@ from __future__ import annotations
 import json
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import config as C
 from tessera.config import PanelSpec
+from tessera.ml.prepare import MatrixPreparer, PopulationScaler, split_kinds
 from tessera.ml.validation import fold_bounds, time_steps
 from tessera.operators import metrics as mt
 from tessera.operators import stats as st
+from tessera.operators.sequence import POS, with_position
 from tessera.session import materialize, wide_tables
 
 FEATURES = "_features"
 SCALED = "_scaled"
+IS_VAL = "_is_val"
+#: Fits that run at the same time.
+POOL = 8
+#: Rows of a fit's table that make a task worth its start.
+ROWS_PER_TASK = 50_000
+
+
+def together(spark: SparkSession, jobs: Sequence[Callable], width: int = POOL) -> list:
+    """The results of ``jobs`` in order, at most ``width`` of them running at once."""
+    with ThreadPoolExecutor(width) as pool:
+        return list(pool.map(lambda f: f(), map(inheritable_thread_target(spark), jobs)))
 
 
 # ---------------------------------------------------------------- pipelines
 
 def linear_pipeline(features: Sequence[str], label: str) -> Pipeline:
-    """L1 (+ M9): standardise (mean 0, unit std) then ordinary least squares."""
+    """L1 (+ M9): standardise (mean 0, unit population deviation) then ordinary
+    least squares."""
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol=FEATURES),
-        StandardScaler(inputCol=FEATURES, outputCol=SCALED, withMean=True, withStd=True),
+        PopulationScaler(inputCol=FEATURES, outputCol=SCALED),
         LinearRegression(featuresCol=SCALED, labelCol=label, regParam=0.0, elasticNetParam=0.0,
                          standardization=False, solver="normal"),
     ])
@@ -89,13 +108,10 @@ class Fitted:
         """Linear: |coefficient| on standardised features; trees: gain
         importance.  Sorted descending (T3)."""
         self._require()
-        spark = _spark()
+        spark = SparkSession.active()
         last = self.model.stages[-1]
         if self.kind == "linear":
-            # Per population standard deviation (Spark's scaler uses the sample's).
-            n = self.params.get("n_rows", 0)
-            scale = math.sqrt((n - 1) / n) if n > 1 else 1.0
-            vals = [abs(float(v)) * scale for v in last.coefficients.toArray()]
+            vals = [abs(float(v)) for v in last.coefficients.toArray()]
         else:
             vals = [float(v) for v in last.featureImportances.toArray()]
         df = spark.createDataFrame(list(zip(self.features, vals)), "feature string, importance double")
@@ -108,29 +124,110 @@ class Fitted:
         meta = {"features": self.features, "label": self.label, "kind": self.kind,
                 "params": {k: (v if isinstance(v, (int, float, str, bool)) else str(v)) for k, v in self.params.items()},
                 "metrics": self.metrics}
-        _spark().createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
+        SparkSession.active().createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
             f"{path}/metadata")
 
     @staticmethod
     def load(path: str) -> "Fitted":
-        meta = json.loads(_spark().read.text(f"{path}/metadata").first()[0])
+        meta = json.loads(SparkSession.active().read.text(f"{path}/metadata").first()[0])
         return Fitted(PipelineModel.load(f"{path}/model"), meta["features"], meta["label"], meta["kind"],
                       meta.get("params", {}), meta.get("metrics", {}))
 
 
-def _spark():
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession()
-
-
 def fit(kind: str, train: DataFrame, features: Sequence[str], label: str, params: dict | None = None) -> Fitted:
     pipe = linear_pipeline(features, label) if kind == "linear" else gbt_pipeline(features, label, params)
-    model, kept = pipe.fit(train), dict(params or {})
+    model, kept = pipe.fit(train if kind == "linear" else in_few_tasks(train)), dict(params or {})
     if kind == "linear":
         kept["n_rows"] = int(model.stages[-1].summary.numInstances)
     return Fitted(model, list(features), label, kind, kept)
 
 
+def prepared_pipeline(df: DataFrame, features: Sequence[str], label: str, kind: str = "gbt", params: dict | None = None) -> Pipeline:
+    """P8 + L1/L2: the matrix preparation (train medians, modes, label codes) as
+    the first stage of the model, fitted and saved with it."""
+    numeric, categorical = split_kinds(df, features)
+    model = linear_pipeline(features, label) if kind == "linear" else gbt_pipeline(features, label, params)
+    return Pipeline(stages=[MatrixPreparer(numeric=numeric, categorical=categorical), *model.getStages()])
+
+
+def fit_prepared(train: DataFrame, features: Sequence[str], label: str, kind: str = "gbt", params: dict | None = None) -> Fitted:
+    """A model of raw columns, strings and nulls among them; rows without a
+    label have no part in the fit."""
+    rows = train.select(*features, label).where(F.col(label).isNotNull())
+    return Fitted(prepared_pipeline(rows, features, label, kind, params).fit(rows), list(features), label, kind, dict(params or {}))
+
+
+# ---------------------------------------------------------------- L2: validation stop
+
+def boosted_frame(train: DataFrame, val: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """(label, vector, is_val) of both splits, written once for all fits over them."""
+    one = lambda df, v: df.select(*features, label, F.lit(v).alias(IS_VAL))
+    d = VectorAssembler(inputCols=list(features), outputCol=FEATURES).transform(one(train, False).unionByName(one(val, True)))
+    return in_few_tasks(materialize(d.select(label, FEATURES, IS_VAL)))
+
+
+def in_few_tasks(df: DataFrame) -> DataFrame:
+    """A stored table in no more partitions than its rows are worth: a boosted fit
+    runs a job for every level of every tree."""
+    return df.coalesce(max(1, math.ceil(df.count() / ROWS_PER_TASK)))
+
+
+def rmse_by_split(model, frame: DataFrame, label: str) -> dict[bool, float]:
+    """{is_val: RMSE} of a tree model over a boosted frame, one aggregate."""
+    err = F.sqrt(F.avg((F.col(label) - F.col("prediction")) ** 2)).alias("rmse")
+    return {r[IS_VAL]: float(r["rmse"]) for r in model.transform(frame).groupBy(IS_VAL).agg(err).collect()}
+
+
+def best_prefix(errors: Sequence[float], rounds: int = C.EARLY_STOPPING_ROUNDS, min_delta: float = C.EARLY_STOPPING_MIN_DELTA) -> int:
+    """How many first trees to keep: those up to the best error seen when for
+    ``rounds`` trees none was better than the best by more than ``min_delta``."""
+    best, at = math.inf, 0
+    for k, e in enumerate(errors):
+        if e < best - min_delta:
+            best, at = e, k + 1
+        elif k + 1 - at >= rounds:
+            break
+    return max(at, 1)
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The boosted model of the first ``n`` trees of ``model``."""
+    if n >= model.getNumTrees:
+        return model
+    java, gateway = model._java_obj, SparkSession.active().sparkContext._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for k in range(n):
+        trees[k], weights[k] = java.trees()[k], float(model.treeWeights[k])
+    cut = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
+    out = GBTRegressionModel(java.copyValues(cut, gateway.jvm.org.apache.spark.ml.param.ParamMap.empty()))
+    return model._copyValues(out)
+
+
+def fit_stopped(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, params: dict | None = None,
+                rule: str = "patience", rounds: int = C.EARLY_STOPPING_ROUNDS, min_delta: float = C.EARLY_STOPPING_MIN_DELTA) -> Fitted:
+    """L2 with a validation split. rule="patience": all trees are grown on the train
+    rows, the error of every prefix is read off the validation rows in one pass,
+    and the model keeps its trees up to the best one within ``rounds`` (see
+    :func:`best_prefix`). rule="first": the fit itself ends at the first tree
+    that takes less than ``min_delta`` off the validation error. ``metrics``
+    has the number of trees kept and both RMSEs."""
+    if rule not in ("patience", "first"):
+        raise ValueError("rule must be 'patience' or 'first'")
+    frame = boosted_frame(train, val, features, label)
+    more = {"validationIndicatorCol": IS_VAL, "validationTol": min_delta} if rule == "first" else {}
+    gbt = gbt_pipeline(features, label, {**(params or {}), **more}).getStages()[-1]
+    model = gbt.fit(frame if more else frame.where(~F.col(IS_VAL)))
+    grown = model.getNumTrees
+    if rule == "patience":
+        errors = [math.sqrt(e) for e in model.evaluateEachIteration(frame.where(IS_VAL), "squared")]
+        model = first_trees(model, best_prefix(errors, rounds, min_delta))
+    rmse = rmse_by_split(model, frame, label)
+    stages = [VectorAssembler(inputCols=list(features), outputCol=FEATURES), model]
+    metrics = {"trees": float(model.getNumTrees), "grown": float(grown), "train_rmse": rmse[False], "val_rmse": rmse[True]}
+    return Fitted(PipelineModel(stages), list(features), label, "gbt", dict(params or {}), metrics)
+
+
 # ---------------------------------------------------------------- data preparation
 
 def model_frame(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = ("station", "datetime", "split"),
@@ -171,8 +268,8 @@ def cross_validate(kind: str, df: DataFrame, spec: PanelSpec, features: Sequence
     steps = time_steps(df, spec)
     bounds = fold_bounds(steps, n_splits).orderBy("fold").collect()
     tagged = materialize(df.join(steps, spec.time))  # read by three jobs a fold
-    rows = []
-    for b in bounds:
+
+    def fold(b) -> DataFrame:
         tr = tagged.where(F.col("step") < b["test_start"]).drop("step")
         te = tagged.where((F.col("step") >= b["test_start"]) & (F.col("step") < b["test_end"])).drop("step")
         m = fit(kind, tr, features, label, params)
@@ -180,7 +277,9 @@ def cross_validate(kind: str, df: DataFrame, spec: PanelSpec, features: Sequence
         res = scored.agg(F.lit(int(b["fold"])).alias("fold"),
                          F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2)).alias("rmse"),
                          F.count(F.lit(1)).alias("n_test"))
-        rows.append(res.crossJoin(tr.agg(F.count(F.lit(1)).alias("n_train"))))
+        return res.crossJoin(tr.agg(F.count(F.lit(1)).alias("n_train")))
+
+    rows = together(df.sparkSession, [lambda b=b: fold(b) for b in bounds])
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -214,37 +313,43 @@ def draw_params(n_trials: int, seed: int = C.RANDOM_STATE, space: dict | None =
 
 
 def random_search(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, n_trials: int = C.SEARCH_TRIALS,
-                  seed: int = C.RANDOM_STATE, space: dict | None = None, base: dict | None = None) -> DataFrame:
-    """L3: fit one boosted-tree model per drawn parameter set on ``train``,
-    score RMSE on ``val``; returns the trials with ``best`` marking the lowest."""
-    spark = train.sparkSession
-    rows = []
-    for i, p in enumerate(draw_params(n_trials, seed, space)):
-        params = dict(base or {})
-        params.update(p)
-        m = fit("gbt", train, features, label, params)
-        r = m.predict(val).agg(F.sqrt(F.avg((F.col(label) - F.col("p")) ** 2)).alias("val_rmse")).first()[0]
-        rows.append((i, json.dumps({k: round(v, 6) if isinstance(v, float) else v for k, v in p.items()},
-                                   sort_keys=True), float(r)))
-    trials = spark.createDataFrame(rows, "trial int, params string, val_rmse double")
-    best = trials.agg(F.min("val_rmse").alias("_b"))
-    return trials.crossJoin(best).withColumn("best", F.col("val_rmse") == F.col("_b")).drop("_b")
+                  seed: int = C.RANDOM_STATE, space: dict | None = None, base: dict | None = None,
+                  min_delta: float = C.EARLY_STOPPING_MIN_DELTA, width: int = POOL) -> DataFrame:
+    """L3: one boosted-tree fit a drawn parameter set, up to ``width`` at a time over
+    one written table; each stops by the validation rows, its drawn number of
+    trees is the most it may grow. Returns (trial, params, trees, train_rmse,
+    val_rmse, best); ``best`` marks the lowest validation RMSE (of equal ones the
+    first trial)."""
+    spark, frame = train.sparkSession, boosted_frame(train, val, features, label)
+
+    def trial(i: int, p: dict) -> tuple:
+        params = {**(base or {}), **p, "validationIndicatorCol": IS_VAL, "validationTol": min_delta}
+        model = gbt_pipeline(features, label, params).getStages()[-1].fit(frame)
+        rmse = rmse_by_split(model, frame, label)
+        text = json.dumps({k: round(v, 6) if isinstance(v, float) else v for k, v in p.items()}, sort_keys=True)
+        return i, text, model.getNumTrees, rmse[False], rmse[True]
+
+    rows = together(spark, [lambda i=i, p=p: trial(i, p) for i, p in enumerate(draw_params(n_trials, seed, space))], width)
+    best = min(rows, key=lambda r: (r[4], r[0]))[0] if rows else None
+    return spark.createDataFrame([(*r, r[0] == best) for r in rows],
+                                 "trial int, params string, trees int, train_rmse double, val_rmse double, best boolean")
 
 
 def tuned_fit(train: DataFrame, val: DataFrame, spec: PanelSpec, features: Sequence[str], label: str,
               n_trials: int = C.SEARCH_TRIALS, space: dict | None = None, n_splits: int = C.CV_SPLITS,
               out: str | None = None) -> tuple[Fitted, DataFrame]:
-    """L2 + L3 + W11 + S6/S8: search, fit with the best parameters, score train and
-    val, cross-validate on train. The one-row result ``(train_rmse, val_rmse,
-    cv_rmse_mean, cv_rmse_std, params)`` is kept with the model; ``out`` saves both."""
+    """L2 + L3 + W11 + S6/S8: search, fit with the best parameters (stopped like its
+    trial), score train and val, cross-validate on train with the trees it kept.
+    The one-row result ``(train_rmse, val_rmse, cv_rmse_mean, cv_rmse_std, trees,
+    params)`` is kept with the model; ``out`` saves both."""
     trials = random_search(train, val, features, label, n_trials, space=space)
-    best = json.loads(trials.where("best").orderBy("trial").first()["params"])
-    model = fit("gbt", train, features, label, best)
-    rmse = lambda df, name: model.predict(df).agg(F.sqrt(F.avg((F.col(label) - F.col("p")) ** 2)).alias(name))
-    cv = cv_summary(cross_validate("gbt", train, spec, features, label, n_splits, best))
-    res = rmse(train, "train_rmse").crossJoin(rmse(val, "val_rmse")).crossJoin(cv)  # one row each
-    row = res.first().asDict()
-    model.metrics = {k: float(v) for k, v in row.items()}
+    best = json.loads(trials.where("best").first()["params"])
+    model = fit_stopped(train, val, features, label, best, "first")
+    folds = {**best, "maxIter": int(model.metrics["trees"])}
+    cv = cv_summary(cross_validate("gbt", train, spec, features, label, n_splits, folds)).first()
+    model.metrics = {"train_rmse": model.metrics["train_rmse"], "val_rmse": model.metrics["val_rmse"],
+                     "cv_rmse_mean": float(cv["cv_rmse_mean"]), "cv_rmse_std": float(cv["cv_rmse_std"]), "trees": model.metrics["trees"]}
+    model.params = best
     if out:
         model.save(out)
     result = train.sparkSession.createDataFrame([(*model.metrics.values(), json.dumps(best, sort_keys=True))],
@@ -271,18 +376,33 @@ def linear_contributions(m: Fitted, df: DataFrame, keys: Sequence[str]) -> DataF
     return df.select(*keys, F.inline(F.array(*terms)))
 
 
+def linear_attribution(m: Fitted, df: DataFrame) -> DataFrame:
+    """L7 (linear) over all rows: ``(feature, mean_abs_contribution)``, one
+    aggregate with an average a feature; no row is multiplied."""
+    scaler, lr = m.model.stages[1], m.model.stages[-1]
+    mean, std, coef = scaler.mean.toArray(), scaler.std.toArray(), lr.coefficients.toArray()
+    scale = [0.0 if std[j] == 0 else float(coef[j]) / float(std[j]) for j in range(len(m.features))]
+    row = df.agg(*[F.avg(F.abs(F.lit(scale[j]) * (F.col(f"`{c}`") - F.lit(float(mean[j]))))).alias(f"c{j}") for j, c in enumerate(m.features)])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{j}").alias("mean_abs_contribution"))
+                                         for j, c in enumerate(m.features)])))
+
+
 def permutation_importance(m: Fitted, sample: DataFrame, seed: int = C.RANDOM_STATE) -> DataFrame:
     """L7 (any model): per feature, RMSE increase when that feature's values
-    are permuted across the sample rows.  All features are scored in one job:
-    the sample is copied once per feature with only that column permuted.
-    ``sample`` must be bounded (e.g. :func:`stats.hash_sample`)."""
+    are permuted across all rows of ``sample``. All features are scored in one job:
+    each row is copied once a feature with only that column permuted. The
+    permutation is distributed: row i by one salted hash takes the values of row i
+    by another, both numbered by a range-partitioned sort and partition offsets."""
     feats, label = m.features, m.label
-    base = sample.select(*feats, label)
-    # The sample is bounded (a sampling operator), so numbering it in one task is fine.
-    w1 = Window.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in feats + [label]]))
-    w2 = Window.orderBy(F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in feats + [label]]))
-    a = base.withColumn("_r", F.row_number().over(w1))
-    b = base.select(*[F.col(c).alias(f"_perm_{c}") for c in feats], F.row_number().over(w2).alias("_r"))
+    base = materialize(sample.select(*feats, label))
+
+    def numbered(salt: int) -> DataFrame:
+        # Equal hashes are equal rows (or as good as): the rest of the order is theirs.
+        d = base.withColumns({"_h": F.xxhash64(F.lit(salt), *[F.col(f"`{c}`") for c in [*feats, label]]), "_all": F.lit(0)})
+        return with_position(d, PanelSpec(key="_all", time="_h", position_method="sort"))
+
+    a = numbered(seed).select(*feats, label, F.col(POS).alias("_r"))
+    b = numbered(seed + 1).select(*[F.col(f"`{c}`").alias(f"_perm_{c}") for c in feats], F.col(POS).alias("_r"))
     pair = a.join(b, "_r")
     names = F.array(*[F.lit(c) for c in feats + ["__none__"]])
     copies = pair.withColumn("_feature", F.explode(names))

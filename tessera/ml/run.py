@@ -65,7 +65,7 @@ def train_and_compare(panel: DataFrame, spec: PanelSpec, gbt_params: dict | None
     if out_dir:
         baseline.save(f"{out_dir}/baseline_model")
         boosted.save(f"{out_dir}/boosted_model")
-        io.write_panel(scored, f"{out_dir}/predictions")
+        io.write_results(scored, f"{out_dir}/predictions")
         io.write_json(comparison, f"{out_dir}/model_comparison")
-        io.write_json(mt.metrics(scored, ["model", "split"], full=True), f"{out_dir}/metrics")
+        io.write_results(mt.metrics(scored, ["model", "split"], full=True), f"{out_dir}/metrics")
     return RunResult(comparison, scored, baseline, boosted, feats)
