@@ -90,3 +90,13 @@ def raw_events_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select("event_id", "user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("datetime"),
                      "event_type", "value")
+
+
+def user_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per user and hour with events: a panel with gaps, as users come
+    and go (about 64 of 720 hours each)."""
+    ev = table(spark, sf_dir, "events")
+    return ev.groupBy(
+        F.col("user_id").cast("string").alias("station"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("datetime"),
+    ).agg(F.avg("value").alias("PM2_5"), F.max("value").alias("PM10"), F.min("value").alias("SO2"), F.sum("value").alias("NO2"),
+          F.avg(F.get_json_object("props", "$.k").cast("double")).alias("TEMP"), (F.lit(1000.0) + F.count(F.lit(1))).alias("PRES"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,16 +32,76 @@ RAW_SCHEMA = T.StructType([
 ])
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """CSV scan with declared types; ``path`` may be a glob over one file
-    per station and year. Columns bind by header name (columns that a file set
-    lacks are NULL, others are dropped), so all files of one call must share a
-    header; a file whose header differs from the first one's fails the read.
-    A value that isn't of its declared type is NULL and counts in
-    ``malformed`` (see :func:`malformed_rows`). ``PM2.5`` becomes ``PM2_5``."""
+def csv_files(spark: SparkSession, path: str) -> list[str]:
+    """The files under ``path`` (a file, folder or glob), in order, without those
+    that Spark leaves out as well (names that begin with _ or a dot)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    out, todo = [], list(fs.globStatus(root) or [])
+    while todo:
+        st = todo.pop()
+        if st.getPath().getName()[:1] in ("_", "."):
+            continue
+        if st.isDirectory():
+            todo += list(fs.listStatus(st.getPath()))
+        else:
+            out.append(st.getPath().toString())
+    return sorted(out)
+
+
+def header_groups(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """The files of each header line. Only the first line of a file is read, on
+    the driver, through its file system (and its codec, if it is compressed)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def header(f: str) -> str | None:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        stream, codec = p.getFileSystem(conf).open(p), codecs.getCodec(p)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        try:
+            return reader.readLine()
+        finally:
+            reader.close()
+
+    groups: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(8) as pool:
+        for f, line in zip(files, pool.map(header, files)):
+            if line is not None and line.strip("\ufeff \t"):  # an empty file has no rows
+                groups.setdefault(line, []).append(f)
+    return groups
+
+
+def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA, require: Sequence[str] = ()) -> DataFrame:
+    """S1 + U1: CSV scan with declared types; ``path`` may be a file, folder or
+    glob over one file per station and year. Columns bind by header name, and
+    each file by its own: files of one header are one scan, the scans are united
+    by name. Columns that a file lacks are NULL in its rows, others are dropped;
+    a file without one of the ``require`` columns raises. A value that isn't of
+    its declared type is NULL and counts in ``malformed`` (see
+    :func:`malformed_rows`). ``PM2.5`` becomes ``PM2_5``."""
+    files = csv_files(spark, path)
+    if not files:
+        raise ValueError(f"no file at {path}")
+    parts = [_typed_csv(spark, group, schema, require) for _, group in sorted(header_groups(spark, files).items())]
+    out = parts[0] if parts else _typed_csv(spark, files[:1], schema, ())
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _typed_csv(spark: SparkSession, files: list[str], schema: T.StructType, require: Sequence[str]) -> DataFrame:
+    """Files of one header."""
     raw = spark.read.option("header", True).option("nullValue", "NA").option("enforceSchema", False)
-    names = raw.csv(path).columns  # the header only: no types are inferred
-    text = raw.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
+    names = raw.csv(files[0]).columns  # the header only: no types are inferred
+    lacking = [c for c in require if c not in names]
+    if lacking:
+        raise ValueError(f"{files[0]} lacks the columns {lacking}")
+    if not names:  # an empty file
+        return spark.createDataFrame([], schema).select(
+            *[F.col(f"`{f.name}`").alias(f.name.replace(".", "_")) for f in schema.fields], F.lit(0).alias("malformed"))
+    text = raw.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(files)
     cols, bad = [], F.lit(0)
     for f in schema.fields:
         name = f.name.replace(".", "_")
@@ -78,6 +141,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
 
 
+def write_results(df: DataFrame, path: str, by: Sequence[str] = ("model", "split")) -> None:
+    """Predictions or metrics, one folder for each model and split. Only the
+    folders that ``df`` has rows for are replaced, whole: a rerun of one model
+    overwrites its own part, however often it runs, and leaves all others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, **only: str) -> DataFrame:
+    """Results of :func:`write_results`; ``only`` names partition values
+    (``model="gbt"``): other folders are not read."""
+    df = spark.read.parquet(path)
+    for c, v in only.items():
+        df = df.where(F.col(c) == v)
+    return df
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Small result tables (comparison, metrics, parameters) as JSON;
     predictions go to Parquet with :func:`write_panel`."""
@@ -89,28 +168,19 @@ def write_report(lines: DataFrame, path: str) -> None:
     lines.orderBy("seq").select(F.col("line").cast("string")).coalesce(1).write.mode("overwrite").text(path)
 
 
+METADATA_SCHEMA = ("features map<string, map<string, struct<unit: string, range: string, missing_percentage: double>>>")
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Nested dataset description -> one row per measured column
-    ``(group, column, unit, value_range, missing_pct)``."""
-    doc = spark.read.option("multiLine", True).json(path)
-    feats = doc.select("features.*")
-    out = None
-    for group in feats.columns:
-        sub = feats.select(F.col(group)).select(f"{group}.*")
-        for colname in sub.columns:
-            part = sub.select(
-                F.lit(group).alias("group"), F.lit(colname).alias("column"),
-                *[_field_or_null(sub, colname, f, t) for f, t in
-                  (("unit", "string"), ("range", "string"), ("missing_percentage", "double"))])
-            out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("range", "value_range").withColumnRenamed("missing_percentage", "missing_pct")
-
-
-def _field_or_null(sub: DataFrame, colname: str, field: str, typ: str):
-    st = sub.schema[colname].dataType
-    if isinstance(st, T.StructType) and field in st.fieldNames():
-        return F.col(f"`{colname}`.{field}").cast(typ).alias(field)
-    return F.lit(None).cast(typ).alias(field)
+    ``(group, column, unit, value_range, missing_pct)``. Groups and columns are
+    map keys, so one scan reads any document, whatever its names; fields that an
+    entry lacks are NULL."""
+    doc = spark.read.option("multiLine", True).schema(METADATA_SCHEMA).json(path)
+    group = doc.select(F.explode("features").alias("group", "columns"))
+    return group.select("group", F.explode("columns").alias("column", "d")).select(
+        "group", "column", F.col("d.unit").alias("unit"), F.col("d.range").alias("value_range"),
+        F.col("d.missing_percentage").alias("missing_pct"))
 
 
 def assets_check(spark: SparkSession, expected: DataFrame, root: str) -> DataFrame:
