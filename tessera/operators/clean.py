@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tessera.config import IQR_EXTREME_MULTIPLIER, IQR_MULTIPLIER, MISSING_DATA_THRESHOLD, PanelSpec
 from tessera.operators.quantiles import quantile_row
-from tessera.operators.sequence import POS, carry_fill, chunked_window, drop_position
+from tessera.operators.sequence import POS, carry_fill, chunked_window, drop_position, epoch_seconds
 from tessera.session import materialize
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -96,24 +96,30 @@ def interpolate_linear(df: DataFrame, spec: PanelSpec, cols: Sequence[str]) -> D
     cols = spec.present(df, cols)
     if not cols:
         return df
-    d = carry_fill(df, spec, cols)
-    new = {}
-    for c in cols:
-        pv, pp, nv, np_ = (F.col(f"{c}__{s}") for s in ("pv", "pp", "nv", "np"))
-        between = pv + (nv - pv) * (F.col(POS) - pp) / (np_ - pp)
-        new[c] = (F.when(F.col(c).isNotNull(), F.col(c))
-                  .when(pv.isNotNull() & nv.isNotNull(), between)
-                  .otherwise(F.coalesce(pv, nv)))
-    d = d.withColumns(new)
+    d = carry_fill(df, spec, cols).withColumns({c: _between(c) for c in cols})
     return d.drop(*[f"{c}__{s}" for c in cols for s in ("pv", "pp", "nv", "np")])
 
 
+def _between(c: str) -> Column:
+    """The value on the line between the neighbours that ``carry_fill`` found."""
+    pv, pp, nv, np_ = (F.col(f"{c}__{s}") for s in ("pv", "pp", "nv", "np"))
+    between = pv + (nv - pv) * (F.col(POS) - pp) / (np_ - pp)
+    return (F.when(F.col(c).isNotNull(), F.col(c))
+            .when(pv.isNotNull() & nv.isNotNull(), between)
+            .otherwise(F.coalesce(pv, nv)))
+
+
 def handle_missing(df: DataFrame, spec: PanelSpec, drop_sparse: bool = True) -> DataFrame:
     """W1 + W3 + W2 + P3 as in the cleaning stage: pollutants forward filled,
-    meteorology interpolated, wind label forward filled, then sparse rows dropped."""
-    d = forward_fill(df, spec, list(spec.pollutants) + [spec.wind])
-    d = interpolate_linear(d, spec, spec.meteorology)
-    d = drop_position(d)
+    meteorology interpolated, wind label forward filled, then sparse rows dropped.
+    Both fills read one numbering and one layout: the last value before a row
+    fills it forward if it stands at most ``fill_limit`` rows back."""
+    forward = spec.present(df, list(spec.pollutants) + [spec.wind])
+    linear = [c for c in spec.present(df, spec.meteorology) if c not in forward]
+    d = carry_fill(df, spec, linear, back=forward)
+    near = {c: F.when(F.col(POS) - F.col(f"{c}__pp") <= spec.fill_limit, F.col(f"{c}__pv")) for c in forward}
+    d = d.withColumns(near | {c: _between(c) for c in linear})
+    d = drop_position(d.drop(*[f"{c}__{s}" for c in [*forward, *linear] for s in ("pv", "pp", "nv", "np")]))
     if drop_sparse:
         d = drop_sparse_rows(d, spec)
     return d
@@ -258,6 +264,35 @@ def time_gaps(df: DataFrame, spec: PanelSpec, min_gap_hours: int = 1) -> DataFra
                     (F.col(spec.time) - F.expr("INTERVAL 1 HOUR")).alias("gap_end"), "missing_hours")
 
 
+def hour_grid(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """``(key, time)`` of every hour from each key's first to its last. The
+    span is first cut into chunks of ``spec.chunk_hours``, dealt out by key and
+    chunk, and each chunk makes its own hours: no row holds a key's whole span."""
+    hour = F.date_trunc("hour", F.col(spec.time)).cast("timestamp_ntz")
+    d = df.where(F.col(spec.time).isNotNull()).select(F.col(spec.key), F.floor(epoch_seconds(hour) / 3600).alias("_h"))
+    span = d.groupBy(spec.key).agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
+    n = int(spec.chunk_hours)
+    chunks = span.select("*", F.explode(F.sequence(F.floor(F.col("_lo") / n), F.floor(F.col("_hi") / n))).alias("_c"))
+    chunks = chunks.repartition(spec.key, "_c")
+    hours = chunks.select(spec.key, F.explode(F.sequence(
+        F.greatest("_lo", F.col("_c") * n), F.least("_hi", F.col("_c") * n + (n - 1)))).alias("_h"))
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return hours.select(spec.key, F.timestamp_add("HOUR", F.col("_h").cast("int"), start).alias(spec.time))
+
+
+def missing_hours(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """``(key, time)`` of the hours of the grid that no row of the key has."""
+    have = df.select(F.col(spec.key).alias("_k"), F.date_trunc("hour", F.col(spec.time)).cast("timestamp_ntz").alias("_t"))
+    grid = hour_grid(df, spec)
+    return grid.join(have, grid[spec.key].eqNullSafe(have["_k"]) & (grid[spec.time] == have["_t"]), "left_anti")
+
+
+def regularise(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The panel with a row for every hour of the grid; hours that were
+    absent have nulls. Rows within an hour keep their times; so do rows without a time."""
+    return df.unionByName(missing_hours(df, spec), allowMissingColumns=True)
+
+
 # ---------------------------------------------------------------- P2
 
 def temporal_split(df: DataFrame, spec: PanelSpec, whole_days: bool = False) -> DataFrame:

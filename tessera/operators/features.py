@@ -17,9 +17,7 @@ from tessera import config as C
 from tessera.config import PanelSpec
 from tessera.functions import calendar as cal
 from tessera.functions.encode import one_hot, safe_ratio, wind_components
-from tessera.operators.sequence import chunked_window, drop_position
-
-MAX_LEVELS = 1000
+from tessera.operators.sequence import chunked_window, drop_position, time_chunked_window
 
 
 @dataclass(frozen=True)
@@ -41,15 +39,12 @@ class Roll:
 _STATS = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}
 
 
-def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list[str]:
-    """Distinct values of a low-cardinality column (one-hot levels).  The
-    result is bounded: more than ``max_levels`` values raise instead of being
-    pulled to the driver."""
-    got = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct()
-           .orderBy(col).limit(max_levels + 1).collect()]
-    if len(got) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels; declare them in PanelSpec.key_levels")
-    return got
+def levels(df: DataFrame, col: str) -> list[str]:
+    """Distinct values of a column, in order: the names of its one-hot columns.
+    The frame made from them has one column each, so this list is schema, as
+    long as the caller's output is wide. Columns of many values are label codes
+    (M2) instead."""
+    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
 
 
 def key_levels(df: DataFrame, spec: PanelSpec) -> list[str]:
@@ -100,13 +95,20 @@ def date_parts(df: DataFrame, spec: PanelSpec) -> DataFrame:
 # ---------------------------------------------------------------- W4-W9
 
 def window_features(df: DataFrame, spec: PanelSpec, lags: Sequence[Lag] = (), rolls: Sequence[Roll] = (),
-                    leak_safe: bool = False) -> DataFrame:
-    """Lags and rolling statistics per key by row order, in one window pass.
-    ``leak_safe`` moves every rolling frame to the n rows *before* the row, so
-    no window contains the same-row value."""
+                    leak_safe: bool = False, by: str = "rows") -> DataFrame:
+    """Lags and rolling statistics per key in one window pass. by="rows": by
+    row order, k rows back. by="hours": by time, so a gap in the panel counts:
+    a lag is the value k hours before (the greatest of several, null if that time
+    is absent), a rolling frame holds the rows of the last n hours. ``leak_safe``
+    moves every rolling frame to *before* the row (by hours: to before its time),
+    so no window contains the same-row value."""
     lags, rolls = list(lags), list(rolls)
     if not lags and not rolls:
         return df
+    if by == "hours":
+        return _window_features_by_hours(df, spec, lags, rolls, leak_safe)
+    if by != "rows":
+        raise ValueError("by must be 'rows' or 'hours'")
     halo = max([lg.k for lg in lags] + [r.n if leak_safe else r.n - 1 for r in rolls] + [0])
 
     def compute(w):
@@ -124,6 +126,27 @@ def window_features(df: DataFrame, spec: PanelSpec, lags: Sequence[Lag] = (), ro
     return drop_position(chunked_window(df, spec, halo, compute))
 
 
+def _window_features_by_hours(df: DataFrame, spec: PanelSpec, lags: list[Lag], rolls: list[Roll], leak_safe: bool) -> DataFrame:
+    hour = 3600
+    halo = max([lg.k for lg in lags] + [r.n for r in rolls])
+
+    def compute(w):
+        out: dict[str, Column] = {}
+        for lg in lags:
+            # The greatest value among several rows of that hour: no order among them is given.
+            out[lg.name] = F.max(lg.src).over(w.rangeBetween(-lg.k * hour, -lg.k * hour))
+        for r in rolls:
+            # The last n hours: after t - n h, up to t (leak-safe: from t - n h, before t).
+            frame = w.rangeBetween(-r.n * hour, -1) if leak_safe else w.rangeBetween(-r.n * hour + 1, 0)
+            stat = _STATS[r.stat](r.src).over(frame)
+            if r.min_periods > 1:
+                stat = F.when(F.count(r.src).over(frame) >= r.min_periods, stat)
+            out[r.name] = stat
+        return out
+
+    return time_chunked_window(df, spec, halo, compute)
+
+
 def full_lags(df: DataFrame, spec: PanelSpec) -> list[Lag]:
     """Target 1..24, other pollutants 1,3,6,12,24, meteorology 1,6,24."""
     t = spec.target
@@ -377,9 +400,3 @@ def engineer_basic(df: DataFrame, spec: PanelSpec) -> DataFrame:
     if {"WSPM", "TEMP"} <= cols:
         new["WIND_x_TEMP"] = F.col("WSPM") * F.col("TEMP")
     return d.withColumns(new) if new else d
-
-
-def feature_columns(df: DataFrame, spec: PanelSpec, extra_exclude: Sequence[str] = ()) -> list[str]:
-    """Every column except target, key, time, split and labels."""
-    excl = {spec.target, spec.key, spec.time, "split", *extra_exclude}
-    return [c for c in df.columns if c not in excl]

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 POS = "_pos"
 CHUNK = "_chunk"
 HOME = "_home"
+SECONDS = "_seconds"
 
 
 def time_bucket(spec, col: str | Column | None = None) -> Column:
@@ -118,45 +119,55 @@ def chunked_window(df: DataFrame, spec, halo: int,
     return out.drop(CHUNK, HOME)
 
 
-def carry_fill(df: DataFrame, spec, cols: Sequence[str]) -> DataFrame:
+def epoch_seconds(c: str | Column) -> Column:
+    """Seconds of a zone-less timestamp since 1970 (independent of the session zone)."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c) if isinstance(c, str) else c)
+
+
+def time_chunked_window(df: DataFrame, spec, halo_hours: int,
+                        compute: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """Window columns over ``partitionBy(key)`` ordered by seconds, exact for range
+    frames that reach back at most ``halo_hours``. Every key is cut into chunks
+    of ``spec.chunk_hours`` hours, whatever its rows; rows less than the halo
+    before a chunk are copied into it. No rows are numbered: one shuffle in all.
+    Rows without a time are in no frame and get nulls."""
+    size, halo = int(spec.chunk_hours) * 3600, int(halo_hours) * 3600
+    d = df.withColumn(SECONDS, epoch_seconds(spec.time)).withColumn(HOME, F.floor(F.col(SECONDS) / F.lit(size)))
+    last = F.floor((F.col(SECONDS) + halo) / F.lit(size))
+    d = d.withColumn(CHUNK, F.explode_outer(F.sequence(F.col(HOME), last)))
+    cols = compute(Window.partitionBy(spec.key, CHUNK).orderBy(SECONDS))
+    out = d.withColumns({n: F.when(F.col(SECONDS).isNotNull(), c) for n, c in cols.items()})
+    return out.where(F.col(CHUNK).eqNullSafe(F.col(HOME))).drop(SECONDS, HOME, CHUNK)
+
+
+def carry_fill(df: DataFrame, spec, cols: Sequence[str], back: Sequence[str] = ()) -> DataFrame:
     """For each column ``c`` add ``c__pv, c__pp`` (last non-null value and its
-    position at or before the row) and ``c__nv, c__np`` (first non-null value and
-    position at or after the row), over the whole key, at any distance."""
+    position at or before the row) and, but for columns of ``back``, ``c__nv,
+    c__np`` (first non-null value and position at or after the row), over the whole
+    key, at any distance. All columns share one numbering and one layout by chunk."""
     d = with_position(df, spec)
     size = int(spec.chunk_rows)
     key = spec.key
     d = d.withColumn(CHUNK, F.struct(F.col(key).alias("k"), F.expr(f"{POS} div {size}").alias("c")))
-    aggs = []
-    for c in cols:
-        pair = F.struct(F.col(POS).alias("p"), F.col(c).alias("v"))
-        aggs.append(F.max(F.when(F.col(c).isNotNull(), pair)).alias(f"{c}__last"))
-        aggs.append(F.min(F.when(F.col(c).isNotNull(), pair)).alias(f"{c}__first"))
+    every = [*cols, *back]
+    pair = lambda c: F.struct(F.col(POS).alias("p"), F.col(c).alias("v"))
+    aggs = [F.max(F.when(F.col(c).isNotNull(), pair(c))).alias(f"{c}__last") for c in every]
+    aggs += [F.min(F.when(F.col(c).isNotNull(), pair(c))).alias(f"{c}__first") for c in cols]
     summary = d.groupBy(CHUNK).agg(*aggs)
     ws = Window.partitionBy(f"{CHUNK}.k").orderBy(f"{CHUNK}.c")
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
     after = ws.rowsBetween(1, Window.unboundedFollowing)
-    carries = [F.col(CHUNK)]
-    for c in cols:
-        carries.append(F.last(f"{c}__last", ignorenulls=True).over(before).alias(f"{c}__cin"))
-        carries.append(F.first(f"{c}__first", ignorenulls=True).over(after).alias(f"{c}__cout"))
-    carry = summary.select(*carries)
-    d = d.join(carry, CHUNK)
+    carries = [F.last(f"{c}__last", ignorenulls=True).over(before).alias(f"{c}__cin") for c in every]
+    carries += [F.first(f"{c}__first", ignorenulls=True).over(after).alias(f"{c}__cout") for c in cols]
+    d = d.join(summary.select(CHUNK, *carries), CHUNK)
     w = Window.partitionBy(CHUNK).orderBy(POS)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     onward = w.rowsBetween(0, Window.unboundedFollowing)
-    new = {}
-    for c in cols:
-        here = F.when(F.col(c).isNotNull(), F.struct(F.col(POS).alias("p"), F.col(c).alias("v")))
-        prev = F.coalesce(F.last(here, ignorenulls=True).over(upto), F.col(f"{c}__cin"))
-        nxt = F.coalesce(F.first(here, ignorenulls=True).over(onward), F.col(f"{c}__cout"))
-        new[f"{c}__prev"] = prev
-        new[f"{c}__next"] = nxt
+    here = lambda c: F.when(F.col(c).isNotNull(), pair(c))
+    new = {f"{c}__prev": F.coalesce(F.last(here(c), ignorenulls=True).over(upto), F.col(f"{c}__cin")) for c in every}
+    new |= {f"{c}__next": F.coalesce(F.first(here(c), ignorenulls=True).over(onward), F.col(f"{c}__cout")) for c in cols}
     d = d.withColumns(new)
-    flat = {}
-    for c in cols:
-        flat[f"{c}__pv"] = F.col(f"{c}__prev.v")
-        flat[f"{c}__pp"] = F.col(f"{c}__prev.p")
-        flat[f"{c}__nv"] = F.col(f"{c}__next.v")
-        flat[f"{c}__np"] = F.col(f"{c}__next.p")
-    drop = [CHUNK] + [f"{c}__{s}" for c in cols for s in ("cin", "cout", "prev", "next")]
-    return d.withColumns(flat).drop(*drop)
+    flat = {f"{c}__p{x}": F.col(f"{c}__prev.{x}") for c in every for x in "vp"}
+    flat |= {f"{c}__n{x}": F.col(f"{c}__next.{x}") for c in cols for x in "vp"}
+    helpers = [f"{c}__{s}" for c in every for s in ("cin", "prev")] + [f"{c}__{s}" for c in cols for s in ("cout", "next")]
+    return d.withColumns(flat).drop(CHUNK, *helpers)

@@ -3,9 +3,12 @@ P5-P10, M2, U1-U2)."""
 
 from __future__ import annotations
 
+import math
 import statistics
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,14 +93,62 @@ def mode_fill(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
 
 def target_correlation(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:
     """``(feature, abs_corr)`` of every numeric column with the target,
-    pairwise-complete, one aggregate for all columns."""
+    pairwise-complete, one aggregate for all columns; null for a column that
+    doesn't vary (``corr`` would divide by zero)."""
     cols = [c for c in (cols or numeric_names(df, include_bool=True)) if c != target]
-    agg = df.agg(*[F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))).alias(c) for c in cols])
+    y = F.col(f"`{target}`").cast("double")
+
+    def abs_corr(c: str):
+        x = F.col(f"`{c}`").cast("double")
+        both = lambda v, other: F.stddev_pop(F.when(other.isNotNull(), v))
+        return F.abs(F.try_divide(F.covar_pop(x, y), both(x, y) * both(y, x)))
+
+    agg = df.agg(*[abs_corr(c).alias(c) for c in cols])
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("abs_corr")) for c in cols])
     out = agg.select(F.inline(pairs))
     return out.withColumn("abs_corr", F.when(~F.isnan("abs_corr"), F.col("abs_corr")))
 
 
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """A11, full form: ``(feature_a, feature_b, n, corr)`` of every two numeric
+    columns in their order, over the rows where both are there; null where one of
+    them doesn't vary. Each task folds its rows into the sums of all pairs (matrix
+    products of the values and their null masks), so p columns send p² / 2 rows of
+    sums a task, whatever the rows. Values are taken from a middle value of their
+    column, so that large means cost no digits."""
+    cols = list(cols or numeric_names(df, include_bool=True))
+    d = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{j}") for j, c in enumerate(cols)])
+    row = d.agg(*[F.avg(c).alias(c) for c in d.columns]).first() if cols else None
+    if row is None:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, n long, corr double")
+    middle = np.array([v if v is not None and math.isfinite(v) else 0.0 for v in row])
+    a, b = np.triu_indices(len(cols), 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
+            m = ~np.isnan(x)
+            x, m = np.where(m, x - middle, 0.0), m.astype(np.float64)
+            # Of each pair: rows, sum and square sum of the one and of the other, products.
+            s, q = x.T @ m, (x * x).T @ m
+            part = np.stack([g[a, b] for g in (m.T @ m, s, s.T, q, q.T, x.T @ x)])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *map(pa.array, total)], names=["a", "b", "n", "sa", "sb", "qa", "qb", "p"])
+
+    got = d.mapInArrow(sums, "a int, b int, n double, sa double, sb double, qa double, qb double, p double").groupBy("a", "b").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")])
+    va, vb = (F.col("n") * F.col(f"q{x}") - F.col(f"s{x}") ** 2 for x in "ab")
+    cov = F.col("n") * F.col("p") - F.col("sa") * F.col("sb")
+    # A column without variance leaves rounding noise of its squares.
+    flat = lambda v, x: v <= F.col("n") * F.col(f"q{x}") * 1e-12
+    corr = F.when(~flat(va, "a") & ~flat(vb, "b"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(va * vb))))
+    name = lambda c: F.get(F.array(*map(F.lit, cols)), F.col(c))
+    return got.select(name("a").alias("feature_a"), name("b").alias("feature_b"), F.col("n").cast("long").alias("n"), corr.alias("corr"))
+
+
 def domain_features(spec: PanelSpec) -> list[str]:
     t = spec.target
     return ([f"{t}_lag_{k}h" for k in C.CRITICAL_LAGS] + list(C.DOMAIN_FEATURES_TAIL)
@@ -107,7 +158,8 @@ def domain_features(spec: PanelSpec) -> list[str]:
 def select_features(df: DataFrame, spec: PanelSpec, max_features: int = C.MAX_SELECTED_FEATURES) -> DataFrame:
     """Domain features first (those present, in their order), then the
     most correlated remaining features, up to ``max_features``.
-    Returns ``(rank, feature, abs_corr, source)``."""
+    Returns ``(rank, feature, abs_corr, source)``. Correlations that agree to ten
+    decimals (of a column and its multiple, say) are ties, in order of name."""
     corr = target_correlation(df, spec.target)
     present = [c for c in dict.fromkeys(domain_features(spec)) if c in df.columns and c != spec.target]
     spark = df.sparkSession
@@ -115,14 +167,17 @@ def select_features(df: DataFrame, spec: PanelSpec, max_features: int = C.MAX_SE
         if present else spark.createDataFrame([], "feature string, priority int")
     ranked = corr.join(F.broadcast(pri), "feature", "full")
     ranked = ranked.withColumn("source", F.when(F.col("priority").isNotNull(), "domain").otherwise("correlation"))
-    top = ranked.orderBy(F.col("priority").asc_nulls_last(), F.col("abs_corr").desc_nulls_last(),
-                         F.col("feature")).limit(max_features)
+    top = ranked.orderBy(*_rank_order()).limit(max_features)
     # The limit above is the feature (top-k); ranks are taken within those rows.
     return top.select(F.row_number().over(_rank_window()).alias("rank"), "feature", "abs_corr", "source")
 
 
+def _rank_order():
+    return F.col("priority").asc_nulls_last(), F.round("abs_corr", 10).desc_nulls_last(), F.col("feature")
+
+
 def _rank_window():
-    return Window.orderBy(F.col("priority").asc_nulls_last(), F.col("abs_corr").desc_nulls_last(), F.col("feature"))
+    return Window.orderBy(*_rank_order())
 
 
 def top_k(df: DataFrame, score: str, k: int, name: str = "feature") -> DataFrame:

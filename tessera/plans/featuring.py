@@ -101,6 +101,16 @@ def critical_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(ft.critical_null_report(p, SPEC))
 
 
+def leak_safe_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 without any feature that holds its row's own target."""
+    return finish(ft.engineer_full(fx.hourly_panel(spark, sf_dir, extra=True), SPEC, leak_safe=True))
+
+
+def leak_safe_optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 without any feature that holds its row's own target."""
+    return finish(ft.engineer_optimized(fx.hourly_panel(spark, sf_dir, extra=True), SPEC, leak_safe=True))
+
+
 QUERIES = {
     "forecast_features": forecast_features,
     "lag_features": lag_features,
@@ -114,6 +124,8 @@ QUERIES = {
     "wind_ratio_features": wind_ratio_features,
     "engineered_full": engineered_full,
     "engineered_optimized": engineered_optimized,
+    "leak_safe_full": leak_safe_full,
+    "leak_safe_optimized": leak_safe_optimized,
     "critical_nulls": critical_nulls,
 }
 
@@ -140,7 +152,7 @@ def roll_sql(src: str, n: int, stat: str, minp: int, name: str, leak_safe: bool
     return f"{e} AS {q(name)}"
 
 
-def safe_window_sql(cols_present) -> tuple[list[str], list[str]]:
+def safe_window_sql(cols_present, leak_safe: bool = False) -> tuple[list[str], list[str]]:
     """SQL items and output names of W5 + W8 for the present columns."""
     t = C.TARGET
     items, names = [], []
@@ -156,16 +168,16 @@ def safe_window_sql(cols_present) -> tuple[list[str], list[str]]:
             items.append(lag_sql(c, k, f"{c}_lag_{k}h"))
             names.append(f"{c}_lag_{k}h")
     for n in C.SAFE_TARGET_WINDOWS:
-        items.append(roll_sql(t, n, "mean", n // 2, f"{t}_rolling_mean_{n}h"))
+        items.append(roll_sql(t, n, "mean", n // 2, f"{t}_rolling_mean_{n}h", leak_safe))
         names.append(f"{t}_rolling_mean_{n}h")
         if n >= 12:
-            items.append(roll_sql(t, n, "std", n // 2, f"{t}_rolling_std_{n}h"))
+            items.append(roll_sql(t, n, "std", n // 2, f"{t}_rolling_std_{n}h", leak_safe))
             names.append(f"{t}_rolling_std_{n}h")
     for c in [c for c in C.POLLUTANTS if c in cols_present and c != t]:
-        items.append(roll_sql(c, 24, "mean", 12, f"{c}_rolling_mean_24h"))
+        items.append(roll_sql(c, 24, "mean", 12, f"{c}_rolling_mean_24h", leak_safe))
         names.append(f"{c}_rolling_mean_24h")
     for c in [c for c in C.SAFE_ROLLING_METEO if c in cols_present]:
-        items.append(roll_sql(c, 24, "mean", 12, f"{c}_rolling_mean_24h"))
+        items.append(roll_sql(c, 24, "mean", 12, f"{c}_rolling_mean_24h", leak_safe))
         names.append(f"{c}_rolling_mean_24h")
     return items, names
 
@@ -277,9 +289,9 @@ COMPASS_CASE = "CASE wd " + " ".join(f"WHEN '{p}' THEN {i * C.COMPASS_STEP_DEGRE
                                      for i, p in enumerate(C.COMPASS_POINTS)) + " END"
 
 
-def composite_sql(src: str) -> str:
-    parts = [f"(({q(c)} - min({q(c)}) OVER ()) / (max({q(c)}) OVER () - min({q(c)}) OVER () + 1e-8))"
-             for c in C.COMPOSITE_POLLUTANTS]
+def composite_sql(src: str, leak_safe: bool = False) -> str:
+    of = [c for c in C.COMPOSITE_POLLUTANTS if not (leak_safe and c == C.TARGET)]
+    parts = [f"(({q(c)} - min({q(c)}) OVER ()) / (max({q(c)}) OVER () - min({q(c)}) OVER () + 1e-8))" for c in of]
     return f"SELECT *, ({' + '.join(parts)}) / {float(len(parts))}::DOUBLE AS composite_aqi FROM ({src})"
 
 
@@ -289,35 +301,38 @@ def wind_items() -> tuple[list[str], list[str]]:
             ["wind_direction_numeric", "wind_dir_sin", "wind_dir_cos"])
 
 
-def full_sql(src: str) -> tuple[str, list[str]]:
+def full_sql(src: str, leak_safe: bool = False) -> tuple[str, list[str]]:
     cal, cal_names = calendar_sql(src, holiday=True)
     li, ln = full_lag_sql(BASE_EXTRA_SET)
-    ri, rn = full_roll_sql(BASE_EXTRA_SET)
+    ri, rn = full_roll_sql(BASE_EXTRA_SET, leak_safe)
+    known = lambda c: f"{c}_lag_1h" if leak_safe and c == C.TARGET else c
     win = f"SELECT *, {', '.join(li + ri)} FROM ({cal})"
-    inter = [f"{q(c)} * WSPM AS {q(c + '_wind_interaction')}" for c in POLL]
+    inter = [f"{q(known(c))} * WSPM AS {q(c + '_wind_interaction')}" for c in POLL]
     inter += ["PRES * TEMP AS pres_temp_interaction", "PM2_5_lag_1h * TEMP AS PM2_5_temp_lag_interaction"]
     inter += [f"season_{x} * TEMP AS season_{x}_temp_interaction" for x in SEASONS]
     inter_names = [f"{c}_wind_interaction" for c in POLL] + ["pres_temp_interaction", "PM2_5_temp_lag_interaction"] \
         + [f"season_{x}_temp_interaction" for x in SEASONS]
-    st, st_names = station_sql(f"SELECT *, {', '.join(inter)} FROM ({win})", means=True)
+    st, st_names = station_sql(f"SELECT *, {', '.join(inter)} FROM ({win})", means=not leak_safe)
     wi, wn = wind_items()
-    adv = ["(PM2_5 - PM2_5_lag_1h) / (PM2_5_lag_1h + 1e-8) AS PM2_5_change_rate",
-           "PM2_5 / (PM10 + 1e-8) AS pm25_pm10_ratio", "TEMP - TEMP_lag_1h AS temp_change_rate",
+    now, was = ("PM2_5_lag_1h", "PM2_5_lag_2h") if leak_safe else ("PM2_5", "PM2_5_lag_1h")
+    adv = [f"({now} - {was}) / ({was} + 1e-8) AS PM2_5_change_rate",
+           f"{known('PM2_5')} / (PM10 + 1e-8) AS pm25_pm10_ratio", "TEMP - TEMP_lag_1h AS temp_change_rate",
            "PRES - PRES_lag_6h AS pres_trend"] + wi
     adv_names = ["PM2_5_change_rate", "pm25_pm10_ratio", "temp_change_rate", "pres_trend"] + wn + ["composite_aqi"]
-    body = composite_sql(f"SELECT *, {', '.join(adv)} FROM ({st})")
+    body = composite_sql(f"SELECT *, {', '.join(adv)} FROM ({st})", leak_safe)
     names = list(BASE_EXTRA) + cal_names + ln + rn + inter_names + st_names + adv_names
     return f"SELECT * FROM ({body}) WHERE {CRITICAL}", names
 
 
-def optimized_sql(src: str) -> tuple[str, list[str]]:
+def optimized_sql(src: str, leak_safe: bool = False) -> tuple[str, list[str]]:
     cal, cal_names = calendar_sql(src, holiday=False)
-    li, ln = safe_window_sql(BASE_EXTRA_SET)
+    li, ln = safe_window_sql(BASE_EXTRA_SET, leak_safe)
+    target = "PM2_5_lag_1h" if leak_safe else "PM2_5"
     win = f"SELECT *, {', '.join(li)} FROM ({cal})"
-    inter = ["PM2_5 * WSPM AS PM2_5_wind_interaction", "PRES * TEMP AS pres_temp_interaction"]
+    inter = [f"{target} * WSPM AS PM2_5_wind_interaction", "PRES * TEMP AS pres_temp_interaction"]
     st, st_names = station_sql(f"SELECT *, {', '.join(inter)} FROM ({win})", means=False)
     wi, wn = wind_items()
-    adv = ["PM2_5 / (PM10 + 1e-8) AS pm25_pm10_ratio", "TEMP - TEMP_lag_1h AS temp_change_rate"] + wi
+    adv = [f"{target} / (PM10 + 1e-8) AS pm25_pm10_ratio", "TEMP - TEMP_lag_1h AS temp_change_rate"] + wi
     body = f"SELECT *, {', '.join(adv)} FROM ({st})"
     names = (list(BASE_EXTRA) + cal_names + ln + ["PM2_5_wind_interaction", "pres_temp_interaction"] + st_names
              + ["pm25_pm10_ratio", "temp_change_rate"] + wn)
@@ -375,6 +390,8 @@ def _sql() -> dict[str, str]:
         list(BASE_EXTRA) + ["TEMP_lag_1h", "pm25_pm10_ratio", "temp_change_rate"] + wn)
     s["engineered_full"] = out(*full_sql(PANEL_EXTRA_SQL))
     s["engineered_optimized"] = out(*optimized_sql(PANEL_EXTRA_SQL))
+    s["leak_safe_full"] = out(*full_sql(PANEL_EXTRA_SQL, leak_safe=True))
+    s["leak_safe_optimized"] = out(*optimized_sql(PANEL_EXTRA_SQL, leak_safe=True))
     li, ln = safe_window_sql(BASE_EXTRA_SET)
     crit = [C.TARGET] + [f"{C.TARGET}_lag_{k}h" for k in C.CRITICAL_LAGS]
     anyn = " OR ".join(f"{q(c)} IS NULL" for c in crit)

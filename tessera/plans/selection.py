@@ -16,6 +16,7 @@ from tessera.plans.featuring import BASE_EXTRA, basic_sql, full_sql, optimized_s
 from tessera.sources import fixtures as fx
 
 SPEC = fx.EVENTS_SPEC
+MATRIX_COLS = ("PM2_5", "PM10", "SO2", "NO2", "TEMP", "WSPM", "PRES", "hh")
 X_RAW = ("PM10", "SO2", "NO2", "TEMP")
 
 
@@ -104,11 +105,12 @@ def raw_model_features(spark, sf_dir):
 
 
 def common_features(spark, sf_dir):
-    """P9 + P10: numeric columns common to the three C3 splits, minus target and keys."""
+    """P9 + P10: numeric columns common to the three C3 splits, minus target and
+    keys: rows and values there in each split."""
     e = clean.temporal_split(ft.engineer_optimized(fx.hourly_panel(spark, sf_dir, extra=True), SPEC), SPEC)
     frames = [e.where(F.col("split") == s) for s in ("train", "val", "test")]
     names = st.common_numeric(frames, exclude=[SPEC.target, SPEC.key, SPEC.time, "split"])
-    return spark.createDataFrame([(n,) for n in names], "feature string")
+    return finish(reports.feature_coverage(e.where(F.col("split").isNotNull()), names))
 
 
 def feature_counts(spark, sf_dir):
@@ -120,10 +122,23 @@ def feature_counts(spark, sf_dir):
 
 
 def feature_report(spark, sf_dir):
-    """Feature counts by name category of the C2 output (groups overlap)."""
+    """Features of the C2 output by name category (groups overlap), their
+    cells and values."""
     base = fx.hourly_panel(spark, sf_dir, extra=True)
     full = ft.engineer_full(base, SPEC)
-    return finish(reports.feature_categories(spark, [c for c in full.columns if c not in base.columns]))
+    return finish(reports.feature_categories(full, [c for c in full.columns if c not in base.columns]))
+
+
+def selected_engineered(spark, sf_dir):
+    """T2 on the C2 features: of more than a hundred candidates 50 are left."""
+    full = ft.engineer_full(fx.hourly_panel(spark, sf_dir, extra=True), SPEC)
+    return finish(st.select_features(full, SPEC))
+
+
+def correlation_matrix(spark, sf_dir):
+    """A11, full form: every two measurements over the hours that have both."""
+    p = fx.hourly_panel(spark, sf_dir, extra=True)
+    return finish(st.correlation_matrix(p, MATRIX_COLS))
 
 
 def time_folds(spark, sf_dir):
@@ -148,6 +163,8 @@ QUERIES = {
     "common_features": common_features,
     "feature_counts": feature_counts,
     "feature_report": feature_report,
+    "selected_engineered": selected_engineered,
+    "correlation_matrix": correlation_matrix,
     "time_folds": time_folds,
 }
 
@@ -158,25 +175,48 @@ F4_COLS = ("station", "datetime", "hh", "PM2_5", "PM10", "SO2", "NO2", "TEMP", "
 OUT_F4 = f"station, datetime, hh::BIGINT AS hh, {sql_round(('PM2_5', 'PM10', 'SO2', 'NO2', 'TEMP'))}, wd"
 
 
-def _basic_numeric() -> tuple[str, list[str]]:
-    sql, names = basic_sql(PANEL_EXTRA_SQL)
-    numeric = [n for n in names if n not in ("station", "datetime", "wd", "PM2_5")]
-    return sql, numeric
+NOT_NUMERIC = ("station", "datetime", "wd", "season", "time_of_day", "PM2_5")
+
 
+def _numeric(frame_sql) -> tuple[str, list[str]]:
+    sql, names = frame_sql(PANEL_EXTRA_SQL)
+    return sql, [n for n in names if n not in NOT_NUMERIC]
 
-def _corr_sql() -> str:
-    sql, numeric = _basic_numeric()
+
+def _corr_sql(frame_sql=basic_sql) -> str:
+    sql, numeric = _numeric(frame_sql)
     rows = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, abs(corr({q(c)}::DOUBLE, PM2_5)) AS v FROM b" for c in numeric)
-    return f"b AS ({sql}), c AS (SELECT feature, CASE WHEN isnan(v) THEN NULL ELSE v END AS abs_corr FROM ({rows}))"
+    return f"b AS MATERIALIZED ({sql}), c AS (SELECT feature, CASE WHEN isnan(v) THEN NULL ELSE v END AS abs_corr FROM ({rows}))"
 
 
-def _domain_values() -> str:
-    names = st.domain_features(SPEC)
-    _, numeric = _basic_numeric()
-    present = [n for n in dict.fromkeys(names) if n in numeric or n in BASE_EXTRA]
-    present = [n for n in present if n != "PM2_5"]
-    return ", ".join(f"('{n}', {i})" for i, n in enumerate(present))
+def _selected_sql(frame_sql=basic_sql) -> str:
+    _, numeric = _numeric(frame_sql)
+    present = [n for n in dict.fromkeys(st.domain_features(SPEC)) if n in numeric or n in BASE_EXTRA]
+    domain = ", ".join(f"('{n}', {i})" for i, n in enumerate(n for n in present if n != "PM2_5"))
+    return f"""
+      WITH {_corr_sql(frame_sql)}, d(feature, priority) AS (VALUES {domain}),
+      r AS (SELECT coalesce(c.feature, d.feature) AS feature, c.abs_corr, d.priority
+            FROM c FULL JOIN d ON c.feature = d.feature
+            ORDER BY d.priority ASC NULLS LAST, round(c.abs_corr, 10) DESC NULLS LAST, 1 LIMIT {C.MAX_SELECTED_FEATURES})
+      SELECT row_number() OVER (ORDER BY priority ASC NULLS LAST, round(abs_corr, 10) DESC NULLS LAST, feature)::BIGINT AS rank,
+             feature, {r6('abs_corr')} AS abs_corr,
+             CASE WHEN priority IS NOT NULL THEN 'domain' ELSE 'correlation' END AS source FROM r"""
+
+
+def _matrix_sql() -> str:
+    both = lambda a, b: f"FROM p WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+    rows = [f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, count(*)::BIGINT AS n, {r6(f'corr({a}, {b})')} AS corr {both(a, b)}"
+            for j, a in enumerate(MATRIX_COLS) for b in MATRIX_COLS[j + 1:]]
+    return f"WITH p AS MATERIALIZED ({PANEL_EXTRA_SQL}) " + " UNION ALL ".join(rows)
+
+
+def _coverage_sql(sql: str, names: list[str], by: str) -> str:
+    """(by, feature, rows, non_null) of a frame that holds ``by``."""
+    counts = ", ".join(f"count({q(n)}) AS {q(n)}" for n in names)
+    return f"""SELECT "{by}", feature, n_rows AS rows, non_null FROM (
+      UNPIVOT (SELECT "{by}", count(*) AS n_rows, {counts} FROM ({sql}) GROUP BY ALL)
+      ON {', '.join(q(n) for n in names)} INTO NAME feature VALUE non_null)"""
 
 
 def _sql() -> dict[str, str]:
@@ -201,14 +241,9 @@ def _sql() -> dict[str, str]:
       SELECT {OUT_F4}, split, coalesce(lv.code, (SELECT count(*) FROM lv)::DOUBLE) AS wd_index
       FROM p LEFT JOIN lv ON p.wd = lv.lwd"""
     s["target_correlation"] = f"WITH {_corr_sql()} SELECT feature, {r6('abs_corr')} AS abs_corr FROM c"
-    s["selected_features"] = f"""
-      WITH {_corr_sql()}, d(feature, priority) AS (VALUES {_domain_values()}),
-      r AS (SELECT coalesce(c.feature, d.feature) AS feature, c.abs_corr, d.priority
-            FROM c FULL JOIN d ON c.feature = d.feature
-            ORDER BY d.priority ASC NULLS LAST, c.abs_corr DESC NULLS LAST, 1 LIMIT {C.MAX_SELECTED_FEATURES})
-      SELECT row_number() OVER (ORDER BY priority ASC NULLS LAST, abs_corr DESC NULLS LAST, feature)::BIGINT AS rank,
-             feature, {r6('abs_corr')} AS abs_corr,
-             CASE WHEN priority IS NOT NULL THEN 'domain' ELSE 'correlation' END AS source FROM r"""
+    s["selected_features"] = _selected_sql()
+    s["selected_engineered"] = _selected_sql(full_sql)
+    s["correlation_matrix"] = _matrix_sql()
     s["top_correlations"] = (f"WITH {_corr_sql()} SELECT feature, {r6('abs_corr')} AS abs_corr FROM c "
                              f"ORDER BY abs_corr DESC NULLS LAST, feature LIMIT {C.TOP_FEATURES}")
     s["systematic_sample"] = (f"SELECT {OUT_F4} FROM (SELECT *, row_number() OVER (PARTITION BY station "
@@ -230,12 +265,10 @@ def _sql() -> dict[str, str]:
     filled = ", ".join(f"{r6('coalesce(' + q(c) + ', m.' + q('m_' + c) + ')')} AS {q(c)}" for c in X_RAW)
     s["raw_model_features"] = (f"WITH p AS ({PANEL_SQL}), m AS (SELECT {meds} FROM p) "
                                f"SELECT station, datetime, {filled}, {r6('PM2_5')} AS PM2_5 FROM p, m")
-    opt, _ = optimized_sql(PANEL_EXTRA_SQL)
-    s["common_features"] = f"""
-      SELECT column_name AS feature FROM (DESCRIBE {opt})
-      WHERE column_type IN ('DOUBLE', 'BIGINT', 'INTEGER', 'BOOLEAN', 'FLOAT', 'SMALLINT', 'HUGEINT')
-        AND column_name NOT IN ('PM2_5', 'station', 'datetime', 'split')"""
-    full, _ = full_sql(PANEL_EXTRA_SQL)
+    opt, opt_names = optimized_sql(PANEL_EXTRA_SQL)
+    common = [n for n in opt_names if n not in NOT_NUMERIC]
+    s["common_features"] = _coverage_sql(f"SELECT * FROM ({f4_split_sql(opt)}) WHERE split IS NOT NULL", common, "split")
+    full, full_names = full_sql(PANEL_EXTRA_SQL)
     basic, _ = basic_sql(PANEL_EXTRA_SQL)
     parts = []
     for name, sql in (("base", PANEL_EXTRA_SQL), ("full", full), ("optimized", opt), ("basic", basic)):
@@ -243,13 +276,12 @@ def _sql() -> dict[str, str]:
                      f"(SELECT count(*) FROM ({sql}))::BIGINT AS n_rows")
     s["feature_counts"] = " UNION ALL ".join(parts)
     cats = reports.CATEGORY_PATTERNS
-    base_cols = ", ".join(f"'{c}'" for c in BASE_EXTRA)
-    def any_of(pats):
-        return " OR ".join("contains(column_name, '" + p + "')" for p in pats)
-
-    counts = ", ".join(f"count(*) FILTER (WHERE {any_of(pats)})::BIGINT AS {q(cat)}" for cat, pats in cats)
-    s["feature_report"] = (f"SELECT count(*)::BIGINT AS total, {counts} FROM (DESCRIBE {full}) "
-                           f"WHERE column_name NOT IN ({base_cols})")
+    made = [n for n in full_names if n not in BASE_EXTRA]
+    coverage = _coverage_sql(f"SELECT 0 AS everything, * FROM ({full})", made, "everything")
+    per = [("total", "true"), *((cat, " OR ".join(f"contains(feature, '{p}')" for p in pats)) for cat, pats in cats)]
+    s["feature_report"] = f"WITH v AS ({coverage}) " + " UNION ALL ".join(
+        f"SELECT '{cat}' AS category, count(*)::BIGINT AS features, coalesce(sum(rows), 0)::BIGINT AS cells, "
+        f"coalesce(sum(non_null), 0)::BIGINT AS non_null FROM v WHERE {cond}" for cat, cond in per)
     s["time_folds"] = f"""
       WITH p AS ({PANEL_SQL}),
       t AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS step FROM (SELECT DISTINCT datetime FROM p)),
