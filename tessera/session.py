@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +39,27 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors (tasks import it by name), so it need
+    not be installed there nor be in their working folder."""
+    if getattr(ship, "to", None) is spark.sparkContext:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    packed = os.path.join(tempfile.mkdtemp(prefix="tessera-ship-"), "tessera.zip")
+    with zipfile.ZipFile(packed, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    f = os.path.join(folder, n)
+                    z.write(f, os.path.relpath(f, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(packed)
+    ship.to = spark.sparkContext
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only a local master, whose
     executors share the driver's disk, gets a scratch directory when it is unset."""
