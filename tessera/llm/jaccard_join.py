@@ -8,11 +8,13 @@ Two sets of similarity s share a chosen token with probability at least
 1 - exp(-s * tokens_per_level) a bucket, while dissimilar sets lose each other.
 The hash is salted with the bucket, so a pair's buckets choose independently
 of each other. Buckets of at most ``small`` sets are compared by brute force;
-larger ones are split again, up to ``levels`` times. The runs are as many as the
+larger ones are split again, up to ``levels`` times, unless they are dense: of the
+buckets of a dense bucket's sets at least three quarters are large, so its sets would
+stay together in every run and on every level. The runs are as many as the
 target recall needs for pairs at the threshold that stay together on all levels.
 
-What is still large after the last level are sets alike in most tokens. Such
-buckets that share sets are joined to one, and compared in blocks of about
+What is dense, or still large after the last level, are sets alike in most
+tokens. Such buckets that share sets are joined to one, and compared in blocks of about
 ``block`` sets, each pair of blocks in a task of its own, so groups of any size
 are compared whole. A pair that meets in several buckets counts only in the
 lowest-numbered common one: each set carries the numbers of its buckets.
@@ -49,7 +51,8 @@ from tessera.llm.steps import settle
 
 BATCH_BYTES = 8 << 20
 SMALL = 128
-BLOCK = 256
+DENSE = 0.75
+BLOCK = 512
 BLOCK_TOKENS = 1 << 20
 
 
@@ -130,8 +133,8 @@ def bucket_number(*path: Column) -> Column:
 
 
 def split(docs: DataFrame, sets: DataFrame, large: DataFrame, size: int, per_level: float) -> DataFrame:
-    """(bucket, sid): the child buckets of ``large``. The sets are made again,
-    from one text each. ``docs``: (id, k, t)."""
+    """(bucket, sid, t): the child buckets of ``large``, t of them for a set. The sets
+    are made again, from one text each. ``docs``: (id, k, t)."""
     of = large.groupBy("sid").agg(F.collect_list("bucket").alias("of"))
     wanted = settle(of.join(sets.select("sid", "rep"), "sid").select(F.col("rep.id").alias("_id"), F.col("rep.k").alias("_k"), "sid", "of"))
     texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["_id"]) & (docs["k"] == wanted["_k"])).select("sid", "of", "t")
@@ -144,31 +147,47 @@ def split(docs: DataFrame, sets: DataFrame, large: DataFrame, size: int, per_lev
                 below = [children(t[start[k]:start[k + 1]], np.array(b.column(1)[at + k].as_py(), dtype=np.int64), per_level)
                          for k in range(len(part))]
                 which = np.repeat(np.arange(at, at + len(part)), [len(x) for x in below])
+                t = np.repeat([len(x) for x in below], [len(x) for x in below]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(below), pa.int64()), b.column(0).take(pa.array(which))], names=["bucket", "sid"])
+                    [pa.array(np.concatenate(below), pa.int64()), b.column(0).take(pa.array(which)), pa.array(t)], names=["bucket", "sid", "t"])
                 at += len(part)
 
     # Rows of one id and text are copies with the same children.
-    return texts.mapInArrow(run, "bucket long, sid binary").distinct()
+    return texts.mapInArrow(run, "bucket long, sid binary, t int").distinct()
+
+
+def density(large: DataFrame) -> DataFrame:
+    """(bucket, dense): whether most buckets of a large bucket's sets are large:
+    its sets are alike in most tokens, and go on together however they are split.
+    ``large``: (bucket, sid, t)."""
+    share = large.groupBy("sid").agg((F.count("*") / F.max("t")).alias("share"))
+    return large.join(share, "sid").groupBy("bucket").agg((F.avg("share") >= DENSE).alias("dense"))
 
 
 def buckets(docs: DataFrame, sets: DataFrame, levels: int, small: int, size: int, per_level: float) -> tuple[DataFrame, DataFrame | None]:
-    """(bucket, sid) of the small leaf buckets, and of those still large after
-    the last level (None if there are none); buckets of one set are gone."""
-    members = sets.select("sid", F.explode("first").alias("bucket"))
-    leaves = None
+    """(bucket, sid) of the small leaf buckets, and of those that are dense or
+    still large after the last level (None if there are none); buckets of one set
+    are gone. A pair that shares a dense bucket has met: it is not split further."""
+    members = sets.select("sid", F.size("first").alias("t"), F.explode("first").alias("bucket"))
+    leaves = whole = None
     for level in range(levels):
         # Counted with partial sums; only members of buckets of two or more go on.
         sizes = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
         shared = settle(members.join(sizes, "bucket"))
         few = shared.where(F.col("m") <= small).select("bucket", "sid")
         leaves = few if leaves is None else leaves.unionByName(few)
-        large = shared.where(F.col("m") > small).select("bucket", "sid")
+        large = shared.where(F.col("m") > small).select("bucket", "sid", "t")
         if not large.limit(1).count():
-            return leaves, None
+            break
         if level < levels - 1:
-            members = settle(split(docs, sets, large, size, per_level))
-    return leaves, large
+            large = settle(large.join(density(large), "bucket"))
+            members = settle(split(docs, sets, large.where("NOT dense").select("bucket", "sid"), size, per_level))
+            large = large.where("dense")
+        large = large.select("bucket", "sid")
+        whole = large if whole is None else whole.unionByName(large)
+    if whole is None or not whole.limit(1).count():
+        return leaves, None
+    return leaves, whole
 
 
 def distinct_buckets(members: DataFrame) -> DataFrame:
