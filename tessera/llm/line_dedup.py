@@ -11,10 +11,13 @@ interval, and those whose pair includes the document's end, are final and take
 no further part; documents without open suffixes leave the rounds.
 
 Runs are repeated if they have at least ``min_lines`` lines (a power of two), or
-are one line of at least ``min_chars`` characters. The LCP intervals of depth
-``min_lines`` and 1 hold the places of such runs; overlapping places join to the
-maximal repeated runs. In each interval the first place by (document id, text
-hash, line) stays, and the lines of later places are deleted.
+one to three lines of at least ``min_chars`` characters in all. The LCP
+intervals of depth 1, 2 and ``min_lines`` hold the places of such runs, those of
+three lines are pairs of neighbouring intervals of depth 2; overlapping places join
+to the maximal repeated runs. In each interval the first place by (document id,
+text hash, line) stays, and the lines of later places are deleted. Deeper rounds
+only tell how far a run goes on, which the overlaps do as well: the deletion stops
+at the depth it needs, ``suffix_ranks`` goes on to the end.
 
 No group is brought together: pairs are counted with partial sums, so a line or
 run that a third of all lines share is one row a task; sums over the pairs of one
@@ -22,7 +25,7 @@ rank go over ``BUCKETS`` ranges of the second rank first; ranks return
 to the suffixes by joins that adaptive execution can split. Each round ends in
 a checkpoint.
 
-Defined results: a null text has no lines and stays null; an empty text has one
+Defined results: a null id is an id like others, and comes first; a null text has no lines and stays null; an empty text has one
 empty line; lines are what stands between \\n; rows with one id and one text
 are one document (each such row gets the same result), rows with one id and
 different texts are different documents; an empty table gives an empty result.
@@ -45,7 +48,7 @@ KEY = ["id", "k"]
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, k, line, h1, h2, long_line): one row per line of each distinct (id, text)."""
+    """(id, k, line, h1, h2, chars): one row per line of each distinct (id, text)."""
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), F.split(text_col, "\n", -1).alias("lines"))
     d = d.select(*KEY, F.posexplode("lines").alias("line", "s"))
     return d.select(*KEY, "line", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"),
@@ -112,25 +115,44 @@ def suffix_ranks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield depth, r
 
 
+def triples(r: DataFrame) -> DataFrame:
+    """(id, k, line, n, c, first) of the runs of three lines from the ranks by
+    two: neighbouring ranks, counted; n: characters of the run."""
+    here = Window.partitionBy(*KEY).orderBy("line")
+    d = r.select(*KEY, "line", "r", "open", (F.col("chars") + F.lead("chars", 1).over(here) + F.lead("chars", 2).over(here)).alias("n"),
+                 F.lead("r", 1).over(here).alias("r2"), F.lead("open", 1).over(here).alias("open2"))
+    # Equal runs have equal ranks, both shared; a run that leaves the document has no n.
+    d = d.where("open AND open2 AND n IS NOT NULL")
+    runs = d.groupBy("r", "r2").agg(F.count("*").alias("c"), F.min(F.struct(*KEY, "line")).alias("first")).where("c > 1")
+    return d.join(runs, ["r", "r2"]).select(*KEY, "line", "n", "c", "first")
+
+
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
                    text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(all lines of documents with a repeated line, the deleted ones), both
-    with (id, k, line); the rounds run until every suffix is ranked."""
+    with (id, k, line)."""
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     later = F.struct(*KEY, "line") > F.col("first")
+    here = Window.partitionBy(*KEY).orderBy("line")
+    span = lambda df, n: df.select(*KEY, F.explode(F.sequence("line", F.col("line") + (n - 1))).alias("line"))
     lines, deleted = None, []
     for depth, r in suffix_ranks(docs, id_col, text_col):
         if depth == 1:
             lines = r.select(*KEY, "line")
             deleted.append(r.where((F.col("c") > 1) & later & (F.col("chars") >= min_chars)).select(*KEY, "line"))
+        if depth == 2 < min_lines:
+            two = r.withColumn("n", F.col("chars") + F.lead("chars", 1).over(here))
+            deleted.append(span(two.where((F.col("c") > 1) & later & (F.col("n") >= min_chars)), 2))
+            deleted.append(span(triples(r).where(later & (F.col("n") >= min_chars)), 3))
         if depth == min_lines:
             # An interval of this depth also holds shorter suffixes that are
             # equal up to the document's end; those are closed.
-            whole = F.col("c") > 1 if depth == 1 else (F.col("c") > 1) & F.col("whole")
             last = F.max("line").over(Window.partitionBy(*KEY))
-            runs = r.withColumn("whole", F.col("line") + depth - 1 <= last).where(whole & later)
-            deleted.append(runs.select(*KEY, F.explode(F.sequence("line", F.col("line") + depth - 1)).alias("line")))
+            whole = (F.col("line") + depth - 1 <= last) if depth > 1 else F.lit(True)
+            runs = r.withColumn("whole", whole).where((F.col("c") > 1) & F.col("whole") & later)
+            deleted.append(span(runs, depth))
+            break
     gone = deleted[0]
     for d in deleted[1:]:
         gone = gone.unionByName(d)
@@ -141,7 +163,8 @@ def line_masks(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN
                text_col: str = "text") -> DataFrame:
     """(id, k, gone array<boolean>): for each document that loses lines, which."""
     lines, gone = repeated_lines(docs, min_lines, min_chars, id_col, text_col)
-    m = lines.join(gone.withColumn("_gone", F.lit(True)), [*KEY, "line"], "left")
+    gone = gone.select(F.col("id").alias("_id"), F.col("k").alias("_k"), F.col("line").alias("_line"), F.lit(True).alias("_gone"))
+    m = lines.join(gone, lines["id"].eqNullSafe(gone["_id"]) & (lines["k"] == gone["_k"]) & (lines["line"] == gone["_line"]), "left")
     m = m.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("line", F.coalesce("_gone", F.lit(False)).alias("gone")))).alias("m"))
     return m.select(*KEY, F.transform("m", lambda x: x["gone"]).alias("gone")).where(F.exists("gone", lambda x: x))
 
@@ -175,6 +198,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def _short_sql(n: int) -> str:
+    """Later copies of runs of ``n`` lines with enough characters."""
+    frame = f"OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+    return f"""short{n} AS (SELECT doc_id, text, unnest(range(i, i + {n})) AS i FROM (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS copy FROM (
+    SELECT doc_id, text, i, list(s) {frame} AS run, sum(length(s)) {frame} AS chars FROM l) WHERE len(run) = {n} AND chars >= {MIN_CHARS})
+  WHERE copy > 1)"""
+
+
 OP2_SQL = f"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
@@ -183,7 +215,9 @@ one AS (SELECT doc_id, text, i FROM (SELECT *, row_number() OVER (PARTITION BY s
         WHERE copy > 1 AND length(s) >= {MIN_CHARS}),
 many AS (SELECT doc_id, text, unnest(range(i, i + {MIN_LINES})) AS i FROM (
            SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS copy FROM w WHERE len(run) = {MIN_LINES}) WHERE copy > 1),
-gone AS (SELECT DISTINCT * FROM (SELECT * FROM one UNION ALL SELECT * FROM many)),
+{_short_sql(2)},
+{_short_sql(3)},
+gone AS (SELECT DISTINCT * FROM (SELECT * FROM one UNION ALL SELECT * FROM many UNION ALL SELECT * FROM short2 UNION ALL SELECT * FROM short3)),
 m AS (SELECT l.*, gone.i IS NOT NULL AS gone FROM l LEFT JOIN gone USING (doc_id, text, i)),
 e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id, text ORDER BY i), false) AS starts FROM m),
 k AS (SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_runs,

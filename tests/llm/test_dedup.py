@@ -14,7 +14,8 @@ def plain_line_dedup(rows, min_lines, min_chars):
     docs = sorted({(r.doc_id, r.text) for r in rows if r.text is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
     lines = {d: d[1].split("\n") for d in docs}
     gone = {d: set() for d in docs}
-    for size, ok in ((1, lambda r: len(r[0]) >= min_chars), (min_lines, lambda r: True)):
+    short = [(n, lambda r: sum(map(len, r)) >= min_chars) for n in range(1, min(min_lines, 4))]
+    for size, ok in (*short, (min_lines, lambda r: True)):
         seen = set()
         for d in docs:
             for i in range(len(lines[d]) - size + 1):
@@ -25,7 +26,22 @@ def plain_line_dedup(rows, min_lines, min_chars):
     return {d: "\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d in docs}
 
 
-@pytest.mark.parametrize("min_lines", [1, 2, 4])
+def test_short_runs_and_null_ids(spark):
+    """Runs of two and three lines that are long in all, among documents
+    without an id as well."""
+    a, b, c = "a" * 40, "b" * 40, "c" * 40
+    texts = [(1, f"x\n{a}\n{b}\n{c}\ny"), (2, f"{a}\n{b}\n{c}"), (3, f"{a}\n{b}\nz"), (4, f"p\n{a}\nq\n{c}"), (5, f"{'d' * 60}\n{'e' * 60}"),
+             (6, f"u\n{'d' * 60}\n{'e' * 60}\nv"), (None, "n1\n" + "f" * 120), (None, "n2\n" + "f" * 120), (7, "f" * 120),
+             (8, f"{a}\n{b}\n{c}\n{a}\n{b}\n{c}")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.n_lines, r.n_removed): r.text for r in line_dedup.line_dedup(docs).collect()}
+    assert got[1, 5, 0] and got[2, 3, 3] == "" and got[3, 3, 0] and got[4, 4, 0] and got[5, 2, 0] and got[6, 4, 2] == "u\nv"
+    assert got[7, 1, 1] == "" and got[8, 6, 6] == ""
+    without = sorted(n for i, _, n in got if i is None)
+    assert without == [0, 1]  # one of the two keeps the line
+
+
+@pytest.mark.parametrize("min_lines", [1, 2, 4, 8])
 def test_line_dedup(spark, documents, min_lines):
     # Ids used for two texts with common lines would make the first copy a matter of text hashes.
     docs = documents.where("doc_id IS NULL OR doc_id <> 7 OR text LIKE 'other%'")
