@@ -205,22 +205,33 @@ def sorted_masks(bodies: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.int32()))], names=["ctx", "again"])
 
+        def whole(group) -> pa.RecordBatch:
+            """Of a class of one run text that occurs twice nothing is to be sorted."""
+            return pa.RecordBatch.from_arrays(
+                [pa.array([group[0][0]], pa.binary()), pa.array([[0, len(group[0][1]) - length]], pa.list_(pa.int32()))], names=["ctx", "again"])
+
         share, size, group, held = [], 0, [], 0  # group: the class being read
         last = None
         for b in batches:
             for h, ctx, body, c in zip(*(x.to_pylist() for x in b.columns)):
                 if h != last:
-                    if size + held > SHARE and share:
-                        yield sort(share)
-                        share, size = [], 0
-                    share += group
-                    size += held
+                    if len(group) == 1 and group[0][2] > 1:
+                        yield whole(group)
+                    else:
+                        if size + held > SHARE and share:
+                            yield sort(share)
+                            share, size = [], 0
+                        share += group
+                        size += held
                     group, held, last = [], 0, h
                 if group and group[-1][0] == ctx:
                     group[-1][2] += c
                 else:
                     group.append([ctx, body, c])
                     held += len(body) + 1
+        if len(group) == 1 and group[0][2] > 1:
+            yield whole(group)
+            group, held = [], 0
         if size + held > SHARE and share:
             yield sort(share)
             share = []
