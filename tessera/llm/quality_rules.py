@@ -74,9 +74,9 @@ def repeat_words(ids: np.ndarray, doc: np.ndarray, n_docs: int, window: int = WI
 
 
 def measure_texts(texts: list[str]) -> list[np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (those with a word)."""
     number: dict[str, int] = defaultdict(itertools.count().__next__)
-    n_words, chars, symbols, dup, ids = [], [], [], [], []
+    n_words, chars, symbols, dup, n_lines, ids = [], [], [], [], [], []
     for t in texts:
         words = WORD.findall(t)
         n_words.append(len(words))
@@ -84,17 +84,20 @@ def measure_texts(texts: list[str]) -> list[np.ndarray]:
         symbols.append(sum(map(t.count, SYMBOLS)))
         lines = [x for x in t.split("\n") if x.strip(SPACE)]
         dup.append(len(lines) - len(set(lines)))
+        n_lines.append(len(lines))
         ids.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
     doc = np.repeat(np.arange(len(texts)), n_words)
     return [*(np.array(x, dtype=np.int64) for x in (n_words, chars, symbols, dup)),
-            repeat_words(np.concatenate(ids), doc, len(texts))]
+            repeat_words(np.concatenate(ids), doc, len(texts)), np.array(n_lines, dtype=np.int64)]
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: The measures, and the lines with a word, which the rules count by.
+COUNTS = (*MEASURES, "n_lines")
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id, host, the five measures as long) for each row."""
+    """(id, host, the six measures as long) for each row."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,11 +106,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
             for texts in byte_batches(b.column(2).to_pylist(), BATCH_BYTES):
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)),
-                     *(pa.array(x, pa.int64()) for x in measure_texts(texts))], names=["id", "host", *MEASURES])
+                     *(pa.array(x, pa.int64()) for x in measure_texts(texts))], names=["id", "host", *COUNTS])
                 at += len(texts)
 
     return docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), text_col).mapInArrow(
-        run, f"id {id_type}, host string, " + ", ".join(f"{m} long" for m in MEASURES))
+        run, f"id {id_type}, host string, " + ", ".join(f"{m} long" for m in COUNTS))
 
 
 def rules(min_words: int = 10, repeat_pct: int = 20, symbol_pct: int = 10, dup_line_pct: int = 50) -> dict[str, Column]:
@@ -116,7 +119,7 @@ def rules(min_words: int = 10, repeat_pct: int = 20, symbol_pct: int = 10, dup_l
         "few_words": F.col("n_words") < min_words,
         "repeats": 100 * F.col("n_repeat_words") > repeat_pct * F.col("n_words"),
         "symbols": 100 * F.col("n_symbols") > symbol_pct * F.col("word_chars"),
-        "dup_lines": 100 * F.col("n_dup_lines") > dup_line_pct * F.col("n_words"),
+        "dup_lines": 100 * F.col("n_dup_lines") > dup_line_pct * F.col("n_lines"),
     }
 
 
@@ -144,7 +147,7 @@ def host_rates(measured: DataFrame, failed: dict[str, Column], strongest: float
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
           host_limit: float = 0.5, min_words: int = 10, repeat_pct: int = 20,
           broadcast_hosts: int = 100_000, salts: int = 64) -> DataFrame:
-    """(id, the five measures, base_failed, host_rejected, kept) for each row.
+    """(id, the six measures, base_failed, host_rejected, kept) for each row.
     ``kept``: the base rules hold and the host isn't rejected; a host is
     rejected if any rule's shrunk rate exceeds ``host_limit``."""
     failed = rules(min_words, repeat_pct)
@@ -161,7 +164,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
             spread, ["host", "_salt"], "left")
     base = failed["few_words"] | failed["repeats"]
     rejected = F.coalesce(F.col("host_rejected"), F.lit(False))
-    return joined.select(F.col("id").alias(id_col), *MEASURES, base.alias("base_failed"),
+    return joined.select(F.col("id").alias(id_col), *COUNTS, base.alias("base_failed"),
                          rejected.alias("host_rejected"), (~base & ~rejected).alias("kept"))
 
 
@@ -185,7 +188,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RULES_SQL = """
     n_words < 10 AS few_words, 100 * n_repeat_words > 20 * n_words AS repeats,
-    100 * n_symbols > 10 * word_chars AS symbols, 100 * n_dup_lines > 50 * n_words AS dup_lines"""
+    100 * n_symbols > 10 * word_chars AS symbols, 100 * n_dup_lines > 50 * n_lines AS dup_lines"""
 
 
 def _rate_sql(rule: str) -> str:
@@ -208,18 +211,19 @@ gram AS (SELECT r, i, len(ws5) AS k, ws5 FROM (
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, ws5) AS c FROM gram WHERE k = 5) WHERE c > 1),
 rep AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM again, (SELECT unnest(range(5)) AS o) GROUP BY r),
 line AS (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d),
-dup AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines FROM line
+dup AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM line
         WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r),
 m AS (SELECT w.r, doc_id, host, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-        coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+        coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+        coalesce(n_lines, 0)::BIGINT AS n_lines
       FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)),
 f AS (SELECT *, {_RULES_SQL} FROM m),
 h AS (SELECT host, count(*) AS n, {", ".join(f"count(*) FILTER ({x}) AS {x}_f" for x in _RULE_NAMES)}
       FROM f WHERE host IS NOT NULL GROUP BY host),
 v AS (SELECT host, {", ".join(_rate_sql(x) for x in _RULE_NAMES)} FROM h),
 bad AS (SELECT host FROM v WHERE {" OR ".join(f"{x}_rate > 0.5" for x in _RULE_NAMES)})
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words OR repeats AS base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, few_words OR repeats AS base_failed,
        bad.host IS NOT NULL AS host_rejected, NOT (few_words OR repeats) AND bad.host IS NULL AS kept
 FROM f LEFT JOIN bad ON f.host = bad.host
 """

@@ -137,3 +137,11 @@ def test_texts_are_cut_into_words_once(spark, documents, monkeypatch):
     d = documents.selectExpr("doc_id AS id", "xxhash64(text) AS k", "text")
     plan = decontaminate.hits(d, windows, ["id", "k"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1 and plan.count("InMemoryRelation") == 1
+
+
+def test_duplicate_lines_count_against_lines(spark):
+    """A hundred equal lines of three words: a host of such texts fails by them."""
+    docs = spark.createDataFrame([(1, "one two three\n" * 100 + "\n \n", "h")], "doc_id long, text string, source string")
+    m = quality_rules.measure(docs)
+    assert (m.first().n_lines, m.first().n_dup_lines) == (100, 99)
+    assert m.where(quality_rules.rules()["dup_lines"]).count() == 1
