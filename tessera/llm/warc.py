@@ -4,21 +4,25 @@ plain-text conversion records.
 One map over the records, no shuffle. Each response gives a ``metadata`` record
 (application/warc-fields: fetch status, the source's HTTP headers, its digests,
 what was derived) and, if its payload is text, a ``conversion`` record (text/plain). Both carry the
-response's target URI and date and name it in WARC-Refers-To; the metadata
+response's target URI and date and name it in WARC-Refers-To (written records also
+in WARC-Refers-To-Target-URI and -Date); the metadata
 record names the conversion in WARC-Concurrent-To. Record ids are made from the
 response's id and the kind, so a task that runs again writes the same ids.
 
 Defined results: null records and records of other types give no rows; a
 record that can't be parsed as WARC gives no rows; a response whose block is no
-HTTP message, or whose payload isn't text (or can't be decompressed), gives its
+HTTP message, or whose payload isn't text (or can't be decompressed, or inflates
+beyond MOST_INFLATED bytes), gives its
 metadata record only, with ``derived: none`` and the reason; an empty payload gives
-an empty conversion; repeated rows give repeated rows; an empty table gives an
+an empty conversion; a charset that is none reads as UTF-8, bytes that are no
+text in it as U+FFFD; repeated rows give repeated rows; an empty table gives an
 empty result. Only the record column is read, other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import io
@@ -33,6 +37,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.html_text import blocks, read_page
 
+#: Codecs of text; others of Python's (idna, unicode_escape, ...) are no charset of a page.
+CODECS = re.compile(r"utf-(?:8|16|32)(?:-[bl]e|-sig)?|ascii|iso8859-\d+|cp\d+|koi8-[rtu]|gb2312|gbk|gb18030|hz|big5(?:hkscs)?|"
+                    r"shift_ji\w+|euc_\w+|iso2022_\w+|mac-\w+|johab|kz1048|ptcp154|tis-620")
+#: A compressed payload may inflate to this many bytes; beyond, it counts as one that can't be decoded.
+MOST_INFLATED = 1 << 28
 VERSION = b"WARC/1.1\r\n"
 OUT = ("record_id string, warc_type string, refers_to string, concurrent_to string, target_uri string, warc_date string, "
        "content_type string, content_length long, block_digest string, payload_digest string, "
@@ -80,7 +89,10 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes] | None:
 def dechunk(body: bytes) -> bytes:
     out, pos = [], 0
     while (eol := body.find(b"\n", pos)) >= 0:
-        n = int(body[pos:eol].split(b";")[0].strip() or b"0", 16)
+        size = body[pos:eol].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size or b"0"):
+            raise ValueError("no chunk size")
+        n = int(size or b"0", 16)
         if n == 0:
             break
         out.append(body[eol + 1:eol + 1 + n])
@@ -89,6 +101,31 @@ def dechunk(body: bytes) -> bytes:
     return b"".join(out)
 
 
+def inflate(body: bytes, wbits: int, most: int) -> bytes:
+    """All members of a compressed body, of at most ``most`` bytes in all."""
+    out, left = [], most
+    while body:
+        z = zlib.decompressobj(wbits)
+        part = z.decompress(body, left + 1)
+        left -= len(part)
+        if left < 0:
+            raise ValueError("inflates beyond the bound")
+        if not z.eof:
+            raise EOFError
+        out.append(part)
+        body = z.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
+def codec_of(name: str) -> str:
+    """The codec of a charset name if it is one of text, else UTF-8."""
+    try:
+        found = codecs.lookup(name).name
+    except (LookupError, UnicodeError, ValueError):
+        return "utf-8"
+    return found if CODECS.fullmatch(found) else "utf-8"
+
+
 def payload_text(http: dict[str, str], body: bytes) -> tuple[str | None, str]:
     """(plain text of the payload, "") or (None, the reason for none)."""
     kind = http.get("content-type", "text/html").split(";")[0].strip().lower()
@@ -99,19 +136,16 @@ def payload_text(http: dict[str, str], body: bytes) -> tuple[str | None, str]:
             body = dechunk(body)
         coding = http.get("content-encoding", "identity").strip().lower()
         if coding in ("gzip", "x-gzip"):
-            body = gzip.decompress(body)
+            body = inflate(body, 31, MOST_INFLATED)
         elif coding == "deflate":
-            body = zlib.decompress(body)
+            body = inflate(body, 15, MOST_INFLATED)
         elif coding not in ("", "identity"):
             return None, f"content coding {coding}"
     except (ValueError, OSError, EOFError, zlib.error):
         return None, "payload can't be decoded"
     m = (re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", http.get("content-type", ""), re.IGNORECASE)
          or re.search(r"<meta[^>]{0,200}?charset\s*=\s*[\"']?([\w.:-]+)", body[:4096].decode("latin-1"), re.IGNORECASE))
-    try:
-        text = body.decode(m[1] if m else "utf-8", "replace")
-    except LookupError:
-        text = body.decode("utf-8", "replace")
+    text = body.decode(codec_of(m[1]) if m else "utf-8", "replace")
     return (text if kind == "text/plain" else "\n".join(blocks(read_page(text, drop_parts=False)))), ""
 
 
@@ -165,7 +199,7 @@ def derivatives(records: DataFrame, record_col: str = "record") -> DataFrame:
 def record_bytes(derived: DataFrame) -> DataFrame:
     """Each derived record as a whole WARC record (binary column ``record``)."""
     names = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"),
-             ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"),
+             ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", "warc_date"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"),
              ("Content-Type", "content_type"), ("WARC-Block-Digest", "block_digest"), ("Content-Length", "content_length"))
     line = lambda n, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{n}: "), F.col(c).cast("string"), F.lit("\r\n"))).otherwise("")
     return derived.select("record_id", F.concat(
@@ -173,23 +207,35 @@ def record_bytes(derived: DataFrame) -> DataFrame:
 
 
 def iterate_records(stream) -> Iterator[bytes]:
-    """The records of an uncompressed WARC stream, one after the other."""
-    while True:
-        line = stream.readline()
-        while line in (b"\r\n", b"\n"):
-            line = stream.readline()
+    """The records of an uncompressed WARC stream, one after the other. What
+    stands between records, and a record without a valid length, is passed over
+    up to the next line that begins a record."""
+    line = stream.readline()
+    while line:
         if not line.startswith(b"WARC/"):
-            return
+            line = stream.readline()
+            continue
         head = [line]
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
             head.append(line)
-        n = next((int(x.split(b":", 1)[1]) for x in head if x.lower().startswith(b"content-length:")), 0)
-        yield b"".join(head) + b"\r\n" + stream.read(n)
+        size = next((x.split(b":", 1)[1].strip() for x in head if x.lower().startswith(b"content-length:")), b"0")
+        if re.fullmatch(rb"[0-9]{1,15}", size):
+            yield b"".join(head) + b"\r\n" + stream.read(int(size))
+        line = stream.readline()
+
+
+def readable(records: Iterator[bytes]) -> Iterator[bytes]:
+    try:
+        yield from records
+    except (EOFError, OSError, zlib.error):
+        return
 
 
 def read_warc(spark: SparkSession, path: str, suffix: str = "*.warc*") -> DataFrame:
     """(path, record binary) of every record of the .warc and .warc.gz files
-    under ``path``; a file is read by one task, record by record."""
+    under ``path``. A file is one row of its reader and so one task's, and may hold
+    2 GB at most; archives are cut below that. A compressed file that ends
+    early gives its records up to there."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +243,7 @@ def read_warc(spark: SparkSession, path: str, suffix: str = "*.warc*") -> DataFr
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
                 raw = io.BytesIO(content.as_buffer())
                 stream = gzip.open(raw) if content.as_buffer()[:2].to_pybytes() == b"\x1f\x8b" else raw
-                for r in iterate_records(stream):
+                for r in readable(iterate_records(stream)):
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([r], pa.binary())], names=["path", "record"])
 
     return files.select("path", "content").mapInArrow(run, "path string, record binary")
