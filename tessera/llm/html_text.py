@@ -10,10 +10,11 @@ element around the content nodes, widened to an enclosing article or main
 element or to the next block container, so short paragraphs and headings of the
 article stay. Elements that are no article text by their tag (menus, page
 headers, footers, scripts, styles) or hidden never count and are never kept.
-Forms, and parts named in class, id or role as side bars, notices, adverts or
-comments, go too, unless they wrap the page's text: more than nine tenths of the
-content nodes' text, or more than half of it and a main or h1 element. Names that
-only speak of such a part (has-sidebar, no-sidebar, overflow-hidden) don't count.
+Parts named in class, id or role as comments, shares, cookie notices, adverts or
+the like go always. Forms, and parts named as side bars, page headers, banners,
+notices or menus, go too, unless they wrap the page's text: all of the content
+nodes' text, or more than half of it and a main or h1 element. Names that only
+speak of such a part (has-sidebar, comments-open, overflow-hidden) don't count.
 
 Defined results: null, empty or markup-only html gives an empty text; unclosed
 comments and scripts end with the page; unclosed or stray tags are repaired
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -51,19 +53,27 @@ NO_TEXT = frozenset(("head script style noscript template iframe object embed sv
                      "textarea button nav footer aside dialog menu title noembed noframes input fieldset").split())
 #: Blocks whose start ends an open element of the same set.
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+NAMED = ("class", "id", "role")
+ROOTS = frozenset(("html", "body", "article", "main"))
 SCOPE = frozenset("article aside blockquote body dl div main ol section table td th tr ul form html".split())
-#: Words in class, id or role that mark a part as no article text.
+#: Words in class, id or role that mark a part as no article text, whatever it holds.
+NEVER = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|"
+    r"related|recommended|share|sharing|social|cookie|cookies|consent|gdpr|newsletter|subscribe|signup|"
+    r"comment|comments|comment-?list|respond|replies|disqus|reviews|user-?comments|pagination|pager|"
+    r"breadcrumb|breadcrumbs|skip-?link|footer|site-?footer|copyright)(?:$|[\s_-])", re.IGNORECASE)
+#: Words that do so unless the part wraps the page's text.
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|"
-    r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|topbar|toolbar|masthead|site-?header|page-?header|"
-    r"footer|site-?footer|sidebar|aside|complementary|contentinfo|related|recommended|share|sharing|social|"
-    r"cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|"
-    r"comment|comments|comment-?list|respond|replies|discussion|disqus|pagination|pager|skip-?link|copyright|"
+    r"(?:^|[\s_-])(?:banner|nav|navbar|navigation|menu|menubar|topbar|toolbar|masthead|site-?header|page-?header|"
+    r"sidebar|aside|complementary|contentinfo|notice|notices|alert|popup|modal|overlay|login|search|discussion|"
     r"disclaimer|form)(?:$|[\s_-])|(?:^|\s)(?:widget|legal|hidden)(?:$|\s)", re.IGNORECASE)
-#: Names that speak of a part elsewhere.
-MODIFIER = re.compile(r"(?:^|(?<=\s))(?:has|no|not|with|without|hide|overflow)[_-]\S+", re.IGNORECASE)
-#: Of the content nodes' text, more than this wraps the page's text: with a main or h1 element, without.
-WRAPS_HEAD, WRAPS = 0.5, 0.9
+#: A page header by its whole name; within an article it is the article's.
+HEADER = re.compile(r"(?:^|\s)(?:header|(?:main|top|global)-?header)(?:$|\s)", re.IGNORECASE)
+#: Names that speak of a part elsewhere, or of its state.
+MODIFIER = re.compile(r"(?:^|(?<=\s))(?:(?:has|no|not|with|without|hide|overflow)[_-]\S+|"
+                      r"\S+[_-](?:open|opened|closed|enabled|disabled|allowed|on|off|count|free|ready)(?=$|\s))", re.IGNORECASE)
+#: Of the content nodes' text, this wraps the page's text: with a main or h1 element more than, without at least.
+WRAPS_HEAD, WRAPS = 0.5, 1.0
 
 
 @dataclass
@@ -86,26 +96,49 @@ def attributes(s: str) -> dict[str, str]:
 def no_article_text(tag: str, a: dict[str, str], in_article: bool) -> bool:
     if tag in NO_TEXT or tag == "header" and not in_article:
         return True
-    return tag not in ("html", "body", "article", "main") and (
+    if tag not in ROOTS and any(k in a and NEVER.search(MODIFIER.sub("", a[k])) for k in NAMED):
+        return True
+    return tag not in ROOTS and (
         "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(
             r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.IGNORECASE) is not None)
 
 
-def named_boilerplate(tag: str, a: dict[str, str]) -> bool:
-    return tag == "form" or tag not in ("html", "body", "article", "main") and any(
-        k in a and BOILERPLATE.search(MODIFIER.sub("", a[k])) for k in ("class", "id", "role"))
+def named_boilerplate(tag: str, a: dict[str, str], in_article: bool) -> bool:
+    if tag == "form":
+        return True
+    names = [MODIFIER.sub("", a[k]) for k in NAMED if k in a] if tag not in ROOTS else []
+    return any(BOILERPLATE.search(n) or not in_article and HEADER.search(n) for n in names)
 
 
 def read_page(html: str, drop_parts: bool = True) -> Page:
     """``drop_parts``: mark boilerplate; else only what is never shown."""
     page, paths = Page(), {}
     stack, block, pos, end = [0], 0, 0, len(html)
+    last_gt = html.rfind(">")
     in_article = 0
+    # Places in the stack by tag, of containers, and of what an open paragraph doesn't
+    # reach across: no end tag walks down the stack.
+    where, scopes, walls = defaultdict(list), [], []
+
+    def push(e: int) -> None:
+        nonlocal in_article
+        k, tag = len(stack), page.tag[e]
+        stack.append(e)
+        where[tag].append(k)
+        if tag in SCOPE:
+            scopes.append(k)
+        if tag not in WITHIN and tag not in ("p", "td", "th"):
+            walls.append(k)
+        in_article += tag in ("article", "main")
 
     def pop_to(k: int) -> None:
         nonlocal in_article
         for e in stack[k:]:
+            where[page.tag[e]].pop()
             in_article -= page.tag[e] in ("article", "main")
+        for places in (scopes, walls):
+            while places and places[-1] >= k:
+                places.pop()
         del stack[k:]
 
     def text(a: int, b: int) -> None:
@@ -126,9 +159,9 @@ def read_page(html: str, drop_parts: bool = True) -> Page:
             close = html.find(">", lt)
             pos = end if close < 0 else close + 1
             continue
-        m = TAG.match(html, lt) or LOOSE_TAG.match(html, lt)
+        m = (TAG.match(html, lt) or LOOSE_TAG.match(html, lt)) if lt < last_gt else None
         if not m:
-            if html.find(">", lt) < 0 and re.match(r"</?[a-zA-Z]", html[lt:lt + 3]):
+            if lt > last_gt and re.match(r"</?[a-zA-Z]", html[lt:lt + 3]):
                 break  # a tag cut off by the end of the page
             text(lt, lt + 1)
             pos = lt + 1
@@ -141,25 +174,16 @@ def read_page(html: str, drop_parts: bool = True) -> Page:
             block += 1
         if m[1]:
             # An end tag closes its element unless a container lies between.
-            for k in range(len(stack) - 1, 0, -1):
-                t = page.tag[stack[k]]
-                if t == tag:
-                    pop_to(k)
-                    break
-                if t in SCOPE and tag not in SCOPE:
-                    break
+            if where[tag] and (tag in SCOPE or not scopes or scopes[-1] <= where[tag][-1]):
+                pop_to(where[tag][-1])
             continue
         if tag in VOID:
             continue
         if tag not in WITHIN:
             ends = CLOSED_BY_SAME.get(tag, ()) or ("p", "h1", "h2", "h3", "h4", "h5", "h6") if tag in CLOSED_BY_SAME else ("p",)
-            for k in range(len(stack) - 1, 0, -1):
-                t = page.tag[stack[k]]
-                if t in ends:
-                    pop_to(k)
-                    break
-                if t not in WITHIN and t not in ("p", "td", "th"):
-                    break
+            k = max((where[t][-1] for t in ends if where[t]), default=0)
+            if k and (not walls or walls[-1] <= k):
+                pop_to(k)
         up = stack[-1]
         page.tag.append(tag)
         page.parent.append(up)
@@ -167,14 +191,13 @@ def read_page(html: str, drop_parts: bool = True) -> Page:
         a = attributes(m[3]) if drop_parts and m[3] else {}
         drop = no_article_text(tag, a, in_article > 0) if drop_parts else tag in ("head", "script", "style", "noscript", "template")
         page.dropped.append(page.dropped[up] or drop)
-        page.suspect.append(drop_parts and not drop and named_boilerplate(tag, a))
+        page.suspect.append(drop_parts and not drop and named_boilerplate(tag, a, in_article > 0))
         if m[3].endswith("/") and tag not in WITHIN and tag not in SCOPE and tag != "p":
             continue  # <x/>: no content
         if tag in RAW:
             close = re.compile(f"</{re.escape(tag)}", re.IGNORECASE).search(html, pos)
             pos = close.start() if close else end
-        stack.append(len(page.tag) - 1)
-        in_article += tag in ("article", "main")
+        push(len(page.tag) - 1)
     return page
 
 
@@ -218,7 +241,7 @@ def drop_suspects(page: Page) -> None:
         text[page.parent[e]] += text[e]
         heads[page.parent[e]] = heads[page.parent[e]] or heads[e]
     for e in range(1, len(text)):
-        wraps = text[e] > text[0] * (WRAPS_HEAD if heads[e] else WRAPS)
+        wraps = text[e] > 0 and (text[e] > text[0] * WRAPS_HEAD if heads[e] else text[e] >= text[0] * WRAPS)
         page.dropped[e] = page.dropped[e] or page.dropped[page.parent[e]] or page.suspect[e] and not wraps
 
 
@@ -234,14 +257,12 @@ def content_region(page: Page, nodes: list[int]) -> int:
     wide = [e for e in articles if below[e] == below[0]]
     if wide:
         return wide[0]
-    tops, inside = [], [False] * len(below)
-    for e in articles:  # no article is wide: the outermost ones below
-        up = e
-        while up and not inside[up]:
-            up = page.parent[up]
-        if not up:
+    tops, inside = [], [False] * len(below)  # no article is wide: the outermost ones
+    for e in range(1, len(below)):  # parents come first
+        article = page.tag[e] in ("article", "main")
+        if article and below[e] and not inside[page.parent[e]]:
             tops.append(e)
-        inside[e] = True
+        inside[e] = article or inside[page.parent[e]]
     if len(tops) == 1:
         return tops[0]
     return next((e for e in reversed(around) if page.tag[e] in ("div", "section", "body", "html", "")), 0)

@@ -3,6 +3,8 @@
 import base64
 import gzip
 import hashlib
+import io
+import time
 
 import pytest
 
@@ -63,6 +65,78 @@ def test_hostile_pages_are_linear():
         html_text.main_text(h)
 
 
+@pytest.mark.parametrize("comments", [
+    "<section id='comments'>{}</section>", "<ol class='comment-list'>{}</ol>", "<div class='reader-reviews'>{}</div>",
+    "<div class='post-replies'>{}</div>", "<div id='header'>{}</div>", "<div class='site-header'>{}</div>"])
+@pytest.mark.parametrize("page_of", [
+    "<article><h1>Head</h1><p>{0}</p>{1}</article>", "<div class='post'><p>{0}</p></div>{1}", "<h1>Head</h1><div class='post'><p>{0}</p></div>{1}"])
+def test_comments_and_headers_go_however_long(page_of, comments):
+    if "header" in comments and "<article>" in page_of:
+        return  # an article's own header stays
+    many = "".join(f"<li><p>Comment {i}, which goes on for a while, as they do.</p></li>" for i in range(40))
+    got = html_text.main_text(page(page_of.format(LONG, comments.format(many))))
+    assert got.removeprefix("Head\n\n") == LONG
+
+
+@pytest.mark.parametrize("name", ["post comments-open", "content comments-closed sharing-enabled", "post-comment-count"])
+def test_names_of_a_state_are_no_part(name):
+    assert html_text.main_text(page(f"<div class='{name}'><h1>Head</h1><p>{LONG}</p></div>")).endswith(LONG)
+
+
+HOSTILE = [lambda n: "<b>" * n + "</i>" * n, lambda n: "< " * (20 * n), lambda n: "<i><div>" + "<b>" * n + "</i>" * n,
+           lambda n: "<b>" * n + "<div></div>" * n, lambda n: "<div>" * n + "<article><p>a, b.</p></article>" * n,
+           lambda n: "<p>" + "<td>" * n + "<p>" * n, lambda n: "<a x" * n, lambda n: "<a '" + "<b \">" * n]
+
+
+@pytest.mark.parametrize("make", HOSTILE)
+def test_time_is_linear(make):
+    """Eight times the page takes no more than about eight times as long."""
+    def took(n):
+        t = time.process_time()
+        html_text.main_text(make(n))
+        return time.process_time() - t
+
+    took(500)
+    small, large = min(took(5_000) for _ in range(3)), min(took(40_000) for _ in range(2))
+    assert large < 24 * max(small, 0.01), (small, large)
+
+
+def naive_pop(html):
+    """Open elements by walking the whole stack, as the rules are stated."""
+    stack, out = [], []
+    for m in html_text.TAG.finditer(html):
+        tag = m[2]
+        if m[1]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k] == tag:
+                    del stack[k:]
+                    break
+                if stack[k] in html_text.SCOPE and tag not in html_text.SCOPE:
+                    break
+            continue
+        if tag not in html_text.WITHIN:
+            ends = html_text.CLOSED_BY_SAME.get(tag, ("p",))
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k] in ends:
+                    del stack[k:]
+                    break
+                if stack[k] not in html_text.WITHIN and stack[k] not in ("p", "td", "th"):
+                    break
+        out.append((tag, stack[-1] if stack else ""))
+        stack.append(tag)
+    return out
+
+
+def test_elements_nest_as_the_rules_say():
+    import random
+    rng = random.Random(7)
+    tags = ["p", "b", "i", "div", "li", "ul", "td", "tr", "table", "h1", "section", "dt", "dd", "article"]
+    for _ in range(400):
+        html = "".join(f"<{rng.choice(['', '/'])}{rng.choice(tags)}>" for _ in range(rng.randrange(60)))
+        p = html_text.read_page(html)
+        assert [(t, p.tag[u]) for t, u in zip(p.tag[1:], p.parent[1:])] == naive_pop(html)
+
+
 def test_extract_rows(spark):
     rows = [(i, None if i == 0 else f"http://x/{i}", h, "z") for i, (h, _) in enumerate(CASES)] * 2 + [(None, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -136,3 +210,50 @@ def test_query(spark, tmp_path):
     rows = warc.op7_warc(spark, str(tmp_path)).collect()
     assert len(rows) == 2 * len(CASES) and len({r.record_id for r in rows}) == len(rows)
     assert {r.target_uri for r in rows} == {f"http://x/{i}" for i in range(len(CASES))}
+
+
+@pytest.mark.parametrize("charset", ["idna", "undefined", "unicode_escape", "raw_unicode_escape", "punycode", "base64", "rot13", "nonsense", "utf-16", "koi8-r"])
+def test_any_charset_reads(charset):
+    text, why = warc.payload_text({"content-type": f"text/plain; charset={charset}"}, b"plain \\ud800 \xd8\x00 \xff")
+    assert why == "" and text.encode() is not None and (charset in ("utf-16", "koi8-r") or text.startswith("plain"))
+
+
+@pytest.mark.parametrize("size", [b"-3", b"+5", b"0x5", b"1_0", b"zz", b"f" * 40])
+def test_bad_chunk_sizes(size):
+    text, why = warc.payload_text({"content-type": "text/plain", "transfer-encoding": "chunked"}, size + b"\r\nabc\r\n0\r\n")
+    assert text is None and why == "payload can't be decoded"
+
+
+def test_inflating_is_bounded(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_INFLATED", 1000)
+    plain = {"content-type": "text/plain", "content-encoding": "gzip"}
+    assert warc.payload_text(plain, gzip.compress(b"x" * 10**6)) == (None, "payload can't be decoded")
+    two = gzip.compress(b"x" * 600) + gzip.compress(b"y" * 400)
+    assert warc.payload_text(plain, two) == ("x" * 600 + "y" * 400, "")
+    assert warc.payload_text(plain, two + gzip.compress(b"z"))[0] is None
+    assert warc.payload_text(plain, gzip.compress(b"cut")[:-9])[0] is None
+
+
+def test_streams_with_bad_records(spark, tmp_path):
+    good = [record("response", f"<urn:{i}>", http(b"x" * i, "text/plain")) for i in range(3)]
+    bad = [b"WARC/1.1\r\nContent-Length: many\r\n\r\njunk\r\n", b"WARC/1.1\r\nContent-Length: -5\r\n\r\nmore\r\n", b"noise\r\n\r\n"]
+    stream = good[0] + bad[0] + good[1] + bad[1] + bad[2] + good[2]
+    assert [r.rstrip() for r in warc.iterate_records(io.BytesIO(stream))] == [g.rstrip() for g in good]
+    (tmp_path / "a.warc").write_bytes(stream)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(stream)[:-20])
+    got = [r.path[-1] for r in warc.read_warc(spark, str(tmp_path)).collect()]
+    assert got.count("c") == 3 and got.count("z") >= 1
+    out = warc.record_bytes(warc.derivatives(spark.createDataFrame([(bytearray(good[1]),)], "record binary"))).collect()
+    assert all(b"WARC-Refers-To-Target-URI: http://x/" in r.record and b"WARC-Refers-To-Date: 2026" in r.record for r in out)
+
+
+def test_queries_on_a_folder(spark, tmp_path):
+    """Operators 7 and 10 through their queries, against the functions on plain rows."""
+    rows = [(i, None if i == 0 else f"http://x/{i}", h, "z") for i, (h, _) in enumerate(CASES)] + [(None, None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, text string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((str(r.page_id), r.url, r.text) for r in html_text.op10_html_text(spark, str(tmp_path)).collect())
+    assert got == sorted((str(i), u, html_text.main_text(h)) for i, u, h, _ in rows)
+    made = warc.op7_warc(spark, str(tmp_path)).collect()
+    records = [r.record for r in warc.response_records(spark.read.parquet(str(tmp_path / "pages.parquet"))).collect()]
+    want = [d for r in records for d in warc.derive(*warc.parse_record(bytes(r)))]
+    assert sorted((r.record_id, r.block) for r in made) == sorted((d["record_id"], d["block"]) for d in want) and len(made) == 2 * len(rows)
