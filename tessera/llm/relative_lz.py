@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.pieces import byte_batches
-from tessera.llm.shingles import mix
+from tessera.llm.shingles import BASE, mix, span_hashes
 from tessera.llm.steps import Scratch, settle
 from tessera.llm.suffix_dedup import merged, often_smallest, sliding
 
@@ -59,7 +59,6 @@ BLOCK = 1 << 20
 LONGEST_RUN = 512
 SHARE = 1_000_000
 HOT_KEYS = 1000
-BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -76,20 +75,6 @@ def word_hashes(bodies: list) -> tuple[np.ndarray, np.ndarray]:
     return table[at], count
 
 
-def span_hashes(h: np.ndarray, span: int) -> np.ndarray:
-    """A hash of each ``span`` consecutive values, by doubling."""
-    n = len(h) - span + 1
-    out, done, power, size = np.zeros(n, dtype=np.uint64), 0, h, 1
-    while True:
-        if span & size:
-            out = out * np.uint64(pow(BASE, size, 1 << 64)) + power[done:done + n]
-            done += size
-        if done == span:
-            return mix(out)
-        power = power[:-size] * np.uint64(pow(BASE, size, 1 << 64)) + power[size:]
-        size *= 2
-
-
 def digests(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of the values h[a:b] each, from running sums."""
     up = np.cumprod(np.r_[np.uint64(1), np.full(len(h), BASE, dtype=np.uint64)])

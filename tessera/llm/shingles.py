@@ -10,6 +10,7 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BASE = 0x9E3779B97F4A7C15
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -19,6 +20,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def span_hashes(h: np.ndarray, span: int) -> np.ndarray:
+    """A hash of each ``span`` consecutive values, by doubling."""
+    n = len(h) - span + 1
+    out, done, power, size = np.zeros(n, dtype=np.uint64), 0, h, 1
+    while True:
+        if span & size:
+            out = out * np.uint64(pow(BASE, size, 1 << 64)) + power[done:done + n]
+            done += size
+        if done == span:
+            return mix(out)
+        power = power[:-size] * np.uint64(pow(BASE, size, 1 << 64)) + power[size:]
+        size *= 2
+
+
 def shingle_sets(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, start): text k has the sorted distinct tokens
     tokens[start[k]:start[k + 1]]. A token is the 64-bit hash of ``size``

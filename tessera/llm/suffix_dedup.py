@@ -3,7 +3,7 @@ that also starts anywhere else is removed.
 
 The suffix sorting is dealt out so that equal strings meet:
 
-1. Each ``length``-byte window belongs to the smallest hash among its ``GRAM``-byte
+1. Each ``length``-byte window belongs to the smallest hash among its ``GRAMS[0]``-byte
    grams. Neighbouring windows of one smallest hash are a run; runs are short
    rows (hash, document, place). Equal windows have equal hashes, so only
    hashes that occur in two runs or twice in one can hold repeats; all else is
@@ -15,8 +15,9 @@ The suffix sorting is dealt out so that equal strings meet:
    sampled triples are sorted and named, names recursed on, the remaining suffixes
    merged; then adjacent prefixes are compared. A run text that occurs twice
    is repeated as a whole.
-4. Classes of more than ``HOT`` bytes, which a single task should not sort, go
-   window by window instead: 128-bit window digests are counted by a grouped sum.
+4. Classes of more than ``HOT`` bytes, which a single task should not sort, are
+   dealt anew the same way: their distinct run texts are the documents of another
+   round with longer grams, at last the windows themselves, where a class is one window.
 5. Repeated windows return to their documents, their bytes are cut.
 
 Stages 1, 2, and 3 end in checkpoints. Nothing grows with a group in one
@@ -39,27 +40,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.pieces import byte_batches
-from tessera.llm.shingles import mix
+from tessera.llm.shingles import span_hashes
 from tessera.llm.steps import release, settle
 from tessera.llm.suffix_sort import repeated_windows
 
 LENGTH = 200
-GRAM = 32
+GRAMS = (32, 96)
 BLOCK = 1 << 21
 LONGEST_RUN = 4096
+#: Where grams are whole windows a class is one window: shorter runs bound it.
+LONGEST_LAST = 512
 SHARE = 2_900_000
 HOT = 1_400_000
 
 
-def gram_hashes(buf: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place (by doubling the span)."""
-    h = buf.astype(np.uint64) + np.uint64(1)
-    span = 1
-    base = 0x9E3779B97F4A7C15
-    while span < GRAM:
-        h = h[:-span] * np.uint64(pow(base, span, 1 << 64)) + h[span:]
-        span *= 2
-    return mix(h)
+def raw(t: str | bytes) -> bytes:
+    return t if isinstance(t, bytes) else t.encode()
 
 
 def sliding(best: np.ufunc, h: np.ndarray, width: int) -> np.ndarray:
@@ -79,7 +75,7 @@ def often_smallest(h: np.ndarray, m: np.ndarray, width: int) -> np.ndarray:
     return values[1:][values[1:] == values[:-1]]
 
 
-def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, hash, whether a repeat could lie within the run
     or near it: the hash stands at two places) of the runs of all texts."""
     out = []
@@ -89,8 +85,8 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     buf = np.frombuffer(data, dtype=np.uint8)
     for a in range(0, len(data) - length + 1, BLOCK):
         part = buf[a:a + BLOCK + length - 1]
-        width = length - GRAM + 1
-        h = gram_hashes(part)
+        width = length - gram + 1
+        h = span_hashes(part.astype(np.uint64) + np.uint64(1), gram)
         m = sliding(np.minimum, h, width)
         often = often_smallest(h, m, width)
         at = a + np.arange(len(m))
@@ -102,24 +98,25 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         head = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)])
         n = np.diff(np.r_[head, len(at)])
         # Very long runs (periodic text) in pieces.
-        pieces = -(-n // LONGEST_RUN)
+        longest = LONGEST_RUN if gram < length else LONGEST_LAST
+        pieces = -(-n // longest)
         which = np.repeat(np.arange(len(head)), pieces)
         k = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first = head[which] + k * LONGEST_RUN
-        n = np.minimum(n[which] - k * LONGEST_RUN, LONGEST_RUN)
+        first = head[which] + k * longest
+        n = np.minimum(n[which] - k * longest, longest)
         out.append((text[first], at[first] - (end - size)[text[first]], n, m[first], np.isin(m[first], often)))
     if not out:
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def run_rows(docs: DataFrame, length: int) -> DataFrame:
+def run_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(h, rid, at, n, often): the runs of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rid, at = b.column(0).to_numpy(zero_copy_only=False), 0
             for texts in byte_batches(b.column(1).to_pylist(), BLOCK):
-                text, first, n, h, often = runs([t.encode() for t in texts], length)
+                text, first, n, h, often = runs([raw(t) for t in texts], length, gram)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(rid[at:at + len(texts)][text]), pa.array(first),
                      pa.array(n.astype(np.int32)), pa.array(often.astype(bool))], names=["h", "rid", "at", "n", "often"])
@@ -128,22 +125,22 @@ def run_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("rid", "t").mapInArrow(run, "h long, rid long, at long, n int, often boolean")
 
 
-def shared_runs(rows: DataFrame, length: int) -> DataFrame:
+def shared_runs(rows: DataFrame, length: int, hot: int) -> DataFrame:
     """(rid, runs array<struct<at, n, h, hot>>): the runs whose hash may hold
     repeats. (A ``rid`` is a hash of the document; should two documents share
     it, each is offered the other's runs, which are only looked at.)"""
     classes = rows.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.max("often").alias("often")).where(
         (F.col("c") > 1) | F.col("often")).select(
-        "h", (F.col("w") + F.col("c") * (length - 1) > HOT).alias("hot"))
+        "h", (F.col("w") + F.col("c") * (length - 1) > hot).alias("hot"))
     return rows.join(classes, "h").groupBy("rid").agg(F.collect_set(F.struct("at", "n", "h", "hot")).alias("runs"))
 
 
 def cut_out(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """Rows of three kinds: places (id, k, at, ctx) of run texts; run texts
-    (h, ctx, body, c) and windows of hot classes (win, ctx, off, c), both once for each
-    batch with their number in it. ctx and win are 128-bit digests."""
+    """Rows of two kinds: places (id, k, at, ctx) of run texts, and run texts (h,
+    ctx, body, c, hot), once for each batch with their number in it. ctx is a
+    128-bit digest."""
     id_type = docs.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, k long, at long, ctx binary, h long, body binary, c int, win binary, off int"
+    schema = f"id {id_type}, k long, at long, ctx binary, h long, body binary, c int, hot boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_arrow = None
@@ -151,7 +148,7 @@ def cut_out(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
             id_arrow = id_arrow or b.column(0).type
             ids, ks, ats, ctxs, first = [], [], [], [], {}
             for i, k, t, rs in zip(*(c.to_pylist() for c in b.columns)):
-                data = t.encode()
+                data = raw(t)
                 for r in rs:
                     body = data[r["at"]:r["at"] + r["n"] + length - 1]
                     if len(body) < length:
@@ -165,22 +162,14 @@ def cut_out(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
                         first[ctx][2] += 1
                     else:
                         first[ctx] = [r["h"], body, 1, r["hot"]]
-            n = len(ids)
-            none = lambda n, kind: pa.nulls(n, kind)
-            kinds = [id_arrow, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
-            names = ["id", "k", "at", "ctx", "h", "body", "c", "win", "off"]
+            kinds = [id_arrow, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.bool_()]
+            names = ["id", "k", "at", "ctx", "h", "body", "c", "hot"]
 
             def batch(n, **cols):
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(cols[c], t) if c in cols else none(n, t) for c, t in zip(names, kinds)], names=names)
+                return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in zip(names, kinds)], names=names)
 
-            yield batch(n, id=ids, k=ks, at=ats, ctx=ctxs)
-            plain = [(c, *x) for c, x in first.items() if not x[3]]
-            yield batch(len(plain), ctx=[x[0] for x in plain], h=[x[1] for x in plain], body=[x[2] for x in plain], c=[x[3] for x in plain])
-            for ctx, (_, body, c, hot) in first.items():
-                if hot:
-                    w = [hashlib.blake2b(body[o:o + length], digest_size=16).digest() for o in range(len(body) - length + 1)]
-                    yield batch(len(w), ctx=[ctx] * len(w), c=[c] * len(w), win=w, off=list(range(len(w))))
+            yield batch(len(ids), id=ids, k=ks, at=ats, ctx=ctxs)
+            yield batch(len(first), ctx=list(first), **{c: [x[j] for x in first.values()] for j, c in enumerate(("h", "body", "c", "hot"))})
 
     j = docs.join(found, "rid").select("id", "k", "t", "runs")
     return j.mapInArrow(run, schema)
@@ -242,23 +231,33 @@ def sorted_masks(bodies: DataFrame, length: int) -> DataFrame:
     return rows.select("h", "ctx", "body", "c").mapInArrow(run, "ctx binary, again array<int>")
 
 
-def counted_masks(windows: DataFrame) -> DataFrame:
-    """(ctx, again array<int>) of hot classes, by counting window digests."""
-    w = windows.groupBy("win", "ctx", "off").agg(F.sum("c").alias("c"))
-    often = w.groupBy("win").agg(F.sum("c").alias("c")).where("c > 1").select("win")
-    return w.join(often, "win").groupBy("ctx").agg(F.flatten(F.sort_array(F.collect_list(F.array("off", "off")))).alias("again"))
+def hot_masks(bodies: DataFrame, length: int, grams: tuple[int, ...]) -> DataFrame:
+    """(ctx, again array<int>) of the run texts (ctx, body, c) of hot classes, which
+    are the documents of a round with longer grams."""
+    texts = settle(bodies.groupBy("ctx").agg(F.first("body").alias("body"), F.sum("c").alias("c")))
+    spans = duplicate_spans(texts, "ctx", "body", length, grams)
+    last = lambda s: (s["end"] - length).cast("int")
+    once = spans.select(F.col("id").alias("ctx"), F.flatten(F.transform("spans", lambda s: F.array(s["start"].cast("int"), last(s)))).alias("again"))
+    whole = texts.where("c > 1").select("ctx", F.array(F.lit(0), F.octet_length("body") - length).alias("again"))
+    return once.join(whole.select("ctx"), "ctx", "left_anti").unionByName(whole)
 
 
-def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, k, at array<struct<start long, end long>>): for each document with
+def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                    grams: tuple[int, ...] | None = None) -> DataFrame:
+    """(id, k, spans array<struct<start long, end long>>): for each document with
     repeated strings the byte ranges that they cover, unmerged. k: the text's hash."""
-    if length < GRAM:
-        raise ValueError(f"length must be at least {GRAM}")
+    if grams is None:
+        if length < GRAMS[0]:
+            raise ValueError(f"length must be at least {GRAMS[0]}")
+        grams = (*(g for g in GRAMS if g < length), length)
     d = keyed(docs, id_col, text_col).where(F.octet_length("t") >= length)
-    found = settle(shared_runs(run_rows(d, length), length))
+    hot = HOT if len(grams) > 1 else 1 << 62
+    found = settle(shared_runs(run_rows(d, length, grams[0]), length, hot))
     cut = settle(cut_out(d, found, length))
-    masks = sorted_masks(cut.where("body IS NOT NULL").select("h", "ctx", "body", "c"), length).unionByName(
-        counted_masks(cut.where("win IS NOT NULL").select("win", "ctx", "off", "c")))
+    bodies = cut.where("body IS NOT NULL")
+    masks = sorted_masks(bodies.where("NOT hot").select("h", "ctx", "body", "c"), length)
+    if bodies.where("hot").limit(1).count():
+        masks = masks.unionByName(hot_masks(bodies.where("hot").select("ctx", "body", "c"), length, grams[1:]))
     masks = settle(masks)
     places = cut.where("at IS NOT NULL").select("id", "k", "at", "ctx").join(masks, "ctx")
     spans = F.transform(F.sequence(F.lit(0), F.size("again") - 2, F.lit(2)), lambda i: F.struct(
@@ -267,7 +266,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    t = F.coalesce(F.col(text_col), F.lit(""))
+    t = F.coalesce(F.col(text_col), F.lit("").cast(docs.schema[text_col].dataType))
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("k"), F.xxhash64(id_col, t).alias("rid"), t.alias("t"))
 
 
