@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.pieces import byte_batches
 from tessera.llm.shingles import span_hashes
-from tessera.llm.steps import release, settle
+from tessera.llm.steps import Scratch, release, settle
 from tessera.llm.suffix_sort import repeated_windows
 
 LENGTH = 200
@@ -252,7 +252,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         grams = (*(g for g in GRAMS if g < length), length)
     d = keyed(docs, id_col, text_col).where(F.octet_length("t") >= length)
     hot = HOT if len(grams) > 1 else 1 << 62
-    found = settle(shared_runs(run_rows(d, length, grams[0]), length, hot))
+    with Scratch(docs.sparkSession) as scratch:  # the runs are read twice, the texts once
+        found = settle(shared_runs(scratch.keep(run_rows(d, length, grams[0]), "runs"), length, hot))
     cut = settle(cut_out(d, found, length))
     bodies = cut.where("body IS NOT NULL")
     masks = sorted_masks(bodies.where("NOT hot").select("h", "ctx", "body", "c"), length)
