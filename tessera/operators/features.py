@@ -265,16 +265,25 @@ def safe_interactions(df: DataFrame, spec: PanelSpec, leak_safe: bool = False) -
 
 # ---------------------------------------------------------------- M1 + A6
 
-def station_features(df: DataFrame, spec: PanelSpec, means: bool = True, source: DataFrame | None = None) -> DataFrame:
+def key_stats(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """One row a key: ``station_mean`` of the target, and ``{column}__lo, __hi`` of
+    the composite's columns. Means by key and global bounds both come from it, so
+    the panel is aggregated once."""
+    parts = spec.present(df, C.COMPOSITE_POLLUTANTS)
+    aggs = [f(c).alias(f"{c}__{n}") for c in parts for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    return df.groupBy(spec.key).agg((F.avg(spec.target) if spec.target in df.columns else F.lit(None).cast("double")).alias("station_mean"), *aggs)
+
+
+def station_features(df: DataFrame, spec: PanelSpec, means: bool = True, stats: DataFrame | None = None) -> DataFrame:
     """Key dummies ``{key}_{level}`` and (C2) per-level target mean
     ``{level}_mean_{target}`` on that level's rows, NULL elsewhere, plus a
-    dense ``station_mean``.  The means are one grouped aggregate (one row per
-    level) joined back; the planner broadcasts it if it is small."""
+    dense ``station_mean``.  The means are one grouped aggregate (``stats``, see
+    :func:`key_stats`) joined back; the planner broadcasts it if it is small."""
     lv = key_levels(df, spec)
     d = df.withColumns(one_hot(F.col(spec.key), lv, spec.key))
     if not means or spec.target not in df.columns:
         return d
-    m = (source if source is not None else df).groupBy(spec.key).agg(F.avg(spec.target).alias("station_mean"))
+    m = (stats if stats is not None else key_stats(df, spec)).select(spec.key, "station_mean")
     d = d.join(m, spec.key, "left")
     return d.withColumns({f"{x}_mean_{spec.target}": F.when(F.col(spec.key) == F.lit(x), F.col("station_mean"))
                           for x in lv})
@@ -282,15 +291,17 @@ def station_features(df: DataFrame, spec: PanelSpec, means: bool = True, source:
 
 # ---------------------------------------------------------------- W10, M6, M8, A8
 
-def composite_index(df: DataFrame, spec: PanelSpec, source: DataFrame | None = None, leak_safe: bool = False) -> DataFrame:
+def composite_index(df: DataFrame, spec: PanelSpec, stats: DataFrame | None = None, leak_safe: bool = False) -> DataFrame:
     """Mean of min-max scaled PM2.5, PM10, NO2, SO2 (those present, at
     least two); NULL if any part is NULL.  Min and max are one global
-    aggregate row, broadcast onto the panel. ``leak_safe`` leaves the target out."""
+    aggregate row (over ``stats``, see :func:`key_stats`), broadcast onto the
+    panel. ``leak_safe`` leaves the target out."""
     parts = [c for c in spec.present(df, C.COMPOSITE_POLLUTANTS) if not (leak_safe and c == spec.target)]
     if len(parts) < 2:
         return df
-    src = source if source is not None else df
-    mm = src.agg(*[F.min(c).alias(f"_{c}_min") for c in parts], *[F.max(c).alias(f"_{c}_max") for c in parts])
+    if stats is None:
+        stats = key_stats(df if spec.key in df.columns else df.withColumn(spec.key, F.lit("all")), spec)
+    mm = stats.agg(*[F.min(f"{c}__lo").alias(f"_{c}_min") for c in parts], *[F.max(f"{c}__hi").alias(f"_{c}_max") for c in parts])
     d = df.crossJoin(F.broadcast(mm))
     scaled = [(F.col(c) - F.col(f"_{c}_min")) / (F.col(f"_{c}_max") - F.col(f"_{c}_min") + F.lit(C.MINMAX_EPS))
               for c in parts]
@@ -301,7 +312,7 @@ def composite_index(df: DataFrame, spec: PanelSpec, source: DataFrame | None = N
     return d.drop(*[f"_{c}_min" for c in parts], *[f"_{c}_max" for c in parts])
 
 
-def advanced_features(df: DataFrame, spec: PanelSpec, full: bool = True, source: DataFrame | None = None,
+def advanced_features(df: DataFrame, spec: PanelSpec, full: bool = True, stats: DataFrame | None = None,
                       leak_safe: bool = False) -> DataFrame:
     """C2 / C3 advanced block: change rate (C2), PM ratio, temperature change,
     pressure trend (C2), wind direction numeric/sin/cos, composite index (C2).
@@ -324,7 +335,7 @@ def advanced_features(df: DataFrame, spec: PanelSpec, full: bool = True, source:
         new["wind_direction_numeric"] = compass_degrees(F.col(spec.wind))
         new.update(wind_components(F.col(spec.wind)))
     d = df.withColumns(new) if new else df
-    return composite_index(d, spec, source, leak_safe) if full else d
+    return composite_index(d, spec, stats, leak_safe) if full else d
 
 
 # ---------------------------------------------------------------- P4
@@ -362,10 +373,11 @@ def engineer_full(df: DataFrame, spec: PanelSpec, station: bool = True, leak_saf
     d = full_interactions(d, spec, leak_safe)
     # Station means and min/max read raw columns of the same rows: take them
     # from the input, not from the windowed frame.
+    stats = key_stats(df, spec) if spec.key in df.columns else None
     if station and spec.key in d.columns:
         # A level's mean holds the row's own target: not with leak_safe.
-        d = station_features(d, spec, means=not leak_safe, source=df)
-    d = advanced_features(d, spec, full=True, source=df, leak_safe=leak_safe)
+        d = station_features(d, spec, means=not leak_safe, stats=stats)
+    d = advanced_features(d, spec, full=True, stats=stats, leak_safe=leak_safe)
     return drop_critical_nulls(d, spec)
 
 

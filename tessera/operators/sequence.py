@@ -146,6 +146,10 @@ def carry_fill(df: DataFrame, spec, cols: Sequence[str], back: Sequence[str] = (
     c__np`` (first non-null value and position at or after the row), over the whole
     key, at any distance. All columns share one numbering and one layout by chunk."""
     d = with_position(df, spec)
+    if getattr(spec, "position_method", "bucket") == "bucket":
+        # Read twice below, for the summary and for the rows: numbered once.
+        from tessera.session import materialize
+        d = materialize(d)
     size = int(spec.chunk_rows)
     key = spec.key
     d = d.withColumn(CHUNK, F.struct(F.col(key).alias("k"), F.expr(f"{POS} div {size}").alias("c")))

@@ -343,7 +343,7 @@ def preprocessing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A22 (cleaning): the report lines of C1, built from its report tables."""
     p = fx.hourly_panel(spark, sf_dir)
     d, reports = clean.preprocess(p, SPEC, dedupe_tiebreak=["hh"])
-    return clean.preprocessing_report(reports, p, d)
+    return finish(clean.preprocessing_report(reports, p, d))
 
 
 PANEL_COLS = ("station", "datetime", "hh", "PM2_5", "PM10", "SO2", "NO2", "TEMP", "wd")
@@ -353,3 +353,31 @@ SQL["parquet_roundtrip"] = f"SELECT {OUT_F4}, split FROM ({f4_split_sql(PANEL_SQ
 SQL["csv_roundtrip"] = f"""
   SELECT station, datetime, {sql_round(('PM2_5', 'PM10', 'SO2', 'NO2', 'TEMP', 'PRES', 'WSPM'))}, wd
   FROM ({PANEL_EXTRA_SQL})"""
+
+
+def _report_sql() -> str:
+    """The lines of A22, each from its own step of C1."""
+    cols = ("station", "datetime", "hh", "PM2_5", "PM10", "SO2", "NO2", "TEMP", "wd")
+    nulls = " + ".join(f"count(*) FILTER (WHERE {q(c)} IS NULL)" for c in cols)
+    limited = [c for c in PHYSICAL_LIMITS if c in DOUBLES_F4]
+    outside = lambda c: f"{q(c)} < {PHYSICAL_LIMITS[c][0]} OR {q(c)} > {PHYSICAL_LIMITS[c][1]}"
+    negative = " OR ".join(f"bool_or({q(c)} < 0)" for c in POLLUTANTS_F4)
+    parts = [
+        "SELECT 0 AS part, 'rows read: ' || count(*) AS line FROM raw",
+        "SELECT 1, 'duplicate rows dropped: ' || (count(*) - count(DISTINCT (station, datetime))) FROM raw",
+        f"SELECT 2, 'null values before and after the fills: ' || (SELECT {nulls} FROM raw) || ', ' || (SELECT {nulls} FROM handled)",
+        *[f"""SELECT 3, '{c}: ' || n || ' values set to a physical limit'
+              FROM (SELECT count(*) FILTER (WHERE {outside(c)}) AS n FROM handled) WHERE n > 0""" for c in limited],
+        f"""SELECT 4, "column" || ': ' || iqr_outliers || ' values outside the quartile range'
+            FROM ({iqr_sql('SELECT * FROM clipped', report=True)}) WHERE iqr_outliers > 0""",
+        f"SELECT 5, 'negative pollutant values: ' || CASE WHEN {negative} THEN 'some' ELSE 'none' END FROM capped",
+        f"SELECT 6, 'rows of no split: ' || count(*) FILTER (WHERE split IS NULL) FROM ({f4_split_sql('SELECT * FROM capped')})",
+        "SELECT 7, 'rows kept: ' || count(*) FROM capped",
+    ]
+    return f"""
+      WITH raw AS MATERIALIZED ({PANEL_SQL}), handled AS MATERIALIZED ({handled_sql('SELECT * FROM raw')}),
+      clipped AS MATERIALIZED ({clip_sql('SELECT * FROM handled')}), capped AS MATERIALIZED ({iqr_sql('SELECT * FROM clipped')})
+      SELECT row_number() OVER (ORDER BY part, line)::BIGINT - 1 AS seq, line FROM ({' UNION ALL '.join(parts)})"""
+
+
+SQL["preprocessing_report"] = _report_sql()

@@ -200,6 +200,18 @@ def linear_folds(spark, sf_dir):
     return finish(ml.cross_validate("linear", _train(_lag_frame(spark, sf_dir)), SPEC, ["lag1"], SPEC.target))
 
 
+def linear_two_features(spark, sf_dir):
+    """L1 + M9 on two features: coefficients per population deviation, intercept,
+    and the test RMSE of the fitted pipeline."""
+    p = clean.temporal_split(fx.hourly_panel(spark, sf_dir), SPEC)
+    p = ft.window_features(p, SPEC, [ft.Lag(SPEC.target, 1, "lag1"), ft.Lag("PM10", 1, "other1")])
+    df = materialize(p.select("split", "lag1", "other1", SPEC.target).dropna())
+    m = ml.fit("linear", _train(df), ["lag1", "other1"], SPEC.target)
+    lr, test = m.model.stages[-1], m.evaluate(df.where(F.col("split") == "test"), [])
+    a, b = (F.lit(float(x)) for x in lr.coefficients)
+    return finish(test.select(a.alias("a"), b.alias("b"), F.lit(float(lr.intercept)).alias("intercept"), "rmse", "n"))
+
+
 # ------------------------------------------------------------------ P8
 
 def _string_panel(spark, sf_dir):
@@ -255,6 +267,7 @@ QUERIES = {
     "linear_mean_contribution": linear_mean_contribution,
     "saved_predictions": saved_predictions,
     "linear_folds": linear_folds,
+    "linear_two_features": linear_two_features,
     "prepared_matrix": prepared_matrix,
     "prepared_saved": prepared_saved,
 }
@@ -310,4 +323,16 @@ SQL = {
       FROM x JOIN k USING (fold) WHERE NOT fit GROUP BY fold, n_train""",
     "prepared_matrix": _PREPARED_SQL,
     "prepared_saved": _PREPARED_SQL,
+    "linear_two_features": f"""
+      WITH d AS (
+        SELECT split, x, z, PM2_5 AS y FROM (
+          SELECT *, lag(PM2_5, 1) OVER w AS x, lag(PM10, 1) OVER w AS z FROM ({f4_split_sql(PANEL_SQL)})
+          WINDOW w AS (PARTITION BY station ORDER BY datetime))
+        WHERE split IS NOT NULL AND x IS NOT NULL AND z IS NOT NULL AND PM2_5 IS NOT NULL),
+      c AS (SELECT var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy,
+              avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM d WHERE split = 'train'),
+      b AS (SELECT (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz, * FROM c)
+      SELECT {r6('any_value(bx * sqrt(xx))')} AS a, {r6('any_value(bz * sqrt(zz))')} AS b, {r6('any_value(my)')} AS intercept,
+        {r6('sqrt(avg((y - my - bx * (x - mx) - bz * (z - mz)) * (y - my - bx * (x - mx) - bz * (z - mz))))')} AS rmse, count(*)::BIGINT AS n
+      FROM d, b WHERE split = 'test'""",
 }

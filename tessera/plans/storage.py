@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from tessera.operators import metrics as mt
 from tessera.plans import scoring
-from tessera.plans.cleaning import _scratch
+from tessera.plans.cleaning import SQL as CLEANING_SQL, _scratch, preprocessing_report
 from tessera.plans.common import PANEL_EXTRA_SQL, PANEL_SQL, finish, r6, sql_round
 from tessera.sources import fixtures as fx
 from tessera.sources import io
 
 SPEC = fx.EVENTS_SPEC
+REPORT_SQL = CLEANING_SQL["preprocessing_report"]
 
 
 def results_rerun(spark, sf_dir):
@@ -37,6 +38,13 @@ def metrics_json(spark, sf_dir):
     return finish(spark.read.schema(table.schema).json(path))
 
 
+def report_file(spark, sf_dir):
+    """The cleaning report as a text file, read back line by line."""
+    path = _scratch(spark, "report")
+    io.write_report(preprocessing_report(spark, sf_dir), path)
+    return finish(spark.read.text(path).select(F.col("value").alias("line")))
+
+
 def station_files(spark, sf_dir):
     """S1 + U1: stations as CSV files of two layouts, one with its columns in
     another order and without SO2, read as one panel."""
@@ -93,6 +101,7 @@ def asset_check(spark, sf_dir):
 QUERIES = {
     "results_rerun": results_rerun,
     "metrics_json": metrics_json,
+    "report_file": report_file,
     "station_files": station_files,
     "metadata_table": metadata_table,
     "asset_check": asset_check,
@@ -114,6 +123,7 @@ SQL = {
     "results_rerun": f"""{scoring.WITH_SCORED}
       SELECT station, datetime, model, split, {r6('y')} AS y, {r6(f"p + CASE WHEN model = '{scoring.CANDIDATE}' THEN 1 ELSE 0 END")} AS p FROM scored""",
     "metrics_json": scoring.SQL["forecast_metrics"],
+    "report_file": f"SELECT line FROM ({REPORT_SQL})",
     "station_files": f"""
       SELECT station, datetime, {sql_round(('PM2_5', 'PM10'))},
         {r6('CASE WHEN length(station) % 2 = 0 THEN SO2 END')} AS SO2, {sql_round(('NO2', 'TEMP', 'PRES', 'WSPM'))}, wd, 0::BIGINT AS malformed
