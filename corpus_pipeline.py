@@ -2,20 +2,27 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row of ``docs`` and
 returns a DataFrame; ``run`` writes it as Parquet under the cluster's checkpoint
-folder and rereads it as the next stage's ``docs``. All stages but the last
-return the columns of ``documents``.
+folder and rereads it as the next stage's ``docs``; a stage's table goes once the
+next is written, the last one stays for its reader. All stages but the last return
+the columns of ``documents``.
+
+Defined results: rows without a text, or without a word, fail the quality rules and
+go; a null id or source is a value like others, and rows with one are judged, cut
+and compared as the rest; of rows equal in id and text, and of documents that are
+near copies, one stays (the lowest id, null last; then the lowest text hash); ids
+used for several texts are documents of their own; an empty table gives an empty
+result; columns beyond those of ``documents`` are carried to the last stage but
+one, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
-from tessera.session import ensure_checkpoint_dir
+from tessera.llm.steps import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    docs, steps = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        docs = steps.keep(stage(spark, docs, sf_dir), f"{k}")
+        if k:
+            steps.drop(f"{k - 1}")
     return docs
