@@ -159,7 +159,11 @@ def cut_out(bodies: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     j = bodies.join(asked, on).select("id", "k", "base", "body", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # repeated rows of a document: the join has brought them together
         for b in batches:
+            mine = list(zip(*(b.column(c).to_pylist() for c in range(3))))
+            new = [j for j, key in enumerate(mine) if key not in seen and not seen.add(key)]
+            b = b.take(pa.array(new, pa.int64()))
             at = 0
             for part in byte_batches(b.column(3).to_pylist(), BATCH_BYTES):
                 h, count = word_hashes(part)
