@@ -39,6 +39,8 @@ hashed in blocks.
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,12 +69,11 @@ def word_hashes(bodies: list) -> tuple[np.ndarray, np.ndarray]:
     are what ASCII white space leaves, or the bytes of word hashes."""
     if bodies and isinstance(bodies[0], bytes):
         return np.frombuffer(b"".join(bodies), dtype=np.uint64), np.array([len(b) // 8 for b in bodies], dtype=np.int64)
-    words = [t.encode().split() for t in bodies]
-    of = {w: k for k, w in enumerate({w for ws in words for w in ws})}
-    table = np.fromiter(map(xxhash.xxh3_64_intdigest, of), np.uint64, len(of))
-    count = np.fromiter(map(len, words), np.int64, len(words))
-    at = np.fromiter((of[w] for ws in words for w in ws), np.int64, int(count.sum()))
-    return table[at], count
+    number: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    words = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in (t.encode().split() for t in bodies)]
+    table = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+    ids = np.concatenate(words) if words else np.zeros(0, np.int64)
+    return table[ids], np.fromiter(map(len, words), np.int64, len(words))
 
 
 def digests(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
