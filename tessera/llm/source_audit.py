@@ -30,7 +30,7 @@ columns cannot clash.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,40 +65,41 @@ def folded(docs: DataFrame, text_col: str, lang_col: str, source_col: str, strip
     cell = pa.struct([("source", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes: dict[tuple[str, bytes], list] = {}
+        # By language and term: the counts by source, and under None the document frequency.
+        langs: dict[str, dict[bytes, dict[str | None, int]]] = defaultdict(dict)
         cells = size = 0
 
         def spill() -> Iterator[pa.RecordBatch]:
-            rows = list(stripes.items())
+            rows = [(lang, term, s.pop(None), s) for lang, stripes in langs.items() for term, s in stripes.items()]
             for a in range(0, len(rows), 20_000):
                 part = rows[a:a + 20_000]
-                count = [len(s[1]) for _, s in part]
                 flat = pa.StructArray.from_arrays(
-                    [pa.array([x for _, s in part for x in s[1]], pa.string()), pa.array([n for _, s in part for n in s[1].values()], pa.int64())],
+                    [pa.array([x for r in part for x in r[3]], pa.string()), pa.array([n for r in part for n in r[3].values()], pa.int64())],
                     fields=list(cell))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1].decode() for k, _ in part], pa.string()),
-                     pa.array([s[0] for _, s in part], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), flat)], names=["lang", "term", "df", "cells"])
+                    [pa.array([r[0] for r in part], pa.string()), pa.array([r[1].decode() for r in part], pa.string()),
+                     pa.array([r[2] for r in part], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r[3]) for r in part])], pa.int32()), flat)],
+                    names=["lang", "term", "df", "cells"])
 
         for b in batches:
             for text, lang, source in zip(*(c.to_pylist() for c in b.columns)):
+                stripes = langs[lang]
                 for term, n in Counter(terms(text)).items():
-                    s = stripes.get((lang, term))
+                    s = stripes.get(term)
                     if s is None:
-                        stripes[lang, term] = [1, {source: n}]
-                        cells += 1
+                        stripes[term] = s = {None: 0}
                         size += len(term)
+                    s[None] += 1
+                    if source in s:
+                        s[source] += n
                     else:
-                        s[0] += 1
-                        if source in s[1]:
-                            s[1][source] += n
-                        else:
-                            s[1][source] = n
-                            cells += 1
+                        s[source] = n
+                        cells += 1
                 if cells > stripe_cells or size > STRIPE_BYTES:
                     yield from spill()
-                    stripes, cells, size = {}, 0, 0
+                    langs.clear()
+                    cells = size = 0
         yield from spill()
 
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
