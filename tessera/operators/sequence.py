@@ -146,31 +146,35 @@ def carry_fill(df: DataFrame, spec, cols: Sequence[str], back: Sequence[str] = (
     c__np`` (first non-null value and position at or after the row), over the whole
     key, at any distance. All columns share one numbering and one layout by chunk."""
     d = with_position(df, spec)
+    size = int(spec.chunk_rows)
+    key = spec.key
+    d = d.withColumn(CHUNK, F.struct(F.col(key).alias("k"), F.expr(f"{POS} div {size}").alias("c")))
     if getattr(spec, "position_method", "bucket") == "bucket":
         # Read twice below, for the summary and for the rows: numbered once.
         from tessera.session import materialize
         d = materialize(d)
-    size = int(spec.chunk_rows)
-    key = spec.key
-    d = d.withColumn(CHUNK, F.struct(F.col(key).alias("k"), F.expr(f"{POS} div {size}").alias("c")))
     every = [*cols, *back]
     pair = lambda c: F.struct(F.col(POS).alias("p"), F.col(c).alias("v"))
     aggs = [F.max(F.when(F.col(c).isNotNull(), pair(c))).alias(f"{c}__last") for c in every]
     aggs += [F.min(F.when(F.col(c).isNotNull(), pair(c))).alias(f"{c}__first") for c in cols]
     summary = d.groupBy(CHUNK).agg(*aggs)
-    ws = Window.partitionBy(f"{CHUNK}.k").orderBy(f"{CHUNK}.c")
-    before = ws.rowsBetween(Window.unboundedPreceding, -1)
-    after = ws.rowsBetween(1, Window.unboundedFollowing)
+    # Looking ahead is looking back in falling order: a frame that ends with the
+    # partition is computed anew for every row, in time that grows with its square.
+    key_of = Window.partitionBy(f"{CHUNK}.k")
+    before, after = (key_of.orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+                     for o in (F.asc(f"{CHUNK}.c"), F.desc(f"{CHUNK}.c")))
     carries = [F.last(f"{c}__last", ignorenulls=True).over(before).alias(f"{c}__cin") for c in every]
-    carries += [F.first(f"{c}__first", ignorenulls=True).over(after).alias(f"{c}__cout") for c in cols]
-    d = d.join(summary.select(CHUNK, *carries), CHUNK)
-    w = Window.partitionBy(CHUNK).orderBy(POS)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    onward = w.rowsBetween(0, Window.unboundedFollowing)
+    carries += [F.last(f"{c}__first", ignorenulls=True).over(after).alias(f"{c}__cout") for c in cols]
+    carried = summary.select(CHUNK, *carries)
+    upto, onward = (Window.partitionBy(CHUNK).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+                    for o in (F.asc(POS), F.desc(POS)))
     here = lambda c: F.when(F.col(c).isNotNull(), pair(c))
-    new = {f"{c}__prev": F.coalesce(F.last(here(c), ignorenulls=True).over(upto), F.col(f"{c}__cin")) for c in every}
-    new |= {f"{c}__next": F.coalesce(F.first(here(c), ignorenulls=True).over(onward), F.col(f"{c}__cout")) for c in cols}
-    d = d.withColumns(new)
+    # The windows come before the join, so the rows that are sorted are narrow.
+    d = d.withColumns({f"{c}__next": F.last(here(c), ignorenulls=True).over(onward) for c in cols})
+    d = d.withColumns({f"{c}__prev": F.last(here(c), ignorenulls=True).over(upto) for c in every})
+    d = d.join(carried, CHUNK)
+    d = d.withColumns({f"{c}__prev": F.coalesce(f"{c}__prev", f"{c}__cin") for c in every}
+                      | {f"{c}__next": F.coalesce(f"{c}__next", f"{c}__cout") for c in cols})
     flat = {f"{c}__p{x}": F.col(f"{c}__prev.{x}") for c in every for x in "vp"}
     flat |= {f"{c}__n{x}": F.col(f"{c}__next.{x}") for c in cols for x in "vp"}
     helpers = [f"{c}__{s}" for c in every for s in ("cin", "prev")] + [f"{c}__{s}" for c in cols for s in ("cout", "next")]
