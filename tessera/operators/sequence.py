@@ -23,15 +23,36 @@ helpers here keep the exact row semantics but cut every key into chunks of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 POS = "_pos"
 CHUNK = "_chunk"
 HOME = "_home"
 SECONDS = "_seconds"
+#: Rows that one task sorts. Larger tables are dealt to more tasks than the session's setting.
+TASK_ROWS = 250_000
+#: Rows of per-group offsets up to which they are broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def tasks_for(df: DataFrame, rows: int) -> int | None:
+    """Tasks that ``rows`` rows are worth, or None where the session's number of
+    shuffle partitions is enough (these may still be coalesced)."""
+    n = math.ceil(rows / TASK_ROWS)
+    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def spread(df: DataFrame, rows: int, *cols: str | Column) -> DataFrame:
+    """``df``, of about ``rows`` rows, dealt out by ``cols``: what a task holds stays
+    the same however large the table is and whatever the session's setting."""
+    n = tasks_for(df, rows)
+    return df.repartition(n, *cols) if n else df.repartition(*cols)
 
 
 def time_bucket(spec, col: str | Column | None = None) -> Column:
@@ -50,26 +71,33 @@ def with_position(df: DataFrame, spec, order: Sequence[str] | None = None) -> Da
     ``spec.position_method``: ``"bucket"`` numbers inside (key, time bucket)
     groups; ``"sort"`` ranks by a range-partitioned sort, so no group of any
     grain is ever one task."""
+    return _numbered(df, spec, order)[0]
+
+
+def _numbered(df: DataFrame, spec, order: Sequence[str] | None = None) -> tuple[DataFrame, int]:
+    """:func:`with_position` and the number of rows."""
     if POS in df.columns:
-        return df
+        return df, df.count()
     if getattr(spec, "position_method", "bucket") == "sort":
         return _position_by_sort(df, spec, list(order or row_order(df, spec)))
     # A struct is never NULL itself and compares its NULL fields as equal, so the
     # numbering and the join share one plain key: rows are shuffled once.
     group = F.struct(F.col(spec.key).alias("k"), time_bucket(spec).alias("b"))
     d = df.withColumn("_kb", group)
-    counts = d.groupBy("_kb").agg(F.count(F.lit(1)).alias("_n"))
+    # Written once: the sizes of the groups also say how many tasks the rows need.
+    counts = materialize(d.groupBy("_kb").agg(F.count(F.lit(1)).alias("_n")))
+    rows, groups = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
     before = Window.partitionBy("_kb.k").orderBy("_kb.b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_kb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = spread(counts, groups, "_kb.k").select("_kb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     rn = F.row_number().over(Window.partitionBy("_kb").orderBy(*(order or row_order(df, spec))))
-    d = d.withColumn("_rn", rn).join(offsets, "_kb")
-    return d.withColumn(POS, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_kb", "_off", "_rn")
+    d = spread(d, rows, "_kb").withColumn("_rn", rn).join(offsets, "_kb")
+    return d.withColumn(POS, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_kb", "_off", "_rn"), rows
 
 
 _LOW_BITS = (1 << 33) - 1
 
 
-def _position_by_sort(df: DataFrame, spec, order: list[str]) -> DataFrame:
+def _position_by_sort(df: DataFrame, spec, order: list[str]) -> tuple[DataFrame, int]:
     """Rows range-partitioned and sorted by (key, order); the id of a row
     inside its sorted partition plus the row counts of the same key in
     earlier partitions (a table of at most partitions + keys rows) give its
@@ -81,7 +109,6 @@ def _position_by_sort(df: DataFrame, spec, order: list[str]) -> DataFrame:
     # The range bounds come from sampling the input; two evaluations of an
     # unordered input may sample differently.  Write the numbered rows once so
     # the counts and the rows agree.
-    from tessera.session import materialize
     o = materialize(o)
     o = o.withColumn("_kp", F.struct(F.col("_part").alias("p"), F.col(key).alias("k")))
     per = o.groupBy("_kp").agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
@@ -89,7 +116,7 @@ def _position_by_sort(df: DataFrame, spec, order: list[str]) -> DataFrame:
     offsets = per.select("_kp", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     d = o.join(offsets, "_kp")
     return d.withColumn(POS, (F.col("_off") + F.col("_local") - F.col("_first")).cast("long")).drop(
-        "_mid", "_part", "_local", "_kp", "_first", "_off")
+        "_mid", "_part", "_local", "_kp", "_first", "_off"), df.count()
 
 
 def drop_position(df: DataFrame) -> DataFrame:
@@ -102,10 +129,10 @@ def chunked_window(df: DataFrame, spec, halo: int,
     for frames reaching back at most ``halo`` rows (forward frames are not
     supported).  ``compute`` receives the window spec and returns
     ``{name: column}``."""
-    d = with_position(df, spec)
-    size = int(spec.chunk_rows)
     if halo < 0:
         raise ValueError("halo must be >= 0")
+    d, rows = _numbered(df, spec)
+    size = int(spec.chunk_rows)
     d = d.withColumn(HOME, F.expr(f"{POS} div {size}"))
     if halo:
         d = d.withColumn(CHUNK, F.explode(F.sequence(F.col(HOME), F.expr(f"({POS} + {halo}) div {size}"))))
@@ -113,7 +140,8 @@ def chunked_window(df: DataFrame, spec, halo: int,
         d = d.withColumn(CHUNK, F.col(HOME))
     w = Window.partitionBy(spec.key, CHUNK).orderBy(POS)
     cols = compute(w)
-    out = d.withColumns(cols)
+    # A chunk has at most a halo more than its own rows.
+    out = spread(d, rows + rows * halo // size, spec.key, CHUNK).withColumns(cols)
     if halo:
         out = out.where(F.col(CHUNK) == F.col(HOME))
     return out.drop(CHUNK, HOME)
@@ -145,13 +173,12 @@ def carry_fill(df: DataFrame, spec, cols: Sequence[str], back: Sequence[str] = (
     position at or before the row) and, but for columns of ``back``, ``c__nv,
     c__np`` (first non-null value and position at or after the row), over the whole
     key, at any distance. All columns share one numbering and one layout by chunk."""
-    d = with_position(df, spec)
+    d, rows = _numbered(df, spec)
     size = int(spec.chunk_rows)
     key = spec.key
     d = d.withColumn(CHUNK, F.struct(F.col(key).alias("k"), F.expr(f"{POS} div {size}").alias("c")))
     if getattr(spec, "position_method", "bucket") == "bucket":
         # Read twice below, for the summary and for the rows: numbered once.
-        from tessera.session import materialize
         d = materialize(d)
     every = [*cols, *back]
     pair = lambda c: F.struct(F.col(POS).alias("p"), F.col(c).alias("v"))
@@ -170,6 +197,7 @@ def carry_fill(df: DataFrame, spec, cols: Sequence[str], back: Sequence[str] = (
                     for o in (F.asc(POS), F.desc(POS)))
     here = lambda c: F.when(F.col(c).isNotNull(), pair(c))
     # The windows come before the join, so the rows that are sorted are narrow.
+    d = spread(d, rows, CHUNK)
     d = d.withColumns({f"{c}__next": F.last(here(c), ignorenulls=True).over(onward) for c in cols})
     d = d.withColumns({f"{c}__prev": F.last(here(c), ignorenulls=True).over(upto) for c in every})
     d = d.join(carried, CHUNK)
