@@ -103,7 +103,9 @@ def _position_by_sort(df: DataFrame, spec, order: list[str]) -> tuple[DataFrame,
     earlier partitions (a table of at most partitions + keys rows) give its
     position.  ``order`` must make rows of a key unique for stable numbers."""
     key = spec.key
-    o = (df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    rows = df.count()
+    n = tasks_for(df, rows)
+    o = (df.repartitionByRange(*([n] if n else []), key, *order).sortWithinPartitions(key, *order)
          .withColumn("_mid", F.monotonically_increasing_id()))
     o = o.withColumns({"_part": F.shiftright("_mid", 33), "_local": F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))})
     # The range bounds come from sampling the input; two evaluations of an
@@ -111,12 +113,15 @@ def _position_by_sort(df: DataFrame, spec, order: list[str]) -> tuple[DataFrame,
     # the counts and the rows agree.
     o = materialize(o)
     o = o.withColumn("_kp", F.struct(F.col("_part").alias("p"), F.col(key).alias("k")))
-    per = o.groupBy("_kp").agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
+    per = materialize(o.groupBy("_kp").agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first")))
+    groups = per.count()
     before = Window.partitionBy("_kp.k").orderBy("_kp.p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("_kp", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    d = o.join(offsets, "_kp")
+    offsets = spread(per, groups, "_kp.k").select("_kp", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # Few keys: the rows stay where they are. Many keys: dealt out once more.
+    few = groups <= BROADCAST_ROWS
+    d = o.join(F.broadcast(offsets), "_kp") if few else spread(o, rows, "_kp").join(offsets, "_kp")
     return d.withColumn(POS, (F.col("_off") + F.col("_local") - F.col("_first")).cast("long")).drop(
-        "_mid", "_part", "_local", "_kp", "_first", "_off"), df.count()
+        "_mid", "_part", "_local", "_kp", "_first", "_off"), rows
 
 
 def drop_position(df: DataFrame) -> DataFrame:
