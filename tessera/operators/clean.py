@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tessera.config import IQR_EXTREME_MULTIPLIER, IQR_MULTIPLIER, MISSING_DATA_THRESHOLD, PanelSpec
 from tessera.operators.quantiles import quantile_row
-from tessera.operators.sequence import POS, carry_fill, chunked_window, drop_position, epoch_seconds
+from tessera.operators.sequence import POS, carry_fill, chunked_window, drop_position, epoch_seconds, spread
 from tessera.session import materialize
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -264,33 +264,65 @@ def time_gaps(df: DataFrame, spec: PanelSpec, min_gap_hours: int = 1) -> DataFra
                     (F.col(spec.time) - F.expr("INTERVAL 1 HOUR")).alias("gap_end"), "missing_hours")
 
 
+def _hour(spec: PanelSpec) -> Column:
+    return F.date_trunc("hour", F.col(spec.time)).cast("timestamp_ntz")
+
+
+def _hour_spans(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """First and last hour of every key, with its rows that have a time."""
+    d = df.where(F.col(spec.time).isNotNull()).select(F.col(spec.key), F.floor(epoch_seconds(_hour(spec)) / 3600).alias("_h"))
+    return d.groupBy(spec.key).agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+
+
 def hour_grid(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """``(key, time)`` of every hour from each key's first to its last. The
     span is first cut into chunks of ``spec.chunk_hours``, dealt out by key and
     chunk, and each chunk makes its own hours: no row holds a key's whole span."""
-    hour = F.date_trunc("hour", F.col(spec.time)).cast("timestamp_ntz")
-    d = df.where(F.col(spec.time).isNotNull()).select(F.col(spec.key), F.floor(epoch_seconds(hour) / 3600).alias("_h"))
-    span = d.groupBy(spec.key).agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
+    span = materialize(_hour_spans(df, spec))
+    return _grid_of(span, spec, _grid_rows(span)[0])
+
+
+def _grid_rows(span: DataFrame) -> tuple[int, int]:
+    """Hours of the grid, and rows that have a time."""
+    both = (F.col("_hi") - F.col("_lo") + 1, F.col("_n"))
+    return tuple(span.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in zip(both, ("hours", "rows")))).first())
+
+
+def _grid_of(span: DataFrame, spec: PanelSpec, rows: int) -> DataFrame:
     n = int(spec.chunk_hours)
     chunks = span.select("*", F.explode(F.sequence(F.floor(F.col("_lo") / n), F.floor(F.col("_hi") / n))).alias("_c"))
-    chunks = chunks.repartition(spec.key, "_c")
+    chunks = spread(chunks, rows, spec.key, "_c")
     hours = chunks.select(spec.key, F.explode(F.sequence(
         F.greatest("_lo", F.col("_c") * n), F.least("_hi", F.col("_c") * n + (n - 1)))).alias("_h"))
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return hours.select(spec.key, F.timestamp_add("HOUR", F.col("_h").cast("int"), start).alias(spec.time))
 
 
+def _beside_grid(df: DataFrame, spec: PanelSpec, how: str) -> DataFrame:
+    """``_g`` (key and time of the grid) joined with ``_r`` (the rows) on key and
+    hour, dealt to as many tasks as grid and rows are worth."""
+    # Written once: the spans also say how many hours the grid has.
+    span = materialize(_hour_spans(df, spec))
+    hours, n = _grid_rows(span)
+    # A struct is never NULL itself and compares its NULL fields as equal.
+    at = F.struct(F.col(spec.key).alias("k"), _hour(spec).alias("h")).alias("_kh")
+    grid = spread(_grid_of(span, spec, hours).select(at, F.struct(spec.key, spec.time).alias("_g")), hours + n, "_kh")
+    rows = spread(df.select(at, F.struct(*df.columns).alias("_r")), hours + n, "_kh")
+    return grid.join(rows, "_kh", how)
+
+
 def missing_hours(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """``(key, time)`` of the hours of the grid that no row of the key has."""
-    have = df.select(F.col(spec.key).alias("_k"), F.date_trunc("hour", F.col(spec.time)).cast("timestamp_ntz").alias("_t"))
-    grid = hour_grid(df, spec)
-    return grid.join(have, grid[spec.key].eqNullSafe(have["_k"]) & (grid[spec.time] == have["_t"]), "left_anti")
+    return _beside_grid(df.select(spec.key, spec.time), spec, "left_anti").select("_g.*")
 
 
 def regularise(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """The panel with a row for every hour of the grid; hours that were
     absent have nulls. Rows within an hour keep their times; so do rows without a time."""
-    return df.unionByName(missing_hours(df, spec), allowMissingColumns=True)
+    both = _beside_grid(df, spec, "full_outer")
+    own = {c: F.col(f"_r.`{c}`") for c in df.columns}
+    own |= {c: F.when(F.col("_r").isNotNull(), own[c]).otherwise(F.col(f"_g.`{c}`")) for c in (spec.key, spec.time)}
+    return both.select(*(x.alias(c) for c, x in own.items()))
 
 
 # ---------------------------------------------------------------- P2
